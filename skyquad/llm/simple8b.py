@@ -2,12 +2,13 @@
 
 A word holds a 4-bit selector and 60 bits of payload: so many values of so many bits each. Values
 that need more than 60 bits are escaped: their word has selector 0 and points into a list of full
-64-bit values. Values are coded in blocks of ``BLOCK``; every block starts at a known word, so any
-block can be decoded alone and all of them at once with array operations.
+64-bit values. Values are coded in blocks of ``BLOCK``, and a document begins a block of its own;
+every block starts at a known word, so any document can be decoded alone and all blocks at once
+with array operations.
 
-Shard layout (little-endian): magic ``SQ8B``, version; counts of documents, values, words and
-escapes; doc_id (int64) and length (uint64) of each document; first word of each block (uint64);
-escapes (uint64); words (uint64).
+Shard layout (little-endian): magic ``SQ8B``, version; counts of documents, blocks, words and
+escapes; doc_id (int64), length (uint64) and number of escapes (uint64) of each document; words in
+each block (uint16); escapes (uint64); words (uint64).
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ import struct
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 512
 #: Fixed values of the format. Selector: (values in a word, bits of each); selector 0 is the escape.
 LAYOUTS = {
     1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8),
-    9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60), 15: (120, 0),
+    9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60),
 }
 _DENSEST_FIRST = sorted(LAYOUTS, key=lambda s: -LAYOUTS[s][0])
 _HEAD = struct.Struct("<4sIQQQQ")
 _MAGIC, _VERSION = b"SQ8B", 1
-_CHUNK = 64  # blocks coded at once
+_CHUNK = 128  # blocks coded at once
 
 
-def _code(values: np.ndarray, counts: np.ndarray, first_escape: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of some blocks (rows of ``values``, zero-padded), words per block, escaped values."""
+def _code(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of some blocks (rows of ``values``, zero-padded), words per block, escaped values and
+    the blocks they are in. The payload of an escape is left to the caller."""
     rows = len(values)
     width = max(n for n, _ in LAYOUTS.values())
     padded = np.zeros((rows, BLOCK + width), dtype=np.uint64)
@@ -59,8 +61,6 @@ def _code(values: np.ndarray, counts: np.ndarray, first_escape: int) -> tuple[np
         owners.append(alive)
         at[alive] += taken[best[alive, at[alive]]]
         alive = alive[at[alive] < counts[alive]]
-    if not starts:
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64), np.zeros(0, np.uint64)
     owner, start = np.concatenate(owners), np.concatenate(starts)
     order = np.lexsort((start, owner))
     owner, start = owner[order], start[order]
@@ -68,81 +68,91 @@ def _code(values: np.ndarray, counts: np.ndarray, first_escape: int) -> tuple[np
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector, (n, bits) in LAYOUTS.items():
         mine = np.flatnonzero(chosen == selector)
-        if bits and len(mine):
+        if len(mine):
             payload = np.zeros(len(mine), dtype=np.uint64)
             for k in range(n):
                 payload |= padded[owner[mine], start[mine] + k] << np.uint64(k * bits)
             words[mine] |= payload
     escaped = np.flatnonzero(chosen == 0)
-    words[escaped] = np.arange(first_escape, first_escape + len(escaped), dtype=np.uint64)
-    return words, np.bincount(owner, minlength=rows), padded[owner[escaped], start[escaped]]
-
-
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, first word of each block, escapes) of an array of unsigned integers."""
-    values = np.asarray(values, dtype=np.uint64)
-    blocks = -(-len(values) // BLOCK)
-    grid = np.zeros((blocks, BLOCK), dtype=np.uint64)
-    grid.reshape(-1)[: len(values)] = values
-    counts = np.full(blocks, BLOCK, dtype=np.int64)
-    if blocks:
-        counts[-1] = len(values) - (blocks - 1) * BLOCK
-    words, sizes, escapes = [], [], []
-    for i in range(0, blocks, _CHUNK):
-        w, n, e = _code(grid[i : i + _CHUNK], counts[i : i + _CHUNK], sum(map(len, escapes)))
-        words.append(w)
-        sizes.append(n)
-        escapes.append(e)
+    return words, np.bincount(owner, minlength=rows), padded[owner[escaped], start[escaped]], owner[escaped]
+
+
+def encode(documents: list[np.ndarray]) -> list[tuple[bytes, bytes, bytes]]:
+    """For each array of unsigned integers: its words, the sizes of its blocks, its escapes."""
+    lengths = np.array([len(d) for d in documents], dtype=np.int64)
+    blocks = -(-lengths // BLOCK)
+    ends = np.cumsum(blocks)
+    grid = np.zeros((int(blocks.sum()), BLOCK), dtype=np.uint64)
+    counts = np.full(len(grid), BLOCK, dtype=np.int64)
+    for document, last, n in zip(documents, ends.tolist(), blocks.tolist(), strict=True):
+        grid[last - n : last].reshape(-1)[: len(document)] = document
+        if n:
+            counts[last - 1] = len(document) - (n - 1) * BLOCK
+    coded = [_code(grid[i : i + _CHUNK], counts[i : i + _CHUNK]) for i in range(0, len(grid), _CHUNK)]
     none = np.zeros(0, dtype=np.uint64)
-    sizes = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
-    firsts = (np.cumsum(sizes) - sizes).astype(np.uint64)
-    return (np.concatenate(words) if words else none), firsts, (np.concatenate(escapes) if escapes else none)
+    words, sizes, raw, owners = (np.concatenate(p) for p in zip(*coded, strict=True)) if coded else (none, none, none, none)
+    owners = owners + np.repeat(np.arange(len(coded)) * _CHUNK, [len(c[3]) for c in coded])
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    out = []
+    for last, n in zip(ends.tolist(), blocks.tolist(), strict=True):
+        mine = words[first[last - n] : first[last]]
+        escaped = raw[(owners >= last - n) & (owners < last)] if len(raw) else none
+        if len(escaped):  # words point into the document's own list
+            mine = mine.copy()
+            mine[mine >> np.uint64(60) == 0] = np.arange(len(escaped), dtype=np.uint64)
+        out.append((mine.astype("<u8").tobytes(), sizes[last - n : last].astype("<u2").tobytes(), escaped.astype("<u8").tobytes()))
+    return out
 
 
-def decode(words: np.ndarray, firsts: np.ndarray, escapes: np.ndarray, n_values: int) -> np.ndarray:
-    """The values again, every block at once."""
-    out = np.zeros(n_values, dtype=np.uint64)
-    if not n_values:
+def decode(words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, escapes: np.ndarray, n_escapes: np.ndarray) -> np.ndarray:
+    """The values of documents one after the other, every block at once."""
+    lengths = lengths.astype(np.int64)
+    out = np.zeros(int(lengths.sum()), dtype=np.uint64)
+    if not len(out):
         return out
+    blocks = -(-lengths // BLOCK)
+    owner = np.repeat(np.arange(len(lengths)), blocks)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = (np.cumsum(lengths) - lengths)[owner] + within * BLOCK  # of each block, in the output
+    until = np.minimum(begin + BLOCK, np.cumsum(lengths)[owner])
     selectors = (words >> np.uint64(60)).astype(np.uint8)
     taken = np.ones(16, dtype=np.int64)
     for selector, (n, _) in LAYOUTS.items():
         taken[selector] = n
     counts = taken[selectors]
     before = np.cumsum(counts) - counts
-    firsts = firsts.astype(np.int64)
-    block = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(words))))
-    start = before - before[firsts][block] + block * BLOCK
-    end = np.minimum((block + 1) * BLOCK, n_values)
+    sizes = sizes.astype(np.int64)
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    start = before - before[np.cumsum(sizes) - sizes][block] + begin[block]
+    end = until[block]
     payload = words & np.uint64((1 << 60) - 1)
     for selector, (n, bits) in LAYOUTS.items():
         mine = np.flatnonzero(selectors == selector)
-        if not bits or not len(mine):
-            continue
         mask = np.uint64((1 << bits) - 1)
-        for k in range(n):
+        for k in range(n if len(mine) else 0):
             inside = mine[start[mine] + k < end[mine]]
             out[start[inside] + k] = (payload[inside] >> np.uint64(k * bits)) & mask
     escaped = np.flatnonzero(selectors == 0)
-    out[start[escaped]] = escapes[payload[escaped].astype(np.int64)]
+    skip = (np.cumsum(n_escapes) - n_escapes).astype(np.int64)
+    out[start[escaped]] = escapes[payload[escaped].astype(np.int64) + skip[owner[block[escaped]]]]
     return out
 
 
-def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> bytes:
-    words, firsts, escapes = encode(values)
-    head = _HEAD.pack(_MAGIC, _VERSION, len(doc_ids), len(values), len(words), len(escapes))
-    parts = (np.asarray(doc_ids, "<i8"), np.asarray(lengths, "<u8"), firsts.astype("<u8"), escapes.astype("<u8"), words.astype("<u8"))
-    return head + b"".join(p.tobytes() for p in parts)
+def pack_shard(doc_ids: list[int], lengths: list[int], coded: list[tuple[bytes, bytes, bytes]]) -> bytes:
+    words, sizes, escapes = (b"".join(p) for p in zip(*coded, strict=True))
+    head = _HEAD.pack(_MAGIC, _VERSION, len(doc_ids), len(sizes) // 2, len(words) // 8, len(escapes) // 8)
+    table = (np.array(doc_ids, "<i8"), np.array(lengths, "<u8"), np.array([len(e) // 8 for _, _, e in coded], "<u8"))
+    return head + b"".join(t.tobytes() for t in table) + sizes + escapes + words
 
 
 def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, values) of a shard."""
-    magic, version, docs, n_values, n_words, n_escapes = _HEAD.unpack_from(data)
+    magic, version, docs, blocks, n_words, n_escapes = _HEAD.unpack_from(data)
     if magic != _MAGIC or version != _VERSION:
         raise ValueError("not a token shard of version 1")
-    blocks, at, parts = -(-n_values // BLOCK), _HEAD.size, []
-    for kind, n in (("<i8", docs), ("<u8", docs), ("<u8", blocks), ("<u8", n_escapes), ("<u8", n_words)):
+    at, parts = _HEAD.size, []
+    for kind, n in (("<i8", docs), ("<u8", docs), ("<u8", docs), ("<u2", blocks), ("<u8", n_escapes), ("<u8", n_words)):
         parts.append(np.frombuffer(data, kind, n, at))
-        at += 8 * n
-    doc_ids, lengths, firsts, escapes, words = parts
-    return doc_ids, lengths, decode(words, firsts, escapes, n_values)
+        at += int(kind[2]) * n
+    doc_ids, lengths, own, sizes, escapes, words = parts
+    return doc_ids, lengths, decode(words, sizes, lengths, escapes, own)

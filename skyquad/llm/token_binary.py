@@ -1,12 +1,13 @@
 """Token ids in binary shards: Simple-8b words with per-block offsets.
 
-Documents are dealt into ranges of ascending doc_id, tokenized there, and each task writes its
-range as shard files of about ``SHARD_IDS`` ids. A shard is written under a name of its own
+Documents are tokenized and coded where they lie; their words, which are smaller than the texts,
+are dealt into ranges of ascending doc_id, and each task writes its ranges as shard files of about
+``SHARD_IDS`` ids, copying words without coding them again. A shard is written under a name of its own
 attempt and then moved into place, so a lost or repeated task leaves no half file. The files are
 read back with Spark's binary file source and decoded block-wise.
 
 Rules: a null text counts as empty and holds just the end id. Rows with equal doc_id are ordered
-by text; null ids come first and are stored as the least 64-bit integer. An empty table writes no
+by their number of ids and then by their words; null ids come first and are stored as the least 64-bit integer. An empty table writes no
 file and gives an empty result. Other columns are not read.
 """
 
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,39 +28,68 @@ from .common import shared_path, whole_text
 SHARD_IDS = 1 << 21
 END_ID = 2
 NO_ID = -(1 << 63)
-MANIFEST = "part long, shard long, name string, n_docs long, n_tokens long"
+CODED = "bucket int, doc_id long, n_tokens long, words binary, sizes binary, escapes binary"
+MANIFEST = "name string, n_docs long, n_tokens long"
+_RANGES = 3  # ranges of doc_id for each shuffle partition
+_AT_ONCE = 256  # documents coded at once
 
 
-def _writer(folder: str, vocabulary: str, end_id: int, shard_ids: int):
+def _coder(vocabulary: str, end_id: int, bounds: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, end = byte_bpe.load(vocabulary), np.array([end_id], dtype=np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                arrays = [np.concatenate([tokens.encode(t.as_py()), end]) for t in part.column("text")]
+                words, sizes, escapes = zip(*simple8b.encode(arrays), strict=True)
+                ids = part.column("doc_id").fill_null(NO_ID)
+                columns = {
+                    "bucket": pa.array(np.searchsorted(bounds, ids.to_numpy(), side="right"), pa.int32()),
+                    "doc_id": ids,
+                    "n_tokens": pa.array([len(a) for a in arrays], pa.int64()),
+                    "words": pa.array(words, pa.binary()),
+                    "sizes": pa.array(sizes, pa.binary()),
+                    "escapes": pa.array(escapes, pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _writer(folder: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
-        tokens, part = byte_bpe.load(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype=np.uint32)
         ids: list[int] = []
-        arrays: list[np.ndarray] = []
-        held, shard = 0, 0
+        lengths: list[int] = []
+        coded: list[tuple[bytes, bytes, bytes]] = []
+        bucket, shard, held = -1, 0, 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(a) for a in arrays]
-            data = simple8b.pack_shard(np.array(ids, "<i8"), np.array(lengths, "<u8"), np.concatenate(arrays))
-            name = f"part-{part:07d}-{shard:05d}.s8b"
+            name = f"part-{bucket:07d}-{shard:05d}.s8b"
             attempt = f"{base}/_{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(attempt) as out:
-                out.write(data)
+                out.write(simple8b.pack_shard(ids, lengths, coded))
             store.move(attempt, f"{base}/{name}")
-            row = {"part": [part], "shard": [shard], "name": [name], "n_docs": [len(ids)], "n_tokens": [sum(lengths)]}
+            row = {"name": [name], "n_docs": [len(ids)], "n_tokens": [sum(lengths)]}
+            for part in (ids, lengths, coded):
+                part.clear()
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                arrays.append(np.concatenate([tokens.encode(text.as_py()), end]))
-                ids.append(NO_ID if doc_id is None else doc_id)
-                held += len(arrays[-1])
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != bucket:
+                    if ids:
+                        yield flush()
+                    bucket, shard, held = row[0], 0, 0
+                ids.append(row[1])
+                lengths.append(row[2])
+                coded.append(row[3:])
+                held += row[2]
                 if held >= shard_ids:
                     yield flush()
-                    ids, arrays, held, shard = [], [], 0, shard + 1
+                    held, shard = 0, shard + 1
         if ids:
             yield flush()
 
@@ -76,12 +105,12 @@ def write_token_shards(
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.withColumn("_order", F.xxhash64("text"))  # rows with one doc_id may fill several ranges
-    rows = rows.repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order", "text")
-    written = rows.select("doc_id", "text").mapInArrow(
-        _writer(folder, vocabulary or byte_bpe.default_path(), end_id, shard_ids), MANIFEST
-    )
-    files = sorted(written.collect())  # a row of five values per file of some megabytes
+    ranges = _RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    coded = rows.mapInArrow(_coder(vocabulary or byte_bpe.default_path(), end_id, sorted(set(cuts or []))), CODED)
+    dealt = coded.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "n_tokens", "words")
+    written = dealt.mapInArrow(_writer(folder, shard_ids), MANIFEST)
+    files = sorted(written.collect())  # a row of three values per file of some megabytes
     starts, total = [], 0
     for f in files:
         starts.append((f.name, total, f.n_docs, f.n_tokens))
