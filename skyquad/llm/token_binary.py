@@ -1,10 +1,10 @@
 """Token ids in binary shards: Simple-8b words with per-block offsets.
 
-Documents are tokenized and coded where they lie; their words, which are smaller than the texts,
+Documents are tokenized and coded where they lie; their words
 are dealt into ranges of ascending doc_id, and each task writes its ranges as shard files of about
 ``SHARD_IDS`` ids, copying words without coding them again. A shard is written under a name of its own
-attempt and then moved into place, so a lost or repeated task leaves no half file. The files are
-read back with Spark's binary file source and decoded block-wise.
+attempt and then moved into place, so a lost or repeated task leaves no half file. Reading,
+each task opens its own share of the files and decodes all blocks of a file at once.
 
 Rules: a null text counts as empty and holds just the end id. Rows with equal doc_id are ordered
 by their number of ids and then by their words; null ids come first and are stored as the least 64-bit integer. An empty table writes no
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe, simple8b
@@ -118,34 +118,38 @@ def write_token_shards(
     return spark.createDataFrame(starts, "name string, start long, n_docs long, n_tokens long")
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, content in zip(batch.column("start").to_pylist(), batch.column("content"), strict=True):
-            doc_ids, lengths, values = simple8b.unpack_shard(content.as_py())
-            lengths = lengths.astype(np.int64)
-            ends = np.cumsum(lengths)
-            values = values.astype("<u4")
-            crcs = [zlib.crc32(values[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {
+def _reader(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                with store.open_input_stream(f"{base}/{name}") as file:
+                    doc_ids, lengths, values = simple8b.unpack_shard(file.read())
+                lengths = lengths.astype(np.int64)
+                ends = np.cumsum(lengths)
+                values = values.astype("<u4")
+                crcs = [zlib.crc32(values[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                columns = {
                     "doc_id": pa.array([None if d == NO_ID else d for d in doc_ids.tolist()], pa.int64()),
                     "start": pa.array(start + ends - lengths, pa.int64()),
                     "n_tokens": pa.array(lengths, pa.int64()),
                     "ids_crc32": pa.array(crcs, pa.int64()),
                 }
-            )
+                yield pa.RecordBatch.from_pydict(columns)
 
+    return run
 
-def read_token_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(manifest.select("name", "start"), "name").select("start", "content").mapInArrow(
-        _reader, "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+def read_token_shards(folder: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files of the manifest."""
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("name", "start").repartition(tasks).mapInArrow(
+        _reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
 def token_shards(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    spark = docs.sparkSession
-    folder = shared_path(spark, "shards")
-    return read_token_shards(spark, folder, write_token_shards(docs, folder, vocabulary))
+    folder = shared_path(docs.sparkSession, "shards")
+    return read_token_shards(folder, write_token_shards(docs, folder, vocabulary))
