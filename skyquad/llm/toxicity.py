@@ -4,7 +4,9 @@ Model. For each word and each word prefix of a few lengths, training documents w
 by label. A word's rate of toxic documents has a Dirichlet prior centred on the rate of its longest
 prefix, whose own prior is centred on the next shorter one, and so on up to the base rate; the
 word's weight is the log-odds of that rate against the base rate. Words the model doesn't know
-inherit the weight of their longest known prefix; every other token costs ``DRIFT``.
+inherit the weight of their longest known prefix. Weights below ``FLOOR`` are chance and count,
+like every other token, as a cost of ``DRIFT``; a word's k-th occurrence in a text counts 1 / k, as
+words repeat in bursts.
 
 Scan. One linear pass over a text finds all maximal-scoring segments of these weights. Against
 clean documents the best segment of n tokens has an extreme-value distribution,
@@ -41,10 +43,10 @@ from .common import stash, whole_text
 TRAIN_DOCS = 24_000
 FEATURES = 65_536
 PREFIXES = (4, 5, 6)
-LEAST_DOCS = 3
+LEAST_DOCS = 4
 STRENGTH = 8.0  # of the prior, in documents
 DRIFT = 0.05
-FLOOR = 1.0  # least weight of a token that can begin a segment
+FLOOR = 2.0  # least weight of a token that can begin a segment
 _SEEN = 400_000  # words whose weight a Python worker remembers
 
 _words = re.compile(r"\w+").findall
@@ -99,7 +101,12 @@ class Model:
                     found[i] = w = self.weight(words[i])
                     if len(seen) < _SEEN and len(words[i]) < 50:
                         seen[words[i]] = w
-        return len(words), segments([(i, w) for i, w in enumerate(found) if w])
+        hits, times = [], Counter()
+        for i, w in enumerate(found):
+            if w:
+                times[words[i]] += 1
+                hits.append((i, w / times[words[i]]))
+        return len(words), segments(hits)
 
     def evidence(self, n_words: int, scores: list[float]) -> float:
         chance = math.log(max(self.scale * max(n_words, 1), 1e-12))
