@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, piece_bpe, simhash, token_binary, token_counts, topk_search, toxicity
+from . import exact_dedup, html_text, packing, piece_bpe, quotes, simhash, token_binary, token_counts, topk_search, toxicity
 from .common import table
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -53,6 +57,61 @@ def queries() -> dict:
 
 
 ORACLES = {
+    "op1_quotation_linking": """
+        WITH RECURSIVE rows AS (
+            SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS lines FROM conversations
+        ), messages AS (
+            SELECT *, array_to_string(list_filter(lines, lambda x, i:
+                       NOT regexp_matches(x, '^[ \t]{0,3}>')
+                       AND NOT (regexp_matches(x, '^On .* wrote:[ \t]*$') AND coalesce(regexp_matches(lines[i + 1], '^[ \t]{0,3}>'), false))), chr(10)) AS own
+            FROM rows
+        ), named AS (
+            SELECT * FROM messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+        ), parts AS (
+            SELECT conv_id, turn, 'passage' AS kind, unnest(string_split_regex(own, '\n[ \t]*\n')) AS part FROM named
+            UNION ALL
+            SELECT conv_id, turn, 'line', unnest(string_split(own, chr(10))) FROM named
+        ), originals AS (
+            SELECT conv_id, kind, part, min(turn) AS origin
+            FROM (SELECT conv_id, turn, kind, trim(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g')) AS part FROM parts)
+            WHERE part <> '' GROUP BY ALL
+        ), numbered AS (
+            SELECT conv_id, turn, lines AS copy, unnest(range(len(lines))) AS n, unnest(lines) AS line
+            FROM (SELECT DISTINCT conv_id, turn, lines FROM named)
+        ), quoted AS (
+            SELECT *, n - row_number() OVER (PARTITION BY conv_id, turn, copy, level ORDER BY n) AS run
+            FROM (SELECT conv_id, turn, copy, n,
+                         length(regexp_replace(regexp_extract(line, '^[ \t]{0,3}>(?:[ \t]?>)*'), '[^>]', '', 'g')) AS level,
+                         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]{0,3}>(?:[ \t]?>)*', '')), '[ \t\r\n]+', ' ', 'g')) AS line
+                  FROM numbered)
+            WHERE level > 0 AND line <> ''
+        ), whole AS (
+            SELECT conv_id, turn, copy, level, run, string_agg(line, ' ' ORDER BY n) AS part FROM quoted GROUP BY ALL
+        ), by_passage AS (
+            SELECT w.conv_id, w.turn, w.copy, w.level, w.run, max(origin) AS origin FROM whole w
+            JOIN originals o ON o.kind = 'passage' AND o.conv_id = w.conv_id AND o.part = w.part AND origin < turn GROUP BY ALL
+        ), by_line AS (
+            SELECT q.conv_id, q.turn, q.copy, q.level, q.run, max(origin) AS origin FROM quoted q
+            JOIN originals o ON o.kind = 'line' AND o.conv_id = q.conv_id AND o.part = q.line AND origin < turn GROUP BY ALL
+        ), links AS (
+            SELECT w.conv_id, w.turn, count(*) AS n_quotes, count(coalesce(p.origin, l.origin)) AS n_linked,
+                   coalesce(max(coalesce(p.origin, l.origin)) FILTER (w.level = 1), max(coalesce(p.origin, l.origin))) AS reply_to
+            FROM whole w LEFT JOIN by_passage p USING (conv_id, turn, copy, level, run)
+            LEFT JOIN by_line l USING (conv_id, turn, copy, level, run) GROUP BY ALL
+        ), climb AS (
+            SELECT conv_id, turn, reply_to AS thread_root, CAST(1 AS BIGINT) AS depth FROM links WHERE reply_to IS NOT NULL
+            UNION ALL
+            SELECT c.conv_id, c.turn, l.reply_to, c.depth + 1 FROM climb c JOIN links l ON l.conv_id = c.conv_id AND l.turn = c.thread_root
+            WHERE l.reply_to IS NOT NULL
+        ), threads AS (
+            SELECT conv_id, turn, arg_max(thread_root, depth) AS thread_root, max(depth) AS depth FROM climb GROUP BY ALL
+        )
+        SELECT m.conv_id, m.turn, m.role, trim(regexp_replace(own, '^\n+|\n+$', '', 'g')) AS text,
+               coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, l.reply_to,
+               coalesce(t.thread_root, m.turn) AS thread_root, coalesce(t.depth, 0) AS depth
+        FROM messages m LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn
+        LEFT JOIN threads t ON t.conv_id = m.conv_id AND t.turn = m.turn
+    """,
     "op2_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
