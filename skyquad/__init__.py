@@ -1,0 +1 @@
+"""A Spark engine for astrometric pattern matching: star catalogs, quad indexes, plate solutions."""
