@@ -29,6 +29,11 @@ SQL = {
               FROM (SELECT *, cos(radians(5e-1))*cos(radians(dec))*cos(radians(ra-18e0))
                             + sin(radians(5e-1))*sin(radians(dec)) AS dv FROM sky_stars) a) b
         WHERE abs(xi) < 8e-2 AND abs(yn) < 6e-2""",
+    "matches": """
+        SELECT i.image_id, CAST(i.star_id % 5 AS BIGINT) AS run_id, i.star_id AS quad_id, i.x, i.y, s.ra AS mid_ra, s.dec AS mid_dec,
+               174e0 + CAST((i.star_id*29) % 23 AS DOUBLE)/1e1 + CAST((i.star_id*31) % 97 AS DOUBLE)/1e3 + CASE WHEN i.star_id % 11 = 0 THEN 9e0 ELSE 0e0 END AS scale_ratio,
+               18.1e0 AS ra0, 0.4e0 AS dec0
+        FROM image_stars i JOIN (SELECT star_id, ra, dec FROM sky_stars) s ON i.star_id = s.star_id WHERE i.star_id % 7 < 3""",
     "dso": """
         SELECT CAST(p_partkey AS BIGINT) AS dso_id,
                CAST((p_partkey*p_partkey*7919 + p_size*104729) % 360000 AS DOUBLE)/1e3 AS ra,
@@ -85,6 +90,14 @@ def pictures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, WIDTH, HEIGHT)], "image_id long, width long, height long")
 
 
+def fixture_index_options(stars: DataFrame):
+    """Four passes below the catalog's own density; a sparse catalog begins with it."""
+    from .operators.index import IndexOptions
+
+    density = star_density(stars)
+    return IndexOptions(density if density < 2 else density / 4 if density < 50 else density / 8, last_pass=3)
+
+
 def star_density(stars: DataFrame) -> float:
     """Stars per square degree of the fixture's patch."""
     return stars.count() / _PATCH

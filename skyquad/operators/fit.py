@@ -16,7 +16,10 @@ CONSTANTS = list("abcdef")
 LEAST_KEPT = 8
 #: Allowed scale deviation, in sigmas, at small and large median scale ratios.
 SIGMA_RANGE, RATIO_RANGE = (0.66, 2.0), (300.0, 1500.0)
-_RUN = Window.partitionBy(*KEY)
+
+
+def _run():
+    return Window.partitionBy(*KEY)
 
 
 def terms(x: Column, y: Column, u: Column, v: Column) -> dict[str, Column]:
@@ -25,29 +28,29 @@ def terms(x: Column, y: Column, u: Column, v: Column) -> dict[str, Column]:
     return {"n": one, "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y, "u": u, "xu": x * u, "yu": y * u, "v": v, "xv": x * v, "yv": y * v}
 
 
-def solve_three(s: dict[str, Column], w: str) -> list[Column]:
-    """p, q, r with the least squares of ``p x + q y + r + w`` by Cramer's rule; null where the
-    points lie on a line."""
-    b0, b1, b2 = -s["x" + w], -s["y" + w], -s[w]
-
-    def det(m: list[list[Column]]) -> Column:
-        return (
-            m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1])
-            - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0])
-            + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
-        )
-
-    rows = [[s["xx"], s["xy"], s["x"]], [s["xy"], s["yy"], s["y"]], [s["x"], s["y"], s["n"]]]
-    whole = det(rows)
-    out = []
-    for k in range(3):
-        swapped = [[b if j == k else row[j] for j in range(3)] for row, b in zip(rows, (b0, b1, b2), strict=True)]
-        out.append(F.try_divide(det(swapped), whole))
-    return out
-
-
-def plate_constants(s: dict[str, Column]) -> dict[str, Column]:
-    return dict(zip(CONSTANTS, [*solve_three(s, "u"), *solve_three(s, "v")], strict=True))
+def add_constants(df: DataFrame, sums: dict[str, Column], prefix: str = "") -> DataFrame:
+    """Adds a..f: ``p x + q y + r + w`` with the least squares, for w = u and w = v, by cofactors of
+    the symmetric normal matrix; null where the points lie on a line."""
+    s = {k: F.col(f"_{prefix}{k}") for k in sums}
+    out = df.withColumns({f"_{prefix}{k}": v for k, v in sums.items()})
+    cofactors = {
+        "00": s["yy"] * s["n"] - s["y"] * s["y"],
+        "01": s["x"] * s["y"] - s["xy"] * s["n"],
+        "02": s["xy"] * s["y"] - s["yy"] * s["x"],
+        "11": s["xx"] * s["n"] - s["x"] * s["x"],
+        "12": s["xy"] * s["x"] - s["xx"] * s["y"],
+        "22": s["xx"] * s["yy"] - s["xy"] * s["xy"],
+    }
+    out = out.withColumns({f"_{prefix}c{k}": v for k, v in cofactors.items()})
+    c = {k: F.col(f"_{prefix}c{k}") for k in cofactors} | {k[::-1]: F.col(f"_{prefix}c{k}") for k in cofactors}
+    out = out.withColumn(f"_{prefix}det", s["xx"] * c["00"] + s["xy"] * c["01"] + s["x"] * c["02"])
+    found = {}
+    for names, w in (("abc", "u"), ("def", "v")):
+        for row, name in enumerate(names):
+            dot = c[f"{row}0"] * s["x" + w] + c[f"{row}1"] * s["y" + w] + c[f"{row}2"] * s[w]
+            found[f"{prefix}{name}"] = F.try_divide(-dot, F.col(f"_{prefix}det"))
+    extra = [f"_{prefix}{k}" for k in sums] + [f"_{prefix}c{k}" for k in cofactors] + [f"_{prefix}det"]
+    return out.withColumns(found).drop(*extra)
 
 
 def with_plane(matches: DataFrame) -> DataFrame:
@@ -66,11 +69,12 @@ def influence(matches: DataFrame) -> DataFrame:
     """Adds d_a..d_f, the change of each constant when the match is left out, and d_scale, its
     distance from the median scale ratio."""
     own = terms(*[F.col(c) for c in ("x", "y", "u", "v")])
-    totals = matches.withColumns({f"_s_{k}": F.sum(t).over(_RUN) for k, t in own.items()})
-    all_ = plate_constants({k: F.col(f"_s_{k}") for k in own})
-    without = plate_constants({k: F.col(f"_s_{k}") - t for k, t in own.items()})
-    out = totals.withColumns({f"d_{c}": without[c] - all_[c] for c in CONSTANTS} | {"_median": F.median("scale_ratio").over(_RUN)})
-    return out.withColumn("d_scale", F.abs(F.col("_median") - F.col("scale_ratio"))).drop(*[f"_s_{k}" for k in own])
+    totals = matches.withColumns({f"_s_{k}": F.sum(t).over(_run()) for k, t in own.items()})
+    out = add_constants(totals, {k: F.col(f"_s_{k}") for k in own}, "all_")
+    out = add_constants(out, {k: F.col(f"_s_{k}") - t for k, t in own.items()}, "less_")
+    out = out.withColumns({f"d_{c}": F.col(f"less_{c}") - F.col(f"all_{c}") for c in CONSTANTS} | {"_median": F.median("scale_ratio").over(_run())})
+    out = out.withColumn("d_scale", F.abs(F.col("_median") - F.col("scale_ratio")))
+    return out.drop(*[f"_s_{k}" for k in own], *[f"{p}_{c}" for p in ("all", "less") for c in CONSTANTS])
 
 
 def clip_influence(matches: DataFrame) -> DataFrame:
@@ -78,13 +82,13 @@ def clip_influence(matches: DataFrame) -> DataFrame:
     run that would be left with fewer than eight keeps all of them."""
     moved = influence(matches)
     names = [f"d_{c}" for c in CONSTANTS]
-    sigmas = {f"_t{n}": F.sqrt(F.avg(F.col(n) * F.col(n)).over(_RUN)) * 2e0 for n in names}
-    sigmas["_td_scale"] = F.sqrt(F.avg(F.col("d_scale") * F.col("d_scale")).over(_RUN)) * sigma_factor(F.col("_median"))
+    sigmas = {f"_t{n}": F.sqrt(F.avg(F.col(n) * F.col(n)).over(_run())) * 2e0 for n in names}
+    sigmas["_td_scale"] = F.sqrt(F.avg(F.col("d_scale") * F.col("d_scale")).over(_run())) * sigma_factor(F.col("_median"))
     tested = moved.withColumns(sigmas)
     bad = F.lit(False)
     for n in [*names, "d_scale"]:
         bad = bad | F.coalesce(F.abs(F.col(n)) > F.col(f"_t{n}"), F.lit(False))
-    tested = tested.withColumn("_good", ~bad).withColumn("_left", F.sum(F.col("_good").cast("int")).over(_RUN))
+    tested = tested.withColumn("_good", ~bad).withColumn("_left", F.sum(F.col("_good").cast("int")).over(_run()))
     return tested.filter((F.col("_left") < LEAST_KEPT) | F.col("_good")).drop(*sigmas, *names, "d_scale", "_good", "_left", "_median")
 
 
@@ -103,5 +107,4 @@ def fit_plates(matches: DataFrame) -> DataFrame:
     """Plate constants of each run: image_id, run_id, ra0, dec0, a..f, n_matches."""
     own = terms(*[F.col(c) for c in ("x", "y", "u", "v")])
     sums = matches.groupBy(*KEY).agg(F.first("ra0").alias("ra0"), F.first("dec0").alias("dec0"), F.count(F.lit(1)).alias("n_matches"), *[F.sum(t).alias(f"_s_{k}") for k, t in own.items()])
-    found = plate_constants({k: F.col(f"_s_{k}") for k in own})
-    return sums.withColumns(found).drop(*[f"_s_{k}" for k in own])
+    return add_constants(sums, {k: F.col(f"_s_{k}") for k in own}).drop(*[f"_s_{k}" for k in own])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import narrow
 from ..functions.sphere import angular_distance
+from ..storage import stash
 from .cells import add_bounds_center, assign_cells, sky_cells, subdivide
 from .quads import catalog_quads
 
@@ -120,8 +121,8 @@ def describe_subcells(quads: DataFrame, options: IndexOptions) -> DataFrame:
 
 def build_index(stars: DataFrame, options: IndexOptions = IndexOptions()) -> Index:  # noqa: B008
     """The index of all cells as one job. ``stars``: star_id, ra, dec, mag."""
-    quads = catalog_quads(select_pass_stars(stars, options))
-    return Index(quads, describe_passes(quads, options), describe_subcells(quads, options))
+    quads = stash(catalog_quads(select_pass_stars(stars, options)), "quads")
+    return Index(quads, stash(describe_passes(quads, options), "passes"), stash(describe_subcells(quads, options), "subcells"))
 
 
 def write_index(stars: DataFrame, folder: str, options: IndexOptions = IndexOptions(), resume: bool = True) -> Index:  # noqa: B008

@@ -16,7 +16,10 @@ BINS = 10
 #: Columns of a match.
 MATCH = "image_id long, run_id long, quad_id long, cell_id string, pass int, subcell int, pos long, scale_ratio double, x double, y double, mid_ra double, mid_dec double"
 _NAMES = [c.split()[0] for c in MATCH.split(", ")]
-_RUN = Window.partitionBy("image_id", "run_id")
+
+
+def _run():
+    return Window.partitionBy("image_id", "run_id")
 
 
 def _take(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -48,8 +51,8 @@ def one_to_one(potential: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
 
 def scale_gate(matches: DataFrame, gate: Column, least: int = LEAST_MATCHES) -> DataFrame:
     """Runs with enough matches whose scale ratios have a median absolute deviation of at most ``gate``."""
-    medians = matches.withColumns({"_n": F.count(F.lit(1)).over(_RUN), "_median": F.median("scale_ratio").over(_RUN)})
-    spread = medians.withColumn("_mad", F.median(F.abs(F.col("scale_ratio") - F.col("_median"))).over(_RUN))
+    medians = matches.withColumns({"_n": F.count(F.lit(1)).over(_run()), "_median": F.median("scale_ratio").over(_run())})
+    spread = medians.withColumn("_mad", F.median(F.abs(F.col("scale_ratio") - F.col("_median"))).over(_run()))
     return spread.filter((F.col("_n") >= least) & (F.col("_mad") <= gate)).drop("_n", "_median", "_mad")
 
 
@@ -57,11 +60,11 @@ def weighted_bins(matches: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
     """Matches nearer to the weighted mean scale ratio than the standard deviation around it. Each
     ratio weighs as much as its bin of ten has members. Equal ratios have no deviation, and as the
     bound is strict, none of them is kept, as in the original."""
-    low, high = F.min("scale_ratio").over(_RUN), F.max("scale_ratio").over(_RUN)
+    low, high = F.min("scale_ratio").over(_run()), F.max("scale_ratio").over(_run())
     binned = matches.withColumn("_bin", F.floor((F.col("scale_ratio") - low) / ((high - low) / BINS + 1e0)).cast("int"))
     weighed = binned.withColumn("_weight", F.count(F.lit(1)).over(Window.partitionBy("image_id", "run_id", "_bin")))
-    mean = F.sum(F.col("_weight") * F.col("scale_ratio")).over(_RUN) / F.sum("_weight").over(_RUN)
+    mean = F.sum(F.col("_weight") * F.col("scale_ratio")).over(_run()) / F.sum("_weight").over(_run())
     near = weighed.withColumn("_off", F.col("scale_ratio") - mean)
-    near = near.withColumn("_std", F.sqrt(F.avg(F.col("_off") * F.col("_off")).over(_RUN))).filter(F.abs("_off") < F.col("_std"))
-    kept = near.withColumn("_kept", F.count(F.lit(1)).over(_RUN)).filter(F.col("_kept") >= least)
+    near = near.withColumn("_std", F.sqrt(F.avg(F.col("_off") * F.col("_off")).over(_run()))).filter(F.abs("_off") < F.col("_std"))
+    kept = near.withColumn("_kept", F.count(F.lit(1)).over(_run())).filter(F.col("_kept") >= least)
     return kept.drop("_bin", "_weight", "_off", "_std", "_kept")

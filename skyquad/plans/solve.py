@@ -19,6 +19,7 @@ from ..operators import fit, lookup, match
 from ..operators.bandjoin import candidates, ratio_range
 from ..operators.index import Index
 from ..operators.quads import brightest, picture_quads
+from ..storage import stash
 from .runs import by_radius, density_offsets
 
 #: Recommended limits; values beyond them are slow or unlikely to solve, not wrong.
@@ -64,10 +65,10 @@ class Search:
 
 def open_search(stars: DataFrame, pictures: DataFrame, index: Index, options: SolveOptions = SolveOptions()) -> Search:  # noqa: B008
     """``stars``: image_id, star_id, x, y, brightness, size. ``pictures``: image_id, width, height."""
-    quads = picture_quads(brightest(stars, options.max_stars))
+    quads = stash(picture_quads(brightest(stars, options.max_stars)), "picture-quads")
     low, high = ratio_range(quads)
     in_range = index.quads.filter(F.col("r0").between(F.lit(low).cast("float"), F.lit(high).cast("float")))
-    return Search(pictures, quads, candidates(quads, in_range), index, options)
+    return Search(pictures, quads, stash(candidates(quads, in_range), "pairs"), index, options)
 
 
 def prepare_runs(search: Search, runs: DataFrame) -> DataFrame:
@@ -108,9 +109,10 @@ def fit_matches(potential: DataFrame, runs: DataFrame) -> DataFrame:
     """Plate solutions of the runs. ``runs`` has ra0, dec0 (reference position) and gate besides width and height."""
     taken = match.one_to_one(potential).join(runs.select("image_id", "run_id", "gate", "ra0", "dec0"), ["image_id", "run_id"])
     trusted = match.weighted_bins(match.scale_gate(taken, F.col("gate")))
-    kept = fit.clip_influence(fit.with_plane(trusted))
+    kept = stash(fit.clip_influence(fit.with_plane(trusted)), "matches")
     plates = fit.fit_plates(kept).join(fit.pixels_per_degree(kept), ["image_id", "run_id"])
-    solved = add_wcs(plates.join(runs.select("image_id", "run_id", "width", "height"), ["image_id", "run_id"]))
+    sized = plates.join(runs.select("image_id", "run_id", "width", "height"), ["image_id", "run_id"])
+    solved = add_wcs(stash(sized, "plates"))  # a row per run that got so far; keeps generated code small
     return solved.filter(is_valid()).select(*SOLUTION)
 
 
@@ -120,8 +122,9 @@ def solve_runs(search: Search, runs: DataFrame, only: DataFrame | None = None) -
     asked = prepare_runs(search, runs).withColumns({"ra0": F.col("ra"), "dec0": F.col("dec")})
     if only is not None:
         asked = asked.join(only, ["image_id", "run_id"], "left_semi")
-    potential = find_potential(search, asked)
-    first = fit_matches(potential, asked)
+    asked = stash(asked, "runs")
+    potential = stash(find_potential(search, asked), "potential")
+    first = stash(fit_matches(potential, asked), "first")
     extra = asked.select("image_id", "run_id", "per_degree", "offsets", F.col("radius").alias("run_radius"))
     again = first.select("image_id", "run_id", "ra", "dec", "radius", "width", "height").join(extra, ["image_id", "run_id"])
     again = again.filter(F.col("radius") <= F.col("run_radius") * 2)
@@ -160,46 +163,41 @@ def solve_staged(
     spark = stars.sparkSession
     tell = progress or (lambda step, facts: None)
     search = open_search(stars, pictures, index, options)
-    search.quads, search.pairs = search.quads.persist(), search.pairs.persist()
-    runs = by_radius(runs).persist()
-    solved, tried, open_pictures = None, None, pictures.persist()
-    try:
-        waiting = open_pictures.count()
-        tell("quads_formed", {"pictures": waiting, "pairs": search.pairs.count()})
-        groups = runs.groupBy("radius_group").agg(F.min("run_id").alias("first"), F.max("run_id").alias("last"), F.count(F.lit(1)).alias("n")).orderBy("radius_group").collect()
-        stages = [(s, g["radius_group"], at, at + _batch_size(g["n"])) for s in range(options.subsets) for g in groups for at in range(g["first"], g["last"] + 1, _batch_size(g["n"]))]
-        for subset, group, low, high in stages:
-            if cancelled and cancelled():
-                return None
-            batch = runs.filter((F.col("radius_group") == group) & (F.col("run_id") >= low) & (F.col("run_id") < high)).drop("radius_group")
-            asked = prepare_runs(Search(open_pictures, search.quads, search.pairs, index, options), batch)
-            if tried is not None:
-                asked = asked.join(tried, ["image_id", "run_id"], "left_anti")
-            hits = count_potential(find_potential(search, asked, options.subsets, subset)).persist()
-            for least, most in ((match.LEAST_MATCHES, None), (1, match.LEAST_MATCHES - 1)):
-                chosen = hits.filter(F.col("n_potential") >= least)
-                chosen = chosen if most is None else chosen.filter(F.col("n_potential") <= most)
-                if (most is not None and options.subsets == 1) or chosen.isEmpty():
-                    continue
-                left = Search(open_pictures, search.quads, search.pairs, index, options)
-                found = first_success(solve_runs(left, batch, chosen.select("image_id", "run_id")))
-                rows = found.collect()  # one row per solved picture
-                tell("batch_done", {"subset": subset, "radius_group": group, "runs": low, "solved": len(rows)})
-                if rows:
-                    found = spark.createDataFrame(rows, found.schema)
-                    solved = found if solved is None else solved.unionByName(found)
-                    open_pictures = open_pictures.join(found, "image_id", "left_anti").persist()
-                    waiting -= len(rows)
-                if not waiting:
-                    break
+    runs = stash(by_radius(runs), "plan")
+    solved, tried, open_pictures = None, None, pictures
+    waiting = open_pictures.count()
+    tell("quads_formed", {"pictures": waiting, "pairs": search.pairs.count()})
+    groups = runs.groupBy("radius_group").agg(F.min("run_id").alias("first"), F.max("run_id").alias("last"), F.count(F.lit(1)).alias("n")).orderBy("radius_group").collect()
+    stages = [(s, g["radius_group"], at, at + _batch_size(g["n"])) for s in range(options.subsets) for g in groups for at in range(g["first"], g["last"] + 1, _batch_size(g["n"]))]
+    for subset, group, low, high in stages:
+        if cancelled and cancelled():
+            return None
+        batch = runs.filter((F.col("radius_group") == group) & (F.col("run_id") >= low) & (F.col("run_id") < high)).drop("radius_group")
+        asked = prepare_runs(Search(open_pictures, search.quads, search.pairs, index, options), batch)
+        if tried is not None:
+            asked = asked.join(tried, ["image_id", "run_id"], "left_anti")
+        hits = stash(count_potential(find_potential(search, asked, options.subsets, subset)), "hits")
+        for least, most in ((match.LEAST_MATCHES, None), (1, match.LEAST_MATCHES - 1)):
+            chosen = hits.filter(F.col("n_potential") >= least)
+            chosen = chosen if most is None else chosen.filter(F.col("n_potential") <= most)
+            if (most is not None and options.subsets == 1) or chosen.isEmpty():
+                continue
+            left = Search(open_pictures, search.quads, search.pairs, index, options)
+            found = first_success(solve_runs(left, batch, chosen.select("image_id", "run_id")))
+            rows = found.collect()  # one row per solved picture
+            tell("batch_done", {"subset": subset, "radius_group": group, "runs": low, "solved": len(rows)})
+            if rows:
+                found = spark.createDataFrame(rows, found.schema)
+                solved = found if solved is None else solved.unionByName(found)
+                open_pictures = stash(open_pictures.join(found, "image_id", "left_anti"), "pictures")
+                waiting -= len(rows)
             if not waiting:
                 break
-            again = hits.select("image_id", "run_id")
-            tried = again if tried is None else tried.unionByName(again)
-        return solved if solved is not None else spark.createDataFrame([], solve_schema())
-    finally:
-        for held in (search.quads, search.pairs, runs):
-            held.unpersist()
+        if not waiting:
+            break
+        again = hits.select("image_id", "run_id")
+        tried = again if tried is None else tried.unionByName(again)
+    return solved if solved is not None else spark.createDataFrame([], solve_schema())
 
 
 def solve_schema() -> str:
