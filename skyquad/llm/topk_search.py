@@ -102,6 +102,8 @@ class Index:
         for step, segment in enumerate(order.tolist()):
             if step in looks:
                 leaders = np.flatnonzero(live)
+                if len(leaders) <= 2 * k:
+                    return self._exact(query, leaders, k)
                 leaders = leaders[np.argpartition(-met[leaders], k)[: 2 * k]]
                 goal = np.sort(self.matrix[leaders] @ query)[-k] - int(least @ query)
                 rest = np.where(left > 0, left.max(axis=1, keepdims=True), 0)
