@@ -111,10 +111,9 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     def sub(column: str, ball: bool) -> Column:
         """Keys of the two 16-bit halves of the other segment."""
-        parts = [F.shiftrightunsigned(other(column), 16), other(column).bitwiseAND(F.lit(0xFFFF))]
-        return F.concat(
-            *[F.transform(_ball(p, 16) if ball else F.array(p), lambda v, t=t: v.bitwiseOR(F.lit(t << 16).cast("long"))) for t, p in enumerate(parts)]
-        )
+        upper, lower = F.shiftrightunsigned(other(column), 16), other(column).bitwiseAND(F.lit(0xFFFF))
+        keys = [_ball(p, 16) if ball else F.array(p) for p in (upper, lower)]
+        return F.concat(keys[0], F.transform(keys[1], lambda v: v.bitwiseOR(F.lit(1 << 16).cast("long"))))
 
     plain = left.join(heavy, "key", "left_anti").join(right.join(heavy, "key", "left_anti"), "key")
     full = (
