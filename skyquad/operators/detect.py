@@ -60,9 +60,9 @@ def pixel_runs(bright: DataFrame) -> DataFrame:
 
 def run_links(runs: DataFrame) -> DataFrame:
     """Pairs of runs that touch in neighbouring rows, corners included. ``runs`` has run (an id)."""
-    lower = runs.select("image_id", (F.col("y") + 1).alias("y"), F.col("left").alias("l2"), F.col("right").alias("r2"), F.col("run").alias("b"))
-    pairs = runs.join(lower, ["image_id", "y"]).filter((F.col("l2") <= F.col("right") + 1) & (F.col("r2") >= F.col("left") - 1))
-    return pairs.select("image_id", F.col("run").alias("a"), "b")
+    above = runs.select("image_id", (F.col("y") + 1).alias("y"), F.col("left").alias("l2"), F.col("right").alias("r2"), F.col("run").alias("a"))
+    pairs = runs.join(above, ["image_id", "y"]).filter((F.col("l2") <= F.col("right") + 1) & (F.col("r2") >= F.col("left") - 1))
+    return pairs.select("image_id", "a", F.col("run").alias("b"))
 
 
 def spread_labels(runs: DataFrame, links: DataFrame) -> DataFrame:

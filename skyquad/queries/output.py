@@ -126,7 +126,7 @@ def snk_10(spark, sf_dir):
 _BENCH = "SELECT CAST(l_orderkey % 50 AS BIGINT) AS config_id, CAST(l_linenumber AS BIGINT)*1000000 + l_orderkey AS iteration, CAST(l_quantity AS DOUBLE) AS duration_solve, l_quantity > 49 AS solved, l_returnflag AS errors, 'image' AS image_name FROM lineitem WHERE l_linenumber = 1"
 
 
-@A("agg_27_benchmark_average", f"WITH b AS ({_BENCH}) SELECT config_id, round(avg(duration_solve), 6) AS duration_solve, bool_or(solved) AS solved, string_agg(errors, '; ' ORDER BY iteration) AS errors, 'image' AS image_name FROM b GROUP BY config_id")
+@A("agg_27_benchmark_average", f"WITH b AS ({_BENCH}) SELECT config_id, round(avg(duration_solve), 6) AS duration_solve, bool_or(solved) AS solved, string_agg(errors, '; ' ORDER BY iteration, errors) AS errors, 'image' AS image_name FROM b GROUP BY config_id")
 def agg_27(spark, sf_dir):
     rows = spark.sql(_BENCH.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     found = results.average_runs(rows)

@@ -93,8 +93,8 @@ S(
         "dec_deg": (lambda: r6(angles.dec_text_to_degrees("raw")), sql_r6("(CASE WHEN neg THEN -1e0 ELSE 1e0 END)*(h + m/60e0 + s/3600e0)")),
     },
 )
-_SHORT = lambda v: f"regexp_replace(printf('%.2f', round_even({v}, 2)), '\\.?0+$', '')"
-S("fn_18_position_label", "sky_stars", _POS, {"txt": (lambda: angles.position_label("ra", "dec", 2), f"'[' || {_SHORT('ra')} || ', ' || {_SHORT('dec')} || ']'")})
+_SHORT = lambda v: f"regexp_replace(printf('%.3f', round_even({v}, 3)), '\\.?0+$', '')"
+S("fn_18_position_label", "sky_stars", {"ra": "ra + 3e-4", "dec": "dec + 3e-4"}, {"txt": (lambda: angles.position_label("ra", "dec", 3), f"'[' || {_SHORT('ra')} || ', ' || {_SHORT('dec')} || ']'")})
 S("fn_19_pixel_distance", "image_stars", {"x": "x", "y": "y"}, {"d": (lambda: r6(F.sqrt((F.col("x") - 800) * (F.col("x") - 800) + (F.col("y") - 600) * (F.col("y") - 600))), sql_r6("sqrt((x-800)*(x-800) + (y-600)*(y-600))"))})
 S("fn_20_angle_difference", "sky_stars", _PAIR, {"d": (lambda: r6(angles.angle_difference("ra", "ra2")), sql_r6("least(abs(ra - ra2) % 360e0, 360e0 - abs(ra - ra2) % 360e0)"))})
 S("fn_21_cell_names", "sky_stars", {"b": "CAST(star_id % 18 AS INT)", "c": "CAST(star_id % 36 AS INT)"}, {"cell_id": (lambda: cells.cell_id("b", "c"), "printf('b%02dc%02d', b, c)"), "cell_num": (lambda: F.col("b") * 1000 + F.col("c"), "b*1000 + c")})

@@ -41,7 +41,7 @@ def as_tsv(solutions: DataFrame, extended: bool = False) -> DataFrame:
 def average_runs(rows: DataFrame) -> DataFrame:
     """Benchmark rows averaged over the iterations of a configuration: means of the numbers, whether
     any solved, errors joined in order of iteration."""
-    numbers = [c for c, kind in rows.dtypes if kind in ("double", "float", "int", "bigint") and c not in ("iteration",)]
+    numbers = [c for c, kind in rows.dtypes if kind in ("double", "float", "int", "bigint") and c not in ("iteration", "config_id")]
     errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "errors"))), lambda e: F.coalesce(e["errors"], F.lit(""))), "; ")
     return rows.groupBy("config_id").agg(*[F.avg(c).alias(c) for c in numbers], F.bool_or("solved").alias("solved"), errors.alias("errors"), F.min_by("image_name", "iteration").alias("image_name"))
 
