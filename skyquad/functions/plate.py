@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .angles import positive_ra
 from .base import Value, col
 from .sphere import from_plane, to_plane
 
@@ -40,27 +41,32 @@ def add_wcs(solved: DataFrame) -> DataFrame:
     width and height. RA differences of one-pixel steps are wrapped; crota stays 0 where either
     off-diagonal term is 0."""
     half_x, half_y = F.floor(F.col("width") / 2).cast("double"), F.floor(F.col("height") / 2).cast("double")
-
-    def sky(dx: float, dy: float) -> Column:
-        x, y = half_x + dx, half_y + dy
-        ra, dec = from_plane("ra0", "dec0", F.col("a") * x + F.col("b") * y + F.col("c"), F.col("d") * x + F.col("e") * y + F.col("f"))
-        return F.struct(ra.alias("ra"), dec.alias("dec"))
-
-    out = solved.withColumns({"_mid": sky(0, 0), "_right": sky(1, 0), "_up": sky(0, 1)})
-    shrink = F.cos(F.radians("_mid.dec"))
+    steps = {"mid": (0, 0), "right": (1, 0), "up": (0, 1)}
+    # One projection per step of the derivation: each value is computed once and generated code stays small.
+    out = solved.withColumns({"_px": half_x, "_py": half_y})
+    out = out.withColumns(
+        {f"_x_{n}": F.col("a") * (F.col("_px") + dx) + F.col("b") * (F.col("_py") + dy) + F.col("c") for n, (dx, dy) in steps.items()}
+        | {f"_y_{n}": F.col("d") * (F.col("_px") + dx) + F.col("e") * (F.col("_py") + dy) + F.col("f") for n, (dx, dy) in steps.items()}
+    )
+    raw = {n: from_plane("ra0", "dec0", f"_x_{n}", f"_y_{n}", wrap=False) for n in steps}
+    out = out.withColumns({f"_ra_{n}": v[0] for n, v in raw.items()} | {f"_dec_{n}": v[1] for n, v in raw.items()})
+    out = out.withColumns({f"_ra_{n}": positive_ra(f"_ra_{n}") for n in steps})
+    out = out.withColumns({"_east": F.col("_ra_right") - F.col("_ra_mid"), "_north": F.col("_ra_up") - F.col("_ra_mid")})
+    shrink = F.cos(F.radians("_dec_mid"))
     out = out.withColumns({
-        "ra": F.col("_mid.ra"),
-        "dec": F.col("_mid.dec"),
-        "cd1_1": _turn(F.col("_right.ra") - F.col("_mid.ra")) * shrink,
-        "cd2_1": F.col("_right.dec") - F.col("_mid.dec"),
-        "cd1_2": _turn(F.col("_up.ra") - F.col("_mid.ra")) * shrink,
-        "cd2_2": F.col("_up.dec") - F.col("_mid.dec"),
+        "ra": F.col("_ra_mid"),
+        "dec": F.col("_dec_mid"),
+        "cd1_1": _turn(F.col("_east")) * shrink,
+        "cd2_1": F.col("_dec_right") - F.col("_dec_mid"),
+        "cd1_2": _turn(F.col("_north")) * shrink,
+        "cd2_2": F.col("_dec_up") - F.col("_dec_mid"),
     })
     cd = [F.col(f"cd{i}_{j}") for i, j in ((1, 1), (1, 2), (2, 1), (2, 2))]
     out = out.withColumn("_sign", F.when(cd[0] * cd[3] - cd[1] * cd[2] < 0, F.lit(-1e0)).otherwise(F.lit(1e0)))
     sign, turned = F.col("_sign"), (cd[2] != 0) & (cd[1] != 0)
     ratio = -F.col("a") / F.col("d")
-    py = (-(ratio * F.col("f")) - F.col("c")) / (F.col("b") + ratio * F.col("e"))
+    out = out.withColumn("_ref_y", (-(ratio * F.col("f")) - F.col("c")) / (F.col("b") + ratio * F.col("e")))
+    py = F.col("_ref_y")
     size = diagonal("width", "height")
     out = out.withColumns({
         "crota1": F.when(turned, F.degrees(F.atan2(sign * cd[1], cd[3]))).otherwise(0e0),
@@ -77,7 +83,7 @@ def add_wcs(solved: DataFrame) -> DataFrame:
         "radius": size * 0.5 / F.col("pixels_per_degree"),
         "pix_scale": F.lit(3600e0) / F.col("pixels_per_degree"),
     })
-    return out.withColumn("orientation", F.col("crota1")).drop("_mid", "_right", "_up", "_sign")
+    return out.withColumn("orientation", F.col("crota1")).drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def pixel_to_sky(x: Value, y: Value) -> tuple[Column, Column]:

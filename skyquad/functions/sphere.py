@@ -33,12 +33,12 @@ def to_plane(ra: Value, dec: Value, center_ra: Value, center_dec: Value) -> tupl
     return F.cos(d) * F.sin(r) / below, (F.sin(c) * F.cos(d) * F.cos(r) - F.cos(c) * F.sin(d)) / below
 
 
-def from_plane(center_ra: Value, center_dec: Value, x: Value, y: Value) -> tuple[Column, Column]:
+def from_plane(center_ra: Value, center_dec: Value, x: Value, y: Value, wrap: bool = True) -> tuple[Column, Column]:
     """Sky position of *negated* standard coordinates, as plate constants give them."""
     r, d, x, y = F.radians(col(center_ra)), F.radians(col(center_dec)), col(x), col(y)
     ra = r + F.atan2(-x, F.cos(d) - y * F.sin(d))
     dec = F.asin((F.sin(d) + y * F.cos(d)) / F.sqrt(F.lit(1e0) + x * x + y * y))
-    return positive_ra(F.degrees(ra)), F.degrees(dec)
+    return positive_ra(F.degrees(ra)) if wrap else F.degrees(ra), F.degrees(dec)
 
 
 def _polynomial(terms: tuple, a: Column, b: Column) -> Column:

@@ -22,7 +22,8 @@ def cell_id(band: Value, cell: Value) -> Column:
 
 def sky_cells(spark: SparkSession) -> DataFrame:
     """band, cell, cell_id, cell_num, ra_left, ra_right, dec_bottom, dec_top: 406 rows."""
-    bands = spark.createDataFrame(BANDS, "band int, dec_bottom double, dec_top double, width int")
+    rows = ", ".join(f"({band}, {bottom!r}D, {top!r}D, {width})" for band, bottom, top, width in BANDS)
+    bands = spark.sql(f"SELECT * FROM VALUES {rows} AS t(band, dec_bottom, dec_top, width)")
     cells = bands.withColumn("cell", F.explode(F.sequence(F.lit(0), (F.lit(360) / F.col("width")).cast("int") - 1)))
     left = (F.col("cell") * F.col("width")).cast("double")
     return cells.select(

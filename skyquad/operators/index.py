@@ -20,6 +20,7 @@ from .cells import add_bounds_center, assign_cells, sky_cells, subdivide
 from .quads import catalog_quads
 
 STARS_PER_SUBDIVISION = 2000
+LARGEST_CELL = 160.0  # square degrees, more than any cell has
 LEAST_DIVISIONS, MOST_DIVISIONS = 2, 12
 
 
@@ -49,7 +50,8 @@ def divisions(stars_in_cell: Column) -> Column:
 
 def cell_passes(spark: SparkSession, options: IndexOptions) -> DataFrame:
     """A row per cell and pass: its box, area, number of stars to take and divisions."""
-    passes = spark.createDataFrame(options.densities(), "pass int, per_degree double")
+    rows = ", ".join(f"({p}, {density!r}D)" for p, density in options.densities())
+    passes = spark.sql(f"SELECT * FROM VALUES {rows} AS t(pass, per_degree)")
     cells = add_bounds_center(sky_cells(spark)).withColumn("area", F.col("height_deg") * F.col("width_deg"))
     # 406 cells times some passes: a constant table.
     table = cells.join(F.broadcast(passes), F.lit(True)).withColumn("_stars", F.col("per_degree") * F.col("area"))
@@ -76,9 +78,9 @@ def select_pass_stars(stars: DataFrame, options: IndexOptions) -> DataFrame:
     rank holds for all cells, so Spark cuts each partition's sort before the shuffle."""
     spark = stars.sparkSession
     table = cell_passes(spark, options)
-    most = table.agg(F.max("n_stars")).first()[0] or 0
+    most = max((density for _, density in options.densities()), default=0) * LARGEST_CELL
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy("mag10", "star_id"))
-    ranked = index_stars(stars).withColumn("rank", rank).filter(F.col("rank") <= most)
+    ranked = index_stars(stars).withColumn("rank", rank).filter(F.col("rank") <= math.ceil(most))
     wanted = table.select("cell_id", "pass", "n_stars", "divisions", "ra_left", "ra_right", "dec_bottom", "dec_top")
     chosen = ranked.join(F.broadcast(wanted), "cell_id").filter(F.col("rank") <= F.col("n_stars"))
     wide = (F.col("ra_right") - F.col("ra_left")) / F.col("divisions")

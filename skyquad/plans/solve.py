@@ -112,8 +112,9 @@ def fit_matches(potential: DataFrame, runs: DataFrame) -> DataFrame:
     kept = stash(fit.clip_influence(fit.with_plane(trusted)), "matches")
     plates = fit.fit_plates(kept).join(fit.pixels_per_degree(kept), ["image_id", "run_id"])
     sized = plates.join(runs.select("image_id", "run_id", "width", "height"), ["image_id", "run_id"])
-    solved = add_wcs(stash(sized, "plates"))  # a row per run that got so far; keeps generated code small
-    return solved.filter(is_valid()).select(*SOLUTION)
+    # A row per run that got so far. Written before it is filtered: the filter would be pushed below
+    # the derivation and repeat it many times over.
+    return stash(add_wcs(stash(sized, "plates")).select(*SOLUTION), "solved").filter(is_valid())
 
 
 def solve_runs(search: Search, runs: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ def solve_runs(search: Search, runs: DataFrame, only: DataFrame | None = None) -
         asked = asked.join(only, ["image_id", "run_id"], "left_semi")
     asked = stash(asked, "runs")
     potential = stash(find_potential(search, asked), "potential")
-    first = stash(fit_matches(potential, asked), "first")
+    first = fit_matches(potential, asked)
     extra = asked.select("image_id", "run_id", "per_degree", "offsets", F.col("radius").alias("run_radius"))
     again = first.select("image_id", "run_id", "ra", "dec", "radius", "width", "height").join(extra, ["image_id", "run_id"])
     again = again.filter(F.col("radius") <= F.col("run_radius") * 2)
