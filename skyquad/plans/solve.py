@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plate import add_wcs, diagonal, quads_per_square_degree
-from ..functions.ratios import NAMES
 from ..operators import fit, lookup, match
 from ..operators.bandjoin import candidates, ratio_range
 from ..operators.index import Index
@@ -206,4 +205,4 @@ def solve_schema() -> str:
     return ", ".join(f"{c} {kinds.get(c, 'double')}" for c in SOLUTION) + ", n_potential long"
 
 
-__all__ = ["LIMITS", "NAMES", "Search", "SolveOptions", "open_search", "solve_first", "solve_runs", "solve_staged"]
+__all__ = ["LIMITS", "Search", "SolveOptions", "open_search", "solve_first", "solve_runs", "solve_staged"]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture_index_options, with_sql
 from ..operators import cells, index, quads
-from ..storage import stash
 from .base import Registry, band_sql, cells_cte, circle_sql, dist, fixture, r6
 
 REGISTRY = Registry()
@@ -80,9 +79,16 @@ def index_ctes() -> str:
                       FROM boxes b LEFT JOIN subcounts s ON s.cell_id = b.cell_id AND s.pass = b.pass AND s.subcell = b.subcell)"""
 
 
+_BUILT: dict[tuple[str, str], index.Index] = {}
+
+
 def fixture_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    stars = fixture(spark, sf_dir, "sky_stars")
-    return index.build_index(stars, fixture_index_options(stars))
+    """Built and written once per application and folder, then read by all queries that need it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        stars = fixture(spark, sf_dir, "sky_stars")
+        _BUILT[key] = index.build_index(stars, fixture_index_options(stars))
+    return _BUILT[key]
 
 
 def fixture_pass_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,4 +290,4 @@ def win_02(spark, sf_dir):
     return slices(spark, sf_dir, 4).select("cell_id", "pass", "subcell", "pos", "slice")
 
 
-__all__ = ["REGISTRY", "Window", "fixture_index", "index_ctes", "quads_ctes", "stash"]
+__all__ = ["REGISTRY", "fixture_index", "index_ctes", "quads_ctes"]

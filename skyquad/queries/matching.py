@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import HEIGHT, WIDTH, fixture_index_options, pictures, with_sql
-from ..operators import bandjoin, fit, index, lookup, match, quads
+from ..fixtures import HEIGHT, WIDTH, pictures, with_sql
+from ..operators import bandjoin, fit, lookup, match, quads
 from ..plans import solve
 from .base import Registry, circle_sql, dist, fixture, plane_x, plane_y, r6
-from .catalog import _DOUBLES, _PAIRS, as_doubles, fixture_index, index_ctes, quads_ctes
+from .catalog import _DOUBLES, _PAIRS, as_doubles, fixture_index, index_ctes
 
 REGISTRY = Registry()
 A = REGISTRY.add
@@ -66,8 +66,6 @@ _RUNS_CTE = "my_runs(run_id, s_ra, s_dec, s_radius) AS (VALUES " + ", ".join(f"(
 
 
 def _area_ctes() -> str:
-    from .base import cells_cte  # noqa: F401
-
     near = dist("CAST(center_ra AS DOUBLE)", "CAST(center_dec AS DOUBLE)", "s_ra", "s_dec")
     return _pairs_ctes() + f""", {_RUNS_CTE},
     dens AS (SELECT r.*, i.image_id, CAST(floor(n_first/((2e0*s_radius*sin(atan({HEIGHT}e0/{WIDTH}e0)))*(2e0*s_radius*cos(atan({HEIGHT}e0/{WIDTH}e0))))) AS BIGINT) AS per_degree
@@ -390,4 +388,3 @@ def join_10(spark, sf_dir):
     return n.select("run_id", F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"))
 
 
-__all__ = ["REGISTRY", "fixture_index_options", "index", "quads_ctes"]

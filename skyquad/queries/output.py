@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from ..fixtures import with_sql
@@ -155,7 +153,7 @@ def src_05(spark, sf_dir):
 
 _RECORDS = "CASE star_id % 4 WHEN 0 THEN 'BITPIX  =                   16 / bits' WHEN 1 THEN 'OBJECT  = ''M ' || CAST(star_id AS VARCHAR(9)) || '''  / it''s' WHEN 2 THEN 'COMMENT some text / more' ELSE 'EXPTIME =  ' || CAST(star_id AS VARCHAR(9)) || '.5' END"
 S(
-    "src_12_header_records", "sky_stars", {"rec": f"rpad({_RECORDS.replace(chr(39) * 2, '||chr(39)||') if False else _RECORDS}, 80, ' ')"},
+    "src_12_header_records", "sky_stars", {"rec": f"rpad({_RECORDS}, 80, ' ')"},
     {
         "keyword": (lambda: fits.record_keyword("rec"), "rtrim(substr(rec, 1, 8))"),
         "val": (lambda: fits.record_value("rec"), "CASE star_id % 4 WHEN 0 THEN '16' WHEN 1 THEN '''M ' || CAST(star_id AS VARCHAR) || '''' WHEN 2 THEN 'some text' ELSE CAST(star_id AS VARCHAR) || '.5' END"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import with_sql
@@ -104,7 +105,7 @@ def agg_25(spark, sf_dir):
 def top_06(spark, sf_dir):
     found = runs.nearby_runs(spark, _NEARBY)
     starts = found.filter("distance = 0").select(F.col("run_id").alias("start"))
-    n_levels = starts.withColumn("level", F.row_number().over(__import__("pyspark").sql.Window.orderBy("start")) - 1)  # four rows
+    n_levels = starts.withColumn("level", F.row_number().over(Window.orderBy("start")) - 1)  # four rows
     joined = found.join(F.broadcast(n_levels), F.col("run_id") >= F.col("start"))
     level = joined.groupBy("run_id", "distance").agg(F.max("level").alias("level"))
     return level.groupBy("level").agg(F.count(F.lit(1)).alias("n"), r6(F.max("distance")).alias("farthest"))

@@ -27,25 +27,31 @@ _OUT = "job_id string, status string, updated timestamp, n_events long, purged b
 _STATE = "status string, updated timestamp, n_events long"
 
 
+def _row(job_id: str, status: str | None, updated, n: int, purged: bool) -> pd.DataFrame:
+    row = pd.DataFrame([(job_id, status, n, purged)], columns=["job_id", "status", "n_events", "purged"])
+    row.insert(2, "updated", pd.Series([updated], dtype="datetime64[ns]"))
+    return row.astype({"status": object})
+
+
 def _advance(lifetime_ms: int | None) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             status, updated, n = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], status, updated, n, True)], columns=["job_id", "status", "updated", "n_events", "purged"])
+            yield _row(key[0], status, updated, n, True)
             return
-        status, updated, n = state.get if state.exists else (None, pd.NaT, 0)
+        status, updated, n = state.get if state.exists else (None, None, 0)
         # One job's events of a micro-batch: a handful.
         events = pd.concat(list(batches)).sort_values(["ts", "event"])
         for ts, event in zip(events["ts"], events["event"], strict=True):
             n += 1
             moved = TRANSITIONS.get(status, {}).get(event)
             if moved is not None:
-                status, updated = moved, ts
+                status, updated = moved, ts.to_pydatetime()
         state.update((status, updated, n))
         if lifetime_ms is not None:
             state.setTimeoutDuration(lifetime_ms)
-        yield pd.DataFrame([(key[0], status, updated, n, False)], columns=["job_id", "status", "updated", "n_events", "purged"])
+        yield _row(key[0], status, updated, n, False)
 
     return run
 
