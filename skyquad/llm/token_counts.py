@@ -60,8 +60,9 @@ class PreTokens:
         return self._of(text)
 
     def _of(self, text: str) -> list[str]:
-        if not _OTHER.search(text):
-            return _PLAIN.findall(text.lower())
+        lower = text.lower()  # may leave the plain characters: capitals of African and Azerbaijani letters
+        if not _OTHER.search(lower):
+            return _PLAIN.findall(lower)
         text = self.library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
