@@ -264,7 +264,17 @@ def extract(page: str) -> str:
     while node is not None:
         path.append(node.density)
         node = node.parent
-    return "\n".join(_blocks(best, min(path)))
+    threshold = min(path)
+    # Text beside the path that reaches the threshold is main text as well: take what is around both.
+    share = root.link_chars / root.chars
+    node = best
+    while node.parent is not None:
+        own = sum(len("".join(c.split())) for c in node.parent.children if isinstance(c, str))
+        beside = [c.density for c in node.parent.children if isinstance(c, Node) and c is not node and c.chars]
+        node = node.parent
+        if max([*beside, _density(own, 0, 0, 0, share)]) >= threshold:
+            best = node
+    return "\n".join(_blocks(best, threshold))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
