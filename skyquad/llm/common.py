@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, stash
+
+__all__ = ["drop_marked", "new_folder", "stash", "table", "text_digest", "whole_row", "whole_text"]
+
+#: Keys of about 60 bytes that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where none is set (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def whole_text(column: str = "text") -> Column:
+    """The text as the operators read it: null counts as empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skyquad-{name}-{uuid.uuid4().hex}"
+def text_digest(column: str = "text") -> Column:
+    """SHA-256 of the whole text in UTF-8."""
+    return F.unhex(F.sha2(F.encode(whole_text(column), "UTF-8"), 256))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that none of their names can clash with a working column."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
-    This cuts the lineage: what follows doesn't repeat the work when an executor is lost, and
-    several readers see the very same rows.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def drop_marked(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text are in ``gone``; of the rows that share a
+    doc_id and text in ``repeated`` one stays. Both tables: doc_id and digest (of the text).
 
-def whole_text(column: str = "text"):
-    """The text as the operators read it: null counts as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    Up to ``BROADCAST_KEYS`` rows of ``gone``, which are counted, are broadcast, so that no text
+    moves; beyond that one shuffle of the rows by doc_id and digest decides.
+    """
+    gone, repeated = stash(gone.distinct(), "gone"), stash(repeated, "repeated")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
+
+    def same(keys: DataFrame):
+        return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["digest"] == keys["digest"])
+
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    keys = F.broadcast(gone) if few else gone
+    out = rows.join(keys, same(gone), "left_anti")
+    if not repeated.isEmpty():
+        rows = out
+        once = out.join(repeated, same(repeated), "left_anti")
+        out = once.unionByName(out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "digest"]))
+    return out.select("row.*")

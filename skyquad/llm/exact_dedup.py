@@ -4,7 +4,8 @@ A Misra-Gries summary of each partition finds the digests that may be frequent.
 counted exactly (verified), and the verified winners, at most ``counters`` rows, are broadcast, so
 that rows of large groups are decided on the map side and never shuffled. All other digests use
 an ordinary aggregate and join; no group among them holds more than about ``2 / counters`` of the
-rows. Only digests are shuffled, never texts.
+rows. All decisions are taken on digests. ``drop_exact_duplicates`` returns whole rows: it broadcasts
+the keys of the rows that go while they are few, and shuffles the rows by their keys beyond that.
 
 Rules: a null text counts as empty. Of equal texts, the row with the largest doc_id stays; a null
 doc_id is smaller than any other. Rows that repeat both doc_id and text are one group like any
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, whole_text
+from .common import drop_marked, stash, text_digest
 
 COUNTERS = 1024
 
@@ -61,7 +62,7 @@ def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     rows = stash(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.unhex(F.sha2(F.encode(whole_text(), "UTF-8"), 256)).alias("digest"),
+            text_digest().alias("digest"),
             F.monotonically_increasing_id().alias("_row"),
         ),
         "digests",
@@ -84,27 +85,12 @@ def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they came with.
+    """The rows of ``docs`` that stay, with the columns they came with, whatever their names.
 
-    Kept rows are found again by (doc_id, digest). Where a kept row is itself repeated, the
-    repeats are collapsed in a separate, usually absent branch.
+    Rows are found again by doc_id and digest: rows that go are taken out, and where the row that
+    stays is itself repeated, its repeats are collapsed in a separate, usually absent branch.
     """
     marks = stash(exact_duplicates(docs, counters), "marks")
-    kept = marks.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    again = (
-        marks.filter((F.col("group_size") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("doc_id", "digest")
-        .count()
-        .filter("count > 1")
-    )
-    names = docs.columns
-    digest = F.unhex(F.sha2(F.encode(whole_text(), "UTF-8"), 256))
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], digest.alias("_digest"))
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_digest"]), "left_semi")
-    if again.isEmpty():
-        return rows.select(*[F.col(f"`{c}`") for c in names])
-    again = again.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"))
-    same = rows["doc_id"].cast("long").eqNullSafe(again["_id"]) & (rows["_digest"] == again["_d"])
-    once = rows.join(again, same, "left_anti")
-    first = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.unionByName(first).select(*[F.col(f"`{c}`") for c in names])
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    repeated = marks.filter((F.col("group_size") > 1) & own).groupBy("doc_id", "digest").count().filter("count > 1")
+    return drop_marked(docs, marks.filter(~own).select("doc_id", "digest"), repeated.select("doc_id", "digest"))

@@ -15,8 +15,9 @@ capped. Links are between distinct fingerprints only: equal ones are one node.
 
 Rules: a null or empty text has fingerprint zero and is linked like any other. A component's id
 is its smallest doc_id; nulls among doc_ids are ignored there. Rows that repeat a doc_id are
-fingerprinted each; in ``drop_near_duplicates`` the rows of one doc_id stand or fall together,
-those without a doc_id stay. An empty table gives an empty result; other columns are not read.
+fingerprinted each. ``drop_near_duplicates`` keeps one row of each component: that with the smallest
+doc_id, rows without one coming last; rows are told apart by doc_id and text, so a repeated doc_id
+loses no text. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, whole_text
+from .common import drop_marked, stash, text_digest, whole_text
 from .components import components
 
 SHINGLE = 3
@@ -47,7 +48,11 @@ def fingerprint(text: str) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8")
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the unsigned 64-bit hashes set, as a signed integer."""
     votes = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # a bounded table of bits for very long texts
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -62,6 +67,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [fingerprint(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(values, pa.int64())], ["key", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (signed 64-bit) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -124,20 +135,29 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.distinct()
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """fp and root (least fingerprint of its component) of each distinct fingerprint."""
+    distinct = stash(rows.select("fp").distinct(), "distinct")
+    joined = components(links(distinct))
+    return distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
     rows = stash(fingerprints(docs), "fingerprints")
-    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    joined = components(links(distinct.select("fp")))
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(_rooted(rows), "fp")
+    least = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = firsts.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with their columns."""
-    marks = near_duplicates(docs)
-    gone = marks.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """Of each component of ``docs`` the row with the smallest doc_id, with its columns."""
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")).alias("key"), whole_text().alias("text"))
+    rows = stash(rows.mapInArrow(_keyed_fingerprints, "key struct<doc_id: long, digest: binary>, fp long").select("key.*", "fp"), "fingerprints")
+    marks = stash(rows.groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n_rows")).join(_rooted(rows), "fp"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    marks = marks.join(marks.groupBy("root").agg(first), "root")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest"))
+    gone, repeated = marks.filter(~stays), marks.filter(stays & (F.col("n_rows") > 1))
+    return drop_marked(docs, gone.select("doc_id", "digest"), repeated.select("doc_id", "digest"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, whole_text
+from .common import stash, whole_row, whole_text
 
 TRAIN_DOCS = 24_000
 FEATURES = 65_536
@@ -274,7 +274,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with their columns."""
+    """The rows of ``docs`` that aren't predicted toxic, with their columns, whatever their names."""
     score = scorer(docs, train(docs, labels))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_toxic", score(whole_text())["score"]).filter(F.col("_toxic") < 0.5).select(names)
+    rows = docs.select(whole_row(docs).alias("row"), score(whole_text())["score"].alias("score"))
+    return rows.filter("score < 0.5").select("row.*")

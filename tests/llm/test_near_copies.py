@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from conftest import SF
 
-from skyquad.llm import near_copies
+from skyquad.llm import common, exact_dedup, near_copies, simhash, toxicity
 
 
 def brute_kept(texts):
@@ -52,13 +52,47 @@ def corpus():
 
 
 @pytest.mark.parametrize("busy", [4, 0])
-def test_near_copies_by_brute_force(spark, busy):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_near_copies_by_brute_force(spark, monkeypatch, busy, few):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", few)
+    monkeypatch.setattr(near_copies, "BROADCAST_KEYS", few)
     texts = corpus()
-    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string")
-    gone = {r.node for r in near_copies.near_components(docs, busy=busy).collect()}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (None, "a text that only the row without an id has")], "doc_id long, text string")
+    marks = near_copies.near_components(docs, busy=busy).collect()
     want = brute_kept(texts)
-    assert set(texts) - gone == want and len(want) < len(texts) - 30
+    assert {r.doc_id for r in marks if r.stays} == want | {None} and len(want) < len(texts) - 30
+    assert len(marks) == len(texts) + 2 and sum(r.stays for r in marks) == len(want) + 1
     if busy:
         kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want | {None}
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted(want)
         assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+OTHER = " ".join(f"other{i}" for i in range(60))
+ROWS = [(1, LONG), (3, OTHER), (3, LONG + " end"), (5, OTHER), (5, OTHER), (None, OTHER), (None, "alone"), (None, "alone"), (9, ""), (10, None), (11, " \n"), (12, "x" * 200_000)]
+CLASHING = "doc_id long, text string, `_digest` string, digest string, node int, `root` int, stays string, `_gone` string, `_toxic` double, `row` string, `score` int, `a.b` string"
+
+
+@pytest.mark.parametrize("drop", [near_copies.drop_near_copies, simhash.drop_near_duplicates, exact_dedup.drop_exact_duplicates])
+def test_rows_are_decided_one_by_one_and_keep_their_columns(spark, drop):
+    """Rows that repeat a doc_id, rows without one, and columns whose names the operators use."""
+    docs = spark.createDataFrame([(*r, "d", "e", 1, 2, "s", "g", 0.5, "r", 3, "p") for r in ROWS], CLASHING)
+    kept = drop(docs).collect()
+    assert drop(docs).columns == docs.columns and all(r[2:] == ("d", "e", 1, 2, "s", "g", 0.5, "r", 3, "p") for r in kept)
+    found = sorted(((r.doc_id or 0), (r.text or "").strip()[:9]) for r in kept)
+    if drop is exact_dedup.drop_exact_duplicates:
+        assert found == sorted([(1, "word0 wor"), (3, "word0 wor"), (5, "other0 ot"), (0, "alone"), (10, ""), (11, ""), (12, "x" * 9)])
+    elif drop is near_copies.drop_near_copies:
+        assert found == sorted([(1, "word0 wor"), (3, "other0 ot"), (0, "alone"), (9, ""), (12, "x" * 9)])
+    else:  # by fingerprints: no text is lost whose fingerprint no kept row is linked to
+        prints = {simhash.fingerprint(r.text or "") for r in kept}
+        assert all(any((simhash.fingerprint(t or "") ^ p).bit_count() <= 4 for p in prints) for _, t in ROWS)
+        assert (3, "other0 ot") in found and len(found) == len(prints)
+
+
+def test_toxic_rows_go_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(*r, "d", "e", 1, 2, "s", "g", 0.5, "r", 3, "p") for r in ROWS], CLASHING)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))

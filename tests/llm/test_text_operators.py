@@ -42,8 +42,8 @@ def whole(text):
 def test_token_counts_are_the_librarys(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     docs = documents(spark, repeat=(5, 5))
-    for few in (0, 3, 1 << 18):  # all pre-tokens rare, some, none
-        found = sorted(map(tuple, token_counts.token_counts(docs, n_frequent=few).collect()))
+    for size in (1, 9, 1 << 18):  # a chunk for each document, for some, for all of a task
+        found = sorted(map(tuple, token_counts.token_counts(docs, chunk_size=size).collect()))
         ids = [*range(len(TEXTS)), 5, 5]
         counts = {i: len(library.encode(whole(TEXTS[i]), add_special_tokens=False).ids) for i in set(ids)}
         assert found == sorted((i, len(whole(TEXTS[i]).encode()), counts[i], counts[i] > 2048) for i in ids)
@@ -192,9 +192,12 @@ def test_simple8b_round_trip(documents_):
     arrays = [np.array(d, dtype=np.uint64) for d in documents_]
     coded = simple8b.encode(arrays)
     if arrays:
-        ids, lengths, values = simple8b.unpack_shard(simple8b.pack_shard(list(range(len(arrays))), [len(a) for a in arrays], coded))
-        assert ids.tolist() == list(range(len(arrays))) and lengths.tolist() == [len(a) for a in arrays]
+        names = [None, -(1 << 63), 0, (1 << 63) - 1, None, 5][: len(arrays)]
+        shard = simple8b.pack_shard(names, [len(a) for a in arrays], coded)
+        ids, lengths, values = simple8b.unpack_shard(shard)
+        assert ids == names and lengths.tolist() == [len(a) for a in arrays]
         assert values.tolist() == [v for d in documents_ for v in d]
+        assert [simple8b.unpack_document(shard, i).tolist() for i in range(len(arrays))] == documents_
 
 
 def test_token_shards_round_trip(spark):
@@ -205,11 +208,31 @@ def test_token_shards_round_trip(spark):
         ids = np.array(byte_ids(TEXTS[i]) + [2], dtype="<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids))
         start += len(ids)
-    nulls = spark.createDataFrame([(None, "x"), (1, None)], "doc_id long, text string")
-    assert [r.doc_id for r in token_binary.token_shards(nulls).orderBy("start").collect()] == [None, 1]
+    nulls = spark.createDataFrame([(None, "x"), (1, None), (-(1 << 63), "y"), (None, "z")], "doc_id long, text string")
+    assert [r.doc_id for r in token_binary.token_shards(nulls).orderBy("start").collect()] == [None, None, -(1 << 63), 1]
     assert token_binary.token_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_of_a_repeated_doc_id_and_single_documents(spark, tmp_path):
+    rows = [(7, f"text {i} of the one id") for i in range(300)] + [(i, f"other {i}") for i in range(20)]
+    folder = f"file://{tmp_path}/shards"
+    manifest = token_binary.write_token_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, shard_ids=64)
+    shards = spark.read.parquet(folder)
+    assert shards.groupBy("bucket").count().count() > 4 and shards.agg(F.max("n_tokens")).first()[0] < 200
+    found = token_binary.read_token_shards(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    assert [r.start for r in found] == list(itertools.accumulate([0] + [r.n_tokens for r in found]))[:-1]
+    crc = lambda t: zlib.crc32(np.array(byte_ids(t) + [2], "<u4"))
+    assert Counter((r.doc_id, r.ids_crc32) for r in found) == Counter((i, crc(t)) for i, t in rows)
+    by_start = {r.start: r for r in found}
+    for r in shards.join(manifest.select("bucket", "shard", "start"), ["bucket", "shard"]).collect():
+        start = r.start
+        for i in range(r.n_docs):
+            ids = token_binary.read_document(bytes(r.data), i)
+            assert zlib.crc32(ids) == by_start[start].ids_crc32 and len(ids) == by_start[start].n_tokens
+            start += len(ids)
+
+
 def test_pieces_are_the_librarys(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     found = {r.doc_id: r for r in piece_bpe.encode_documents(documents(spark), with_ids=True).collect()}
