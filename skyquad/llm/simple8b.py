@@ -7,8 +7,8 @@ every block starts at a known word, so any document can be decoded alone and all
 with array operations.
 
 Shard layout (little-endian): magic ``SQ8B``, version; counts of documents, blocks, words and
-escapes; doc_id (int64), length (uint64) and number of escapes (uint64) of each document; words in
-each block (uint16); escapes (uint64); words (uint64).
+escapes; doc_id (int64), whether it has one (uint8), length (uint64), first block (uint64) and first
+escape (uint64) of each document; first word of each block (uint32); escapes (uint64); words (uint64).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ LAYOUTS = {
 }
 _DENSEST_FIRST = sorted(LAYOUTS, key=lambda s: -LAYOUTS[s][0])
 _HEAD = struct.Struct("<4sIQQQQ")
-_MAGIC, _VERSION = b"SQ8B", 1
+_MAGIC, _VERSION = b"SQ8B", 2
 _CHUNK = 128  # blocks coded at once
 
 
@@ -138,21 +138,53 @@ def decode(words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, escapes: n
     return out
 
 
-def pack_shard(doc_ids: list[int], lengths: list[int], coded: list[tuple[bytes, bytes, bytes]]) -> bytes:
+def pack_shard(doc_ids: list[int | None], lengths: list[int], coded: list[tuple[bytes, bytes, bytes]]) -> bytes:
     words, sizes, escapes = (b"".join(p) for p in zip(*coded, strict=True))
-    head = _HEAD.pack(_MAGIC, _VERSION, len(doc_ids), len(sizes) // 2, len(words) // 8, len(escapes) // 8)
-    table = (np.array(doc_ids, "<i8"), np.array(lengths, "<u8"), np.array([len(e) // 8 for _, _, e in coded], "<u8"))
-    return head + b"".join(t.tobytes() for t in table) + sizes + escapes + words
+    sizes = np.frombuffer(sizes, "<u2").astype(np.int64)
+    head = _HEAD.pack(_MAGIC, _VERSION, len(doc_ids), len(sizes), len(words) // 8, len(escapes) // 8)
 
+    def firsts(counts: list[int], kind: str) -> np.ndarray:
+        return (np.cumsum(counts, dtype=np.int64) - np.array(counts, dtype=np.int64)).astype(kind)
 
-def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, lengths, values) of a shard."""
+    table = (
+        np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.array(lengths, "<u8"),
+        firsts([len(s) // 2 for _, s, _ in coded], "<u8"), firsts([len(e) // 8 for _, _, e in coded], "<u8"), firsts(sizes, "<u4"),
+    )
+    return head + b"".join(t.tobytes() for t in table) + escapes + words
+
+
+def _tables(data: bytes) -> list[np.ndarray]:
+    """doc_ids, known, lengths, first blocks, first escapes; first words; escapes; words. Nothing is copied."""
     magic, version, docs, blocks, n_words, n_escapes = _HEAD.unpack_from(data)
     if magic != _MAGIC or version != _VERSION:
-        raise ValueError("not a token shard of version 1")
+        raise ValueError(f"not a token shard of version {_VERSION}")
     at, parts = _HEAD.size, []
-    for kind, n in (("<i8", docs), ("<u8", docs), ("<u8", docs), ("<u2", blocks), ("<u8", n_escapes), ("<u8", n_words)):
+    for kind, n in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u8", docs), ("<u8", docs), ("<u4", blocks), ("<u8", n_escapes), ("<u8", n_words)):
         parts.append(np.frombuffer(data, kind, n, at))
-        at += int(kind[2]) * n
-    doc_ids, lengths, own, sizes, escapes, words = parts
-    return doc_ids, lengths, decode(words, sizes, lengths, escapes, own)
+        at += np.dtype(kind).itemsize * n
+    return parts
+
+
+def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, lengths, values) of a shard."""
+    doc_ids, known, lengths, _, first_escape, first_word, escapes, words = _tables(data)
+    sizes = np.diff(first_word.astype(np.int64), append=len(words))
+    own = np.diff(first_escape.astype(np.int64), append=len(escapes))
+    ids = [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)]
+    return ids, lengths, decode(words, sizes, lengths, escapes, own)
+
+
+def unpack_document(data: bytes, position: int) -> np.ndarray:
+    """The values of one document of a shard: its blocks are found by their offsets."""
+    _, _, lengths, first_block, first_escape, first_word, escapes, words = _tables(data)
+
+    def span(firsts: np.ndarray, until: int) -> tuple[int, int]:
+        return int(firsts[position]), int(firsts[position + 1]) if position + 1 < len(firsts) else until
+
+    low, high = span(first_block, len(first_word))
+    begin = int(first_word[low]) if low < high else 0
+    end = int(first_word[high]) if high < len(first_word) else len(words)
+    end = end if low < high else begin
+    sizes = np.diff(first_word[low:high].astype(np.int64), append=end)
+    own = slice(*span(first_escape, len(escapes)))
+    return decode(words[begin:end], sizes, lengths[position : position + 1], escapes[own], np.array([own.stop - own.start]))

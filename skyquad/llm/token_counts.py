@@ -1,26 +1,29 @@
 """Token counts without token ids.
 
-Every distinct pre-token of the corpus is encoded once, just to count its pieces. Each document is
-then a bag of pre-token frequencies, and its count is the sum of frequency times pieces. The most
-frequent pre-tokens, at most ``FREQUENT`` of them, are summed where the documents lie, from a table
-of that bounded size; the remaining, rare pre-tokens are joined to the table of all counts.
-
-Pre-tokens are those of the tokenizers library: for texts of plain Latin characters they are found
-by an expression that gives the same ones, for all other texts by the library's own normalizer and
-pre-tokenizer. Added tokens inside a text count as one token, which is the library's default.
+Each text is pre-tokenized once. A task gathers its documents into chunks of about ``CHUNK`` distinct
+pre-tokens: a chunk has a table of its pre-tokens, and each of its documents a list of places in that
+table with frequencies. The tables of all chunks are dealt by pre-token, so every distinct pre-token
+of the corpus is encoded once, just to count its pieces. The counts go back to their chunks, are joined
+to the documents' frequencies there, and summed. Nothing is broadcast or sent to the driver, and no task
+holds more than a chunk.
+
+Pre-tokens are those of the tokenizers library: for texts that are plain Latin characters once
+lower-cased they are found by an expression that gives the same ones, for all other texts by the
+library's own normalizer and pre-tokenizer. Added tokens inside a text count as one token, which is
+the library's default.
 
 Rules: a null text counts as empty: no bytes, no tokens. Every row counts for itself, also where a
-doc_id repeats. An empty table gives an empty result; other columns are not read.
+doc_id repeats or is null. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import stash, whole_text
 
 LIMIT = 2048
-FREQUENT = 1 << 18
-_HELD = 300_000  # distinct pre-tokens that a task holds before it passes them on
+CHUNK = 300_000  # distinct pre-tokens after which a chunk is closed
+ENTRIES = 4_000_000  # and frequencies of its documents
 #: Characters whose case and classes need no Unicode table; none is changed by composition.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]")
 _LETTER, _NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
@@ -75,89 +78,97 @@ def load(path: str) -> PreTokens:
     return PreTokens(path)
 
 
-def _frequencies(path: str):
-    def batch_of(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
+_CHUNKS = "chunk long, place int, token string, doc_id long, n_bytes long, places binary, freqs binary"
+_COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = load(path), Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                held.update(split(text.as_py()))
-                if len(held) >= _HELD:
-                    yield batch_of(held)
-                    held = Counter()
-        if held:
-            yield batch_of(held)
 
-    return run
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers under 2**32 byte by byte, lowest bytes first, without the bytes that are zero in all:
+    small differences become long runs, which the shuffle's compression shortens."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
 
 
-def _pieces(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = load(path)
-        for batch in batches:
-            counts = pa.array(split.pieces(batch.column("token").to_pylist()), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), counts], ["token", "n", "pieces"])
+def _numbers(planes: bytes) -> np.ndarray:
+    rows = np.frombuffer(planes, np.uint8, offset=1).reshape(planes[0], -1).astype(np.int64)
+    return sum(row << (8 * i) for i, row in enumerate(rows))
 
-    return run
 
+def _chunks(path: str, chunk_size: int):
+    schema = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("token", pa.string()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("places", pa.binary()), ("freqs", pa.binary())])
 
-def piece_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """token, n (occurrences in the corpus), pieces: a row per distinct pre-token."""
-    parts = docs.select(whole_text().alias("text")).mapInArrow(_frequencies(tokenizer), "token string, n long")
-    return parts.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(_pieces(tokenizer), "token string, n long, pieces int")
+    def batch(n: int, chunk: int, **columns) -> pa.RecordBatch:
+        columns["chunk"] = np.full(n, chunk)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, chunk = load(path), TaskContext.get().partitionId() << 32
+        table: dict[str, int] = {}
+        held = 0
+        for docs in batches:
+            kept: list[list] = [[], [], [], []]
+
+            def documents(kept=kept) -> pa.RecordBatch:
+                out = batch(len(kept[0]), chunk, **dict(zip(("doc_id", "n_bytes", "places", "freqs"), kept, strict=True)))
+                for column in kept:
+                    column.clear()
+                return out
+
+            for doc_id, n_bytes, text in zip(*[docs.column(c) for c in ("doc_id", "n_bytes", "text")], strict=True):
+                place = table.setdefault
+                found = np.array([place(t, len(table)) for t in split(text.as_py())], dtype=np.int64)
+                places, freqs = np.unique(found, return_counts=True)
+                for column, value in zip(kept, (doc_id.as_py(), n_bytes.as_py(), _planes(np.diff(places, prepend=0)), _planes(freqs)), strict=True):
+                    column.append(value)
+                held += len(places)
+                if len(table) >= chunk_size or held >= ENTRIES:
+                    yield documents()
+                    yield batch(len(table), chunk, place=np.arange(len(table)), token=list(table))
+                    table, held, chunk = {}, 0, chunk + 1
+            if kept[0]:
+                yield documents()
+        if table:
+            yield batch(len(table), chunk, place=np.arange(len(table)), token=list(table))
 
-def frequent(counts: DataFrame, limit: int) -> dict[str, int]:
-    """Pieces of the most frequent pre-tokens: at most ``limit``, cut between two frequencies."""
-    steps = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) + F.floor(32 * F.log2(F.col("n") / 1024)))
-    steps = steps.cast("long")
-    total, least = 0, None
-    for row in sorted(counts.groupBy(steps.alias("step")).count().collect(), reverse=True):  # some 3000 rows at most
-        total += row["count"]
-        if total > limit:
-            break
-        least = row["step"]
-    return {} if least is None else {r.token: r.pieces for r in counts.filter(steps >= least).select("token", "pieces").collect()}
+    return run
 
 
-def _bags(path: str, known):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sum", pa.int64()), ("tokens", pa.list_(pa.string())), ("freqs", pa.list_(pa.int32()))])
+def _pieces(path: str):
+    """Of rows in order of their pre-token: each distinct one is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces, row = load(path), known.value.get, TaskContext.get().partitionId() << 33
+        split, last = load(path), (None, 0)
         for batch in batches:
-            sums, tokens, freqs = [], [], []
-            for text in batch.column("text"):
-                found = split(text.as_py())
-                counts = list(map(pieces, found))
-                if None in counts:
-                    rare = Counter(t for t, n in zip(found, counts, strict=True) if n is None)
-                    sums.append(sum(filter(None, counts)))
-                    tokens.append(list(rare))
-                    freqs.append(list(rare.values()))
-                else:
-                    sums.append(sum(counts))
-                    tokens.append([])
-                    freqs.append([])
-            rows = pa.array(range(row, row + len(sums)), pa.int64())
-            row += len(sums)
-            columns = [rows, batch.column("doc_id"), batch.column("n_bytes"), sums, tokens, freqs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            coded = batch.column("token").dictionary_encode()
+            tokens = coded.dictionary.to_pylist()
+            known = [last[1]] if tokens[:1] == [last[0]] else []
+            counts = known + split.pieces(tokens[len(known) :])
+            last = tokens[-1:] and (tokens[-1], counts[-1]) or last
+            pieces = pa.array(counts, pa.int32()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pieces], ["chunk", "place", "pieces"])
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, n_frequent: int = FREQUENT) -> DataFrame:
+def _sum(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    """The documents of a chunk and the pieces of its pre-tokens."""
+    pieces = np.zeros(counts.num_rows, dtype=np.int64)
+    pieces[counts.column("place").to_numpy()] = counts.column("pieces").to_numpy()
+    sums = [
+        int(pieces[np.cumsum(_numbers(p))] @ _numbers(f)) if len(p) > 1 else 0
+        for p, f in zip(docs.column("places").to_pylist(), docs.column("freqs").to_pylist(), strict=True)
+    ]
+    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(sums, pa.int64())})
+
+
+def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, chunk_size: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
-    spark, tokenizer = docs.sparkSession, tokenizer or default_path()
-    counts = stash(piece_counts(docs, tokenizer), "pieces")
-    known = spark.sparkContext.broadcast(frequent(counts, n_frequent))  # at most n_frequent words
+    tokenizer = tokenizer or default_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
-    schema = "row long, doc_id long, n_bytes long, sum long, tokens array<string>, freqs array<int>"
-    bags = stash(rows.mapInArrow(_bags(tokenizer, known), schema), "bags")
-    rare = bags.select("row", F.explode(F.arrays_zip("tokens", "freqs")).alias("t")).select("row", F.col("t.tokens").alias("token"), F.col("t.freqs").alias("freq"))
-    more = rare.join(counts.select("token", "pieces"), "token").groupBy("row").agg(F.sum(F.col("freq").cast("long") * F.col("pieces")).alias("more"))
-    total = F.col("sum") + F.coalesce("more", F.lit(0))
-    return bags.select("row", "doc_id", "n_bytes", "sum").join(more, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    chunks = stash(rows.mapInArrow(_chunks(tokenizer, chunk_size), _CHUNKS), "chunks")
+    words = chunks.filter("token is not null").select("chunk", "place", "token")
+    words = words.repartition("token").sortWithinPartitions("token")
+    pieces = words.mapInArrow(_pieces(tokenizer), "chunk long, place int, pieces int")
+    bags = chunks.filter("places is not null").select("chunk", "doc_id", "n_bytes", "places", "freqs")
+    counted = bags.groupBy("chunk").cogroup(pieces.groupBy("chunk")).applyInArrow(_sum, _COUNTED)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
