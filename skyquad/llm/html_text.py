@@ -2,21 +2,29 @@
 
 A page is read into a tree of elements with a tolerant scanner. For every node, C characters, T
 tags, and of these LC and LT inside links, are counted; its density is C / T, adjusted for links:
-``C / T * log(C / LC * T / LT)`` to the base ``log(C / (C - LC) * LC + LC_body / C_body * C + e)``.
-The density sum of a node is the sum of its children's densities, text right under it counting as
-one child. The node with the greatest density sum is the content's root; nodes in it whose density
-is below the threshold, the least density on the path from body to that root, are left out, unless
-they are short blocks of text without links (headings, short paragraphs).
-
-Elements that never hold main text (menus, headers, footers, asides, forms, scripts, styles and
-the like) and containers whose class, id or role names adverts, sidebars, notices, comments or
-similar are cut before counting. Blocks are joined in page order by one newline; white space in a
-block becomes one space; character references are decoded once.
+``C / T * log(C / LC * T / LT)`` to the base ``C / (C - LC) * LC + LC_body / C_body * C + e`` (the
+iterated logarithm that is also in use is 0 where a page has no link). The density sum of a node is
+the sum of its children's densities, text right under it counting as one child. The node with the
+greatest density sum is the content's root, and the least density on the path from body to it the
+threshold: of what lies beside that path, nodes that reach the threshold are main text as well, with
+headings among them. All of a chosen subtree is kept, but for menus: elements, not paragraphs or
+headings, of two or more links that hold most of its text, below the threshold. Where the root lies
+in an ``article`` or ``main`` element, the whole outermost article, or else the main element, is chosen.
+
+Elements that never hold main text (menus, footers, asides, scripts, styles, headers outside an
+article and the like) and those with a role of that kind are cut before counting, and so is what
+class or id calls comments. Forms, and what class or id calls an advert, sidebar, notice or
+similar, are cut unless density says otherwise: one that holds the content's root and most of the
+page's text is the page. Names count as whole class words: "sidebar" is one, "has-sidebar" is not.
+
+Blocks are joined in page order by one newline; white space in a block becomes one space; character
+references are decoded once.
 
 Rules: null html counts as empty and gives an empty text. Unclosed, misnested or cut-off markup
-is read as far as it goes. A page without any main text gives an empty string. Very deep nesting
-is handled without recursion. Rows that repeat are extracted alike; an empty table gives an empty
-result; other columns are not read.
+is read as far as it goes; a quoted value that never ends reaches to the end of the page. A page
+without any main text gives an empty string. Time is linear in the length of a page, however deep
+or broken. Rows that repeat are extracted alike; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 CUT = frozenset(
-    "head script style noscript template title nav header footer aside form button select option textarea input "
+    "head script style noscript template title nav header footer aside button select option textarea input "
     "iframe object embed applet svg math canvas audio video map menu dialog noframes noembed xmp datalist".split()
 )
 INLINE = frozenset(
@@ -45,59 +54,115 @@ CLOSES_P = frozenset(
     "address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("html body table td th ul ol dl div article section main blockquote figure".split())
-#: Words by which pages name what isn't main text.
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|"
-    r"comments?|commentlist|disqus|respond|reply|replies|footer|masthead|site-?header|page-?header|pagination|pager|"
-    r"widget|toolbar|login|signup|search)(?:$|[\s_-]|\d)",
-    re.I,
+#: Class words by which pages name what isn't main text.
+COMMENTS = frozenset("comment comments comment-list commentlist comment-respond comments-area disqus disqus_thread respond replies".split())
+BOILER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner sidebar side-bar "
+    "menu nav navbar navigation breadcrumb breadcrumbs cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice "
+    "notices popup modal newsletter subscribe subscription share sharing share-buttons social social-links related related-posts "
+    "related-articles recommended recommendations footer site-footer page-footer masthead site-header page-header pagination "
+    "pager widget widgets toolbar login signup search search-form ad-banner ad-container ad-slot ad-unit ad-wrapper".split()
+)
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # every attribute, with its value
 _SPACE = re.compile(r"\s+")
-SHORT = 160  # characters of a block that may have a low density just because it is short
+KEPT, DOUBTED, GONE = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "links", "link_chars", "name", "parent", "sum", "tags")
+    __slots__ = ("chars", "children", "density", "doubted", "inline_open", "link_chars", "links", "name", "outer", "parent", "scope", "scope_open", "sum", "tags")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.children = name, parent, []
+    def __init__(self, name: str, parent: Node | None, doubted: bool = False):
+        self.name, self.parent, self.children, self.doubted = name, parent, [], doubted
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
-
-
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in CUT:
-        return True
+        # The nearest element around the node's content that isn't inline, and the nearest one that
+        # bounds implied end tags; both count the open elements in them by name.
+        self.outer = parent.outer if parent is not None and name in INLINE else self
+        self.scope = parent.scope if parent is not None and name not in SCOPE else self
+        self.inline_open = Counter() if self.outer is self else None
+        self.scope_open = Counter() if self.scope is self else None
+
+
+def _verdict(name: str, attributes: str, in_article: bool) -> int:
+    if name in CUT and not (name == "header" and in_article):
+        return GONE
+    found = DOUBTED if name == "form" else KEPT
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return found
     for key, value in _NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and _BOILER.search(value):
-            return True
-        if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+        if key in ("class", "id"):
+            words = value.split()
+            if not COMMENTS.isdisjoint(words):
+                return GONE
+            if not BOILER.isdisjoint(words):
+                found = DOUBTED
+        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+            return GONE
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return GONE
+    return found
+
+
+class _Tree:
+    """The open elements while a page is read. Every walk up closes what it passes, so that all walks
+    together are linear."""
+
+    def __init__(self):
+        self.root = self.here = Node("body", None)
+        self.open: Counter = Counter()
+
+    def enter(self, name: str, doubted: bool, stays: bool) -> None:
+        node = Node(name, self.here, doubted)
+        self.here.children.append(node)
+        if stays:
+            self.open[name] += 1
+            (node.parent.outer.inline_open if name in INLINE else node.parent.scope.scope_open)[name] += 1
+            self.here = node
+
+    def close_to(self, name: str) -> None:
+        """Close everything up to the nearest open element of that name, which must be open."""
+        while True:
+            node = self.here
+            self.here = node.parent
+            self.open[node.name] -= 1
+            (node.parent.outer.inline_open if node.name in INLINE else node.parent.scope.scope_open)[node.name] -= 1
+            if node.name == name:
+                return
+
+    def imply_end(self, name: str) -> None:
+        """Close an element of that name, if one is open within the current container."""
+        scope = self.here.scope
+        if scope.scope_open[name] or scope.name == name and scope.parent is not None:
+            self.close_to(name)
+
+    def end(self, name: str) -> None:
+        """An end tag; one that closes nothing is passed over."""
+        if name == "p" and not self.here.scope.scope_open["p"]:
+            self.here.children.append(Node("br", self.here))
+        elif self.here.outer.inline_open[name] if name in INLINE else self.open[name]:
+            self.close_to(name)
 
 
 def parse(page: str) -> Node:
     """The tree below body; texts are strings among the children."""
-    root = Node("body", None)
-    at, here = 0, root
+    tree = _Tree()
+    at, size = 0, len(page)
     cut: list[str] = []  # open elements inside one that is cut
-    size = len(page)
+    inside: Counter = Counter()  # the same by name
+    endless: set[str] = set()
     while at < size:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else size]
         if text and not cut:
-            here.children.append(_html.unescape(text))
+            tree.here.children.append(_html.unescape(text))
         if not found:
             break
         at = found.end()
@@ -105,70 +170,50 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if not found[1] and name in RAW:  # to its end tag, whatever is in between
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else (at if name == "title" else size)
             continue
         if cut:
             if found[1]:
-                if name in cut:
-                    while cut.pop() != name:
-                        pass
+                if inside[name]:
+                    while (last := cut.pop()) != name:
+                        inside[last] -= 1
+                    inside[name] -= 1
                 elif name in ("body", "html", "article", "main"):
                     cut.clear()
+                    inside.clear()
+                    tree.end(name)
             elif name not in VOID:
                 if cut[0] == "head" and name == "body" or len(cut) == 1 and cut[0] in ("p", "li") and name in CLOSES_P:
                     cut.clear()
-                    here.children.append(" ")
+                    inside.clear()
+                    tree.here.children.append(" ")
                 else:
                     cut.append(name)
+                    inside[name] += 1
             continue
         if found[1]:
-            if name == "p" and not _open(here, ("p",)):
-                here.children.append(Node("br", here))
-            here = _after(here, name)
+            tree.end(name)
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES_P:
             for other in SIBLINGS.get(name, ()):
-                if (open_ := _open(here, (other,))) is not None:
-                    here = open_.parent
-            if (open_ := _open(here, ("p",))) is not None:
-                here = open_.parent
-        if _unwanted(name, found[3]):
-            if name not in VOID and not found[3].endswith("/"):
+                tree.imply_end(other)
+            tree.imply_end("p")
+        whole = found[3].endswith("/")
+        verdict = _verdict(name, found[3], tree.open["article"] > 0)
+        if verdict == GONE:
+            if name not in VOID and not whole:
                 cut.append(name)
+                inside[name] += 1
             if name not in INLINE:
-                here.children.append(Node("br", here))
+                tree.here.children.append(Node("br", tree.here))
             continue
-        node = Node(name, here)
-        here.children.append(node)
-        if name not in VOID and not (found[3].endswith("/") and name not in INLINE):
-            here = node
-    return root
-
-
-def _open(here: Node, names: tuple[str, ...]) -> Node | None:
-    """The nearest open element of these names within the current container."""
-    while here.parent is not None:
-        if here.name in names:
-            return here
-        if here.name in SCOPE:
-            return None
-        here = here.parent
-    return None
-
-
-def _after(here: Node, name: str) -> Node:
-    """Where the end tag ``name`` leads; one that closes nothing is passed over."""
-    node = here
-    while node.parent is not None:
-        if node.name == name:
-            return node.parent
-        if name in INLINE and node.name not in INLINE:
-            return here
-        node = node.parent
-    return here
+        tree.enter(name, verdict == DOUBTED, name not in VOID and not (whole and name not in INLINE))
+    return tree.root
 
 
 def _post_order(root: Node) -> list[Node]:
@@ -184,6 +229,7 @@ def measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes, children before parents."""
     order = _post_order(root)
     for node in order:
+        node.chars = node.tags = node.links = node.link_chars = 0
         for child in node.children:
             if isinstance(child, str):
                 node.chars += len("".join(child.split()))
@@ -216,8 +262,66 @@ def _density(chars: int, tags: int, link_chars: int, links: int, share: float) -
     return chars / max(tags, 1) * math.log(max(ratio, 1.0)) / base
 
 
-def _blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks under ``node`` that reach the threshold or are short and unlinked."""
+def _without_doubted(root: Node) -> bool:
+    """Take the doubted elements out of the tree, but for those that hold the content's root and
+    most of the page's text. Tells whether any went."""
+    best, holds = _best(root), set()
+    node = best
+    while node is not None:
+        holds.add(node)
+        node = node.parent
+    gone, stack = False, [root]
+    while stack:
+        node = stack.pop()
+        for i, child in enumerate(node.children):
+            if not isinstance(child, Node):
+                continue
+            if child.doubted and not (child in holds and 2 * child.chars > root.chars):
+                node.children[i] = Node("span" if child.name in INLINE else "br", node)
+                gone = True
+            else:
+                stack.append(child)
+    return gone
+
+
+def _best(root: Node) -> Node:
+    """The node with the greatest density sum, the first one of equals; of a single paragraph or an
+    inline element the one around it, as they hold one block of an article and not the article."""
+    best = max(_post_order(root), key=lambda n: n.sum)
+    while best.parent is not None and (best.name in INLINE or best.name in ("p", "li", "pre", "blockquote", "br")):
+        best = best.parent
+    return best
+
+
+def choose(root: Node) -> tuple[Node, Node, set[Node], float]:
+    """The element to read; the content's root, itself and its ancestors; the threshold."""
+    best = _best(root)
+    path, node = [], best
+    while node is not None:
+        path.append(node)
+        node = node.parent
+    known = set(path)
+    threshold = min(n.density for n in path)
+    for name in ("article", "main"):
+        around = [n for n in path if n.name == name]
+        if around:
+            return around[-1], around[-1], known, threshold
+    share = root.link_chars / root.chars
+    top = best
+    for node in path[1:]:
+        beside = [c.density for c in node.children if isinstance(c, Node) and c not in known and c.chars]
+        if max([*beside, _own_density(node, share)]) >= threshold:
+            top = node
+    return top, best, known, threshold
+
+
+def _own_density(node: Node, share: float) -> float:
+    """Of the text right under a node."""
+    return _density(sum(len("".join(c.split())) for c in node.children if isinstance(c, str)), 0, 0, 0, share)
+
+
+def _blocks(top: Node, best: Node, path: set[Node], threshold: float, share: float) -> list[str]:
+    """Of ``best`` and of what reaches the threshold beside the path to it, all but menus."""
     out: list[str] = []
     run: list[str] = []
 
@@ -227,7 +331,7 @@ def _blocks(node: Node, threshold: float) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list = [(node, True)]
+    stack: list = [(top, True)]
     while stack:
         item, opening = stack.pop()
         if isinstance(item, str):
@@ -238,43 +342,28 @@ def _blocks(node: Node, threshold: float) -> list[str]:
             flush()
         if not opening:
             continue
-        linked = item.link_chars > 0.5 * item.chars
-        if block and item is not node and item.density < threshold and (linked or item.chars > SHORT and item.link_chars):
+        menu = item.links > 1 and item.link_chars > 0.5 * item.chars and item.density < threshold
+        if menu and block and item is not top and item.name != "p" and item.name not in HEADINGS:
             continue
         if block:
             stack.append((item, False))
-        stack += [(c, True) for c in reversed(item.children)]
+        children = item.children
+        if item in path and item is not best:
+            own = _own_density(item, share) >= threshold
+            children = [c for c in children if (own if isinstance(c, str) else c in path or c.density >= threshold or c.name in HEADINGS)]
+        stack += [(c, True) for c in reversed(children)]
     flush()
     return out
 
 
 def extract(page: str) -> str:
     root = parse(page)
-    order = measure(root)
-    best = max(order, key=lambda n: n.sum)
-    if not best.chars:
+    measure(root)
+    if _without_doubted(root):
+        measure(root)
+    if not root.chars:
         return ""
-    # Inline and paragraph nodes hold one block of an article, not the article.
-    while best.parent is not None and (best.name in INLINE or best.name in ("p", "li", "pre", "blockquote", "br")):
-        best = best.parent
-    # A node that holds next to all of its parent's text is a wrapper less: take what is around it.
-    while best.parent is not None and best.parent.name in ("article", "main"):
-        best = best.parent
-    path, node = [], best
-    while node is not None:
-        path.append(node.density)
-        node = node.parent
-    threshold = min(path)
-    # Text beside the path that reaches the threshold is main text as well: take what is around both.
-    share = root.link_chars / root.chars
-    node = best
-    while node.parent is not None:
-        own = sum(len("".join(c.split())) for c in node.parent.children if isinstance(c, str))
-        beside = [c.density for c in node.parent.children if isinstance(c, Node) and c is not node and c.chars]
-        node = node.parent
-        if max([*beside, _density(own, 0, 0, 0, share)]) >= threshold:
-            best = node
-    return "\n".join(_blocks(best, threshold))
+    return "\n".join(_blocks(*choose(root), root.link_chars / root.chars))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
