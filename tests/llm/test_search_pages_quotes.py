@@ -14,32 +14,55 @@ from llm.test_near_copies import brute_kept
 from skyquad.llm import html_text, packing, queries, quotes, topk_search
 
 
-def brute_top(vectors, asked, k):
-    out = set()
-    for q in asked:
-        scored = sorted(((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:k]
-        out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)}
-    return out
-
-
-@pytest.mark.parametrize("block", [32, 100_000])
-def test_top_k_by_brute_force(spark, monkeypatch, block):
+def brute_top(rows, asked, k):
+    """Over all rows (id, integer vector), by whole numbers of any size."""
+    held = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    out = []
+    for q in {i for i, _ in rows if asked(i)}:
+        scored = sorted((-held(sum(int(a) * int(b) for a, b in zip(u, v))), i) for p, u in rows if p == q for i, v in rows if i != q)
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "group"), [(32, 7), (128, 20_000), (100_000, 20_000)])
+def test_top_k_by_brute_force(spark, monkeypatch, block, group):
     monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "QUERY_GROUP", group)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 8)).astype(np.float32)
     base[50:80] = base[50]  # ties
     base[100:110] = 0
-    rows = [(i, v.tolist(), "x") for i, v in enumerate(base)] + [(7, base[7].tolist(), "again")]
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(base)] + [(7, base[8].tolist(), "again"), (9, base[9].tolist(), ""), (20, base[3].tolist(), "a query's id again"), (300, base[4].tolist()[:5], "short")]
     odd = [(900, None, ""), (901, [1.0, None] + [0.0] * 6, ""), (902, [float("nan")] * 8, ""), (903, [float("inf")] * 8, ""), (None, base[0].tolist(), "")]
     vectors = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, block string")
-    whole = {i: np.floor(v.astype(float) * 1024).astype(np.int64) for i, v in enumerate(base)}
-    found = {tuple(r) for r in topk_search.top_k(vectors, vectors.filter("vec_id % 10 = 0")).collect()}
-    assert found == brute_top(whole, [i for i in whole if i % 10 == 0], 10)
+    whole = [(i, np.floor(np.array(v, np.float32).astype(float) * 1024).astype(np.int64)) for i, v, _ in rows]
+    found = sorted(tuple(r) for r in topk_search.top_k(vectors, vectors.filter("vec_id % 10 = 0")).collect())
+    assert found == brute_top(whole, lambda i: i % 10 == 0, 10)
     few = vectors.filter("vec_id < 4")
     assert few.count() == 4 and topk_search.top_k(few, few).count() == 12
     assert topk_search.top_k(vectors.limit(0), vectors).count() == 0 and topk_search.top_k(vectors, vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_the_registered_query_with_repeated_rows(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i % 150, rng.normal(size=6).astype(np.float32).tolist()) for i in range(400)] + [(100, [1.0] * 6)] * 30
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.op2_exact_topk(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLES['op2_exact_topk']}) t").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 20
+
+
+def test_top_k_beyond_64_bits(spark):
+    rows = [(0, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 5.0]), (3, [3e12, 2.0]), (4, [1.0, 7e11]), (5, [1.0, 2.0])] + [(i, [float(i), 1.0]) for i in range(6, 60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clamp = lambda x: min(max(int(x * 1024 // 1), -(1 << 63)), (1 << 63) - 1)
+    whole = [(i, [clamp(x) for x in v]) for i, v in rows]
+    found = sorted(tuple(r) for r in topk_search.top_k(vectors, vectors.filter("vec_id < 6"), 7).collect())
+    assert found == brute_top(whole, lambda i: i < 6, 7)
+
+
 PAGE = """<html><head><title>T</title><style>p {}</style></head><body><nav><a href=/>Home</a><a href=/b>Other</a></nav>
 <div class="sidebar"><p>About this site and <a href=x>links</a></p></div>
 <article><h1>A title</h1><p>First paragraph with   some words, an &amp; sign and <b>bold</b> text, long enough to count as text.</p>
