@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest import SF
 
@@ -68,6 +69,18 @@ def test_near_copies_by_brute_force(spark, monkeypatch, busy, few):
         assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 31, 32, 33, 200, 1000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 3], rng.integers(0, 2**64, n // 3, dtype=np.uint64)]))
+        x, y = near_copies.parities(a), near_copies.parities(b)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        assert len(x) == len(y) and 64 * len(x) >= 2 * len(b)
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 LONG = " ".join(f"word{i}" for i in range(60))
 OTHER = " ".join(f"other{i}" for i in range(60))
 ROWS = [(1, LONG), (3, OTHER), (3, LONG + " end"), (5, OTHER), (5, OTHER), (None, OTHER), (None, "alone"), (None, "alone"), (9, ""), (10, None), (11, " \n"), (12, "x" * 200_000)]
