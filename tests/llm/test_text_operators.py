@@ -256,13 +256,12 @@ def test_pieces_of_any_text(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([0.0, 0.0, 0.0, 2.0, 3.5, 2.5]), max_size=40))
 def test_segments_are_all_maximal_ones(weights):
-    drift = 1.0
-    hits = [(i, w) for i, w in enumerate(weights) if w]
-    values = [w or -drift for w in weights]
-    got = toxicity.segments(hits, drift)
+    values = [w or -1.0 for w in weights]
+    sums = [0.0, *itertools.accumulate(values)]
+    got = toxicity.segments([(i, sums[i], sums[i + 1]) for i, v in enumerate(values) if v > 0])
 
-    def best(lo, hi):  # the definition: the best segment, then what is left of it and right of it
-        spans = [(sum(values[a:b]), -a, -(b - a), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+    def best(lo, hi):  # the definition: the best segment, the shortest of equals, then what is left and right of it
+        spans = [(sum(values[a:b]), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
         top = max(spans, default=None)
         if top is None or top[0] <= 0:
             return []
@@ -271,6 +270,49 @@ def test_segments_are_all_maximal_ones(weights):
     assert sorted(round(s, 6) for _, _, s in got) == sorted(best(0, len(values)))
 
 
+def brute_weight(texts, labels, word, base):
+    """The weight of a word by its definition, over all documents."""
+    words = [set(toxicity._words(t.lower())) for t in texts]
+
+    def rate(size):
+        if size == 0:
+            return base
+        prior = rate(max((n for n in toxicity.PREFIXES if n < size), default=0))
+        has = [any(len(w) >= size and w[:size] == word[:size] for w in ws) for ws in words]
+        return (sum(y for h, y in zip(has, labels) if h) + toxicity.STRENGTH * prior) / (sum(has) + toxicity.STRENGTH)
+
+    has = [word in ws for ws in words]
+    prior = rate(max((n for n in toxicity.PREFIXES if n <= len(word)), default=0))
+    r = (sum(y for h, y in zip(has, labels) if h) + toxicity.STRENGTH * prior) / (sum(has) + toxicity.STRENGTH)
+    return np.log(r / (1 - r)) - np.log(base / (1 - base))
+
+
+def test_weights_by_definition(spark):
+    rng = random.Random(8)
+    vocabulary = ["a", "abc", "abcd", "abcde", "abcdef", "abcdefg", "abcdefgh", "abcdxyz", "other", "otherwise", "x" * 80, "x" * 79 + "y", "é", "日本語の文"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    toxic = [rng.randint(0, 1) for _ in texts]
+    rows = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(zip(texts, toxic))], "text string, toxic int, fold int")
+    counts = rows.mapInArrow(toxicity._count, "feature string, c0 long, t0 long, c1 long, t1 long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
+    found = {r.hash % (1 << 64): r for r in toxicity.feature_weights(counts, 0.3).collect()}
+    for word in vocabulary:
+        r = found[toxicity._hash("=" + word)]
+        assert r.w == pytest.approx(brute_weight(texts, toxic, word, 0.3), rel=1e-5)
+        assert r.w0 == pytest.approx(brute_weight(texts[1::2], toxic[1::2], word, 0.3), rel=1e-5)
+    hashes = np.array(sorted(found), dtype=np.uint64)
+    weights = toxicity.Weights(hashes, np.array([found[int(h)].w for h in hashes]))
+    asked = ["abcdef", "abcdefzz", "abcdez", "abcdz", "abz", "unknown", "x" * 81]
+    features = ["=abcdef", "6abcdef", "5abcde", "4abcd", None, None, "6xxxxxx"]
+    assert weights.of(asked).tolist() == pytest.approx([found[toxicity._hash(f)].w if f else 0.0 for f in features])
+
+
+def test_extreme_values_are_found_again():
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 3000, 20_000)
+    best = -np.log(-np.log(rng.random(20_000)) / (0.02 * n)) / 1.7
+    assert toxicity.extreme_values(n, best) == pytest.approx((1.7, 0.02), rel=0.05)
+
+
 def test_toxicity_learns_and_leaves_clean_rows_alone(spark):
     rng = random.Random(5)
     plain, bad = [f"plain{i}" for i in range(200)], [f"nasty{i}" for i in range(12)]
@@ -290,6 +332,9 @@ def test_toxicity_learns_and_leaves_clean_rows_alone(spark):
     assert sum(found[i].predicted != toxic[i] for i in held) <= 0.03 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.values())
     assert found[600].predicted == 0 and found[600].score == found[601].score
+    assert all((r.predicted == 0) or r.passages for r in found.values())
+    mostly = labels.withColumn("toxic", F.coalesce(F.lit(1) * (F.col("doc_id") % 4 != 0).cast("int"), "toxic"))
+    assert all(r.predicted == 0 for r in toxicity.score_documents(docs, mostly).collect() if not r.passages)
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in found.values())
     one_kind = labels.withColumn("toxic", F.lit(0))
