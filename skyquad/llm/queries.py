@@ -61,10 +61,11 @@ ORACLES = {
         WITH RECURSIVE rows AS (
             SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS lines FROM conversations
         ), messages AS (
-            SELECT *, array_to_string(list_filter(lines, lambda x, i:
-                       NOT regexp_matches(x, '^[ \t]{0,3}>')
-                       AND NOT (regexp_matches(x, '^On .* wrote:[ \t]*$') AND coalesce(regexp_matches(lines[i + 1], '^[ \t]{0,3}>'), false))), chr(10)) AS own
-            FROM rows
+            SELECT conv_id, turn, role, lines, array_to_string(list_transform(list_filter(marked, lambda m: m.stays), lambda m: m.line), chr(10)) AS own
+            FROM (SELECT *, list_transform(lines, lambda x, i: {
+                             'stays': CASE WHEN regexp_matches(x, '^[ \t]{0,3}>') THEN NOT coalesce(regexp_matches(lines[i + 1], '^[ \t]{0,3}>'), false)
+                                      ELSE NOT (regexp_matches(x, '^On .* wrote:[ \t]*$') AND coalesce(regexp_matches(lines[i + 1], '^[ \t]{0,3}>'), false)) END,
+                             'line': CASE WHEN regexp_matches(x, '^[ \t]{0,3}>') THEN '' ELSE x END}) AS marked FROM rows)
         ), named AS (
             SELECT * FROM messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL
         ), parts AS (
@@ -86,18 +87,26 @@ ORACLES = {
                   FROM numbered)
             WHERE level > 0 AND line <> ''
         ), whole AS (
-            SELECT conv_id, turn, copy, level, run, string_agg(line, ' ' ORDER BY n) AS part FROM quoted GROUP BY ALL
+            SELECT conv_id, turn, copy, level, run, string_agg(line, ' ' ORDER BY n) AS part, count(*) AS n_lines FROM quoted GROUP BY conv_id, turn, copy, level, run
         ), by_passage AS (
-            SELECT w.conv_id, w.turn, w.copy, w.level, w.run, max(origin) AS origin FROM whole w
-            JOIN originals o ON o.kind = 'passage' AND o.conv_id = w.conv_id AND o.part = w.part AND origin < turn GROUP BY ALL
+            SELECT w.conv_id, w.turn, w.copy, w.level, w.run, origin FROM whole w
+            JOIN originals o ON o.kind = 'passage' AND o.conv_id = w.conv_id AND o.part = w.part AND origin < turn
         ), by_line AS (
-            SELECT q.conv_id, q.turn, q.copy, q.level, q.run, max(origin) AS origin FROM quoted q
-            JOIN originals o ON o.kind = 'line' AND o.conv_id = q.conv_id AND o.part = q.line AND origin < turn GROUP BY ALL
+            SELECT q.conv_id, q.turn, q.copy, q.level, q.run, count(*) AS n_found, max(origin) AS origin FROM quoted q
+            JOIN originals o ON o.kind = 'line' AND o.conv_id = q.conv_id AND o.part = q.line AND origin < turn
+            GROUP BY q.conv_id, q.turn, q.copy, q.level, q.run
+        ), held AS (
+            SELECT l.conv_id, l.turn, l.copy, l.level, l.run, l.origin
+            FROM by_line l JOIN whole w ON (w.conv_id, w.turn, w.copy, w.level, w.run) = (l.conv_id, l.turn, l.copy, l.level, l.run) AND w.n_lines = l.n_found
+            JOIN quoted q ON (q.conv_id, q.turn, q.copy, q.level, q.run) = (l.conv_id, l.turn, l.copy, l.level, l.run)
+            JOIN (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g')) AS part FROM parts WHERE kind = 'line') p
+              ON p.conv_id = l.conv_id AND p.turn = l.origin AND p.part = q.line
+            GROUP BY l.conv_id, l.turn, l.copy, l.level, l.run, l.origin, w.n_lines HAVING count(*) = w.n_lines
         ), links AS (
             SELECT w.conv_id, w.turn, count(*) AS n_quotes, count(coalesce(p.origin, l.origin)) AS n_linked,
                    coalesce(max(coalesce(p.origin, l.origin)) FILTER (w.level = 1), max(coalesce(p.origin, l.origin))) AS reply_to
             FROM whole w LEFT JOIN by_passage p USING (conv_id, turn, copy, level, run)
-            LEFT JOIN by_line l USING (conv_id, turn, copy, level, run) GROUP BY ALL
+            LEFT JOIN held l USING (conv_id, turn, copy, level, run) GROUP BY w.conv_id, w.turn
         ), climb AS (
             SELECT conv_id, turn, reply_to AS thread_root, CAST(1 AS BIGINT) AS depth FROM links WHERE reply_to IS NOT NULL
             UNION ALL

@@ -41,21 +41,23 @@ def _hashed(text: Column) -> list[Column]:
 
 
 def _own(lines: Column) -> Column:
-    """The unquoted lines, without attributions that stand right above a quoted one."""
+    """The unquoted lines, without attributions that stand right above a quoted one. A quotation leaves
+    an empty line, so that what is above and below it stay paragraphs of their own."""
     quoted = lambda x: F.coalesce(x.rlike(_QUOTED), F.lit(False))
-    keep = lambda x, i: ~quoted(x) & ~(x.rlike(_ATTRIBUTION) & quoted(F.get(lines, i + 1)))
-    return F.array_join(F.filter(lines, keep), "\n")
+    after = lambda i: quoted(F.get(lines, i + 1))
+    keep = lambda x, i: F.when(quoted(x), ~after(i)).otherwise(~(x.rlike(_ATTRIBUTION) & after(i)))
+    return F.array_join(F.transform(F.filter(lines, keep), lambda x: F.when(quoted(x), "").otherwise(x)), "\n")
 
 
-def _originals(messages: DataFrame) -> DataFrame:
-    """conv_id, kind, h1, h2, origin: the first turn whose own text has the paragraph or line."""
+def _parts(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, kind, h1, h2, part: paragraphs and lines of the messages' own texts."""
     kinds = F.array(
         F.struct(F.lit("passage").alias("kind"), F.split("own", r"\n[ \t]*\n").alias("parts")),
         F.struct(F.lit("line").alias("kind"), F.split("own", "\n").alias("parts")),
     )
     parts = messages.select("conv_id", "turn", F.explode(kinds).alias("k")).select("conv_id", "turn", "k.kind", F.explode("k.parts").alias("part"))
     parts = parts.select("conv_id", "turn", "kind", _normal(F.col("part")).alias("part")).filter("part <> ''")
-    return parts.groupBy("conv_id", "kind", *_hashed(F.col("part"))).agg(F.min("turn").alias("origin"))
+    return parts.select("conv_id", "turn", "kind", *_hashed(F.col("part")), "part")
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -66,18 +68,27 @@ def passages(messages: DataFrame) -> DataFrame:
     quoted = rows.select("conv_id", "turn", "copy", "n", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), _normal(F.regexp_replace("line", _MARKS, "")).alias("line"))
     quoted = quoted.filter("level > 0 and line <> ''")
     run = Window.partitionBy("conv_id", "turn", "copy", "level").orderBy("n")
-    quoted = stash(quoted.withColumn("run", F.col("n") - F.row_number().over(run)), "quoted")
+    quoted = quoted.withColumn("run", F.col("n") - F.row_number().over(run)).select("*", *_hashed(F.col("line")))
+    quoted = stash(quoted, "quoted")
     by = ["conv_id", "turn", "copy", "level", "run"]
-    whole = quoted.groupBy(*by).agg(F.min("n").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("part"))
-    originals = _originals(messages)
-
-    def found(parts: DataFrame, kind: str, text: str) -> DataFrame:
-        hashed = parts.select("*", *_hashed(F.col(text)))
-        matches = hashed.join(originals.filter(F.col("kind") == kind), ["conv_id", "h1", "h2"]).filter("origin < turn")
-        return matches.groupBy(*by).agg(F.max("origin").alias(f"by_{kind}"))
-
-    linked = whole.select(*by, "first").join(found(whole, "passage", "part"), by, "left").join(found(quoted, "line", "line"), by, "left")
-    return linked.select("conv_id", "turn", "level", "first", F.coalesce("by_passage", "by_line").alias("origin"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
+    whole = quoted.groupBy(*by).agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("n_lines"), joined.alias("part"))
+    whole = stash(whole.select("*", *_hashed(F.col("part"))), "passages")
+    parts = stash(_parts(messages), "parts")
+    key = ["conv_id", "h1", "h2", "part"]
+    originals = parts.groupBy("kind", *key).agg(F.min("turn").alias("origin"))
+    found = whole.join(originals.filter("kind = 'passage'").drop("kind"), key).filter("origin < turn").select(*by, "origin")
+    found = stash(found, "by-passage")
+    # The others line by line.
+    lines = quoted.withColumnRenamed("line", "part").join(found, by, "left_anti")
+    lines = lines.join(originals.filter("kind = 'line'").drop("kind"), key).filter("origin < turn").select(*by, *key[1:], "origin")
+    every = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("n_found"), F.max("origin").alias("origin"))
+    every = every.join(whole.select(*by, "n_lines"), by).filter("n_found = n_lines").select(*by, "n_lines", "origin")
+    held = lines.drop("origin").join(every, by).join(
+        parts.filter("kind = 'line'").select("conv_id", F.col("turn").alias("origin"), "h1", "h2", "part"), ["conv_id", "origin", "h1", "h2", "part"], "left_semi"
+    )
+    by_line = held.groupBy(*by, "n_lines", "origin").agg(F.count(F.lit(1)).alias("n_held")).filter("n_held = n_lines").select(*by, "origin")
+    return whole.select(*by, "first").join(found.unionByName(by_line), by, "left").select("conv_id", "turn", "level", "first", "origin")
 
 
 def _threads(links: DataFrame) -> DataFrame:

@@ -95,6 +95,8 @@ CONVERSATIONS = [
     (1, 3, "user", "> never said\n\nhm"),
     (1, 3, "user", "> Works.\nrepeated turn"),
     (2, 0, "user", None), (2, 1, "assistant", ""), (2, 2, "user", ">\n> \n"), (None, 0, "user", "> x"), (3, None, "user", "no turn"),
+    (4, 0, "user", "yes"), (4, 1, "user", "> yes\n> a sentence nobody wrote\nno"), (4, 2, "user", "first\n> yes\nlast"), (4, 3, "user", "> last\nok"),
+    (4, 4, "user", "> first\n> last\nboth lines of one message"), (4, 5, "user", "> yes\n> ok\nlines of two messages"), (4, 6, "user", "> yes"), (4, 7, "user", "x" * 50_000 + "\n> yes"),
     (3, 1, "user", "a\nb\nc"), (3, 2, "user", "> a\n> c\ntext"), (3, 3, "user", "  > b\nx\n\n\ny"), (3, 3, "user", "  > b\nx\n\n\ny"),
 ]
 
@@ -107,6 +109,8 @@ def test_quotes_link_to_their_originals(spark):
     assert by_turn[1, 1][3:] == ("Use sorted().", 1, 1, 0, 0, 1)
     assert by_turn[1, 2][3:] == ("Works.", 2, 2, 1, 0, 2)
     assert len(rows) == len(CONVERSATIONS)
+    in_4 = {r[1]: r[4:7] for r in rows if r[0] == 4}
+    assert in_4[1] == (1, 0, None) and in_4[3] == (1, 1, 2) and in_4[4] == (1, 1, 2) and in_4[5] == (1, 0, None) and in_4[6] == in_4[7] == (1, 1, 0)
     con = duckdb.connect()
     frame = pd.DataFrame(CONVERSATIONS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
     con.register("conversations", frame)
