@@ -52,9 +52,9 @@ def corpus():
     return {i: " ".join(t) for i, t in enumerate([*texts, [], ["One"], ["one"], ["one", "two"]])}
 
 
-@pytest.mark.parametrize("busy", [4, 0])
-@pytest.mark.parametrize("few", [0, 100_000])
-def test_near_copies_by_brute_force(spark, monkeypatch, busy, few):
+@pytest.mark.parametrize(("busy", "few", "crowd"), [(4, 100_000, 32), (0, 0, 2), (1, 100_000, 2)])
+def test_near_copies_by_brute_force(spark, monkeypatch, busy, few, crowd):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     monkeypatch.setattr(common, "BROADCAST_KEYS", few)
     monkeypatch.setattr(near_copies, "BROADCAST_KEYS", few)
     texts = corpus()
@@ -63,7 +63,7 @@ def test_near_copies_by_brute_force(spark, monkeypatch, busy, few):
     want = brute_kept(texts)
     assert {r.doc_id for r in marks if r.stays} == want | {None} and len(want) < len(texts) - 30
     assert len(marks) == len(texts) + 2 and sum(r.stays for r in marks) == len(want) + 1
-    if busy:
+    if busy == 4:
         kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted(want)
         assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
