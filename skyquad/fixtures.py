@@ -33,7 +33,7 @@ SQL = {
         SELECT i.image_id, CAST(i.star_id % 5 AS BIGINT) AS run_id, i.star_id AS quad_id, i.x, i.y, s.ra AS mid_ra, s.dec AS mid_dec,
                174e0 + CAST((i.star_id*29) % 23 AS DOUBLE)/1e1 + CAST((i.star_id*31) % 97 AS DOUBLE)/1e3 + CASE WHEN i.star_id % 11 = 0 THEN 9e0 ELSE 0e0 END AS scale_ratio,
                18.1e0 AS ra0, 0.4e0 AS dec0
-        FROM image_stars i JOIN (SELECT star_id, ra, dec FROM sky_stars) s ON i.star_id = s.star_id WHERE i.star_id % 7 < 3""",
+        FROM image_stars i JOIN (SELECT star_id, ra, dec FROM sky_stars) s ON i.star_id = s.star_id""",
     "dso": """
         SELECT CAST(p_partkey AS BIGINT) AS dso_id,
                CAST((p_partkey*p_partkey*7919 + p_size*104729) % 360000 AS DOUBLE)/1e3 AS ra,

@@ -21,6 +21,15 @@ def quads_per_square_degree(n_quads: Value, radius: Value, width: Value, height:
     return F.floor(col(n_quads) / ((field * F.sin(corner)) * (field * F.cos(corner)))).cast("long")
 
 
+def pixel_distance(x: Value, y: Value, to_x: Value, to_y: Value) -> Column:
+    dx, dy = col(x) - col(to_x), col(y) - col(to_y)
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def view_diameter(width: Value, height: Value) -> Column:
+    return F.hypot(col(width), col(height))
+
+
 def diagonal(width: Value, height: Value) -> Column:
     width, height = col(width).cast("double"), col(height).cast("double")
     return F.sqrt(width * width + height * height)
@@ -106,9 +115,12 @@ def sky_to_pixel(ra: Value, dec: Value, mirrored: bool = True) -> tuple[Column,
     if not mirrored:
         x, y = -x, -y
     a, b, c, d, e, f = (F.col(n) for n in "abcdef")
-    ratio = -a / d
-    py = (-(ratio * f) - c + ratio * y + x) / (b + ratio * e)
-    px = (-b * py - c + x) / a
+    zero = F.lit(0e0)
+    # Elimination by -a / d; where d is exactly 0 or a is, as in plates without rotation, by determinants.
+    ratio = -a / F.nullif(d, zero)
+    det = F.nullif(a * e - b * d, zero)
+    py = F.coalesce((-(ratio * f) - c + ratio * y + x) / F.nullif(b + ratio * e, zero), (a * (y - f) - d * (x - c)) / det)
+    px = F.coalesce((-b * py - c + x) / F.nullif(a, zero), ((x - c) * e - (y - f) * b) / det)
     if mirrored:
         px, py = F.col("width") - px, F.col("height") - py
     return F.rint(px).cast("long"), F.rint(py).cast("long")

@@ -54,6 +54,11 @@ def scale_ratio(image_largest: Value, catalog_largest: Value) -> Column:
     return narrow(col(image_largest) / col(catalog_largest)).cast("double")
 
 
+def scaled(ratio: Value, factor: float) -> Column:
+    """A ratio times a number, in single precision."""
+    return narrow(col(ratio) * narrow(F.lit(factor)))
+
+
 def window(tolerance: float = 0.011) -> tuple[float, float]:
     """Bounds of the prefilter's factor, in single precision."""
     one, t = np.float32(1), np.float32(tolerance)

@@ -92,11 +92,16 @@ def clip_influence(matches: DataFrame) -> DataFrame:
     return tested.filter((F.col("_left") < LEAST_KEPT) | F.col("_good")).drop(*sigmas, *names, "d_scale", "_good", "_left", "_median")
 
 
+def match_pairs(matches: DataFrame) -> DataFrame:
+    """Pairs of a run's matches, as ``m`` and ``o``."""
+    side = matches.select(*KEY, "quad_id", "x", "y", "mid_ra", "mid_dec")
+    return side.alias("m").join(side.alias("o"), KEY).filter("m.quad_id < o.quad_id")
+
+
 def pixels_per_degree(matches: DataFrame) -> DataFrame:
     """Per run, the mean over pairs of matches of their distance in pixels and degrees. A run has at
     most as many matches as its picture has quads, which are cut to some thousand."""
-    side = matches.select(*KEY, "quad_id", "x", "y", "mid_ra", "mid_dec")
-    pairs = side.alias("m").join(side.alias("o"), KEY).filter("m.quad_id < o.quad_id")
+    pairs = match_pairs(matches)
     dx, dy = F.col("m.x") - F.col("o.x"), F.col("m.y") - F.col("o.y")
     apart = angular_distance("m.mid_ra", "m.mid_dec", "o.mid_ra", "o.mid_dec")
     pairs = pairs.select(*KEY, F.sqrt(dx * dx + dy * dy).alias("pixels"), apart.alias("degrees")).filter("pixels > 0 and degrees > 0")

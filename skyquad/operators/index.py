@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.base import narrow
 from ..functions.sphere import angular_distance
@@ -121,6 +122,13 @@ def describe_subcells(quads: DataFrame, options: IndexOptions) -> DataFrame:
     return out.withColumn("first_row", F.sum("n_quads").over(order) - F.col("n_quads"))
 
 
+def data_offsets(subcells: DataFrame, order: str = "subcell", size: str = "n_bytes") -> DataFrame:
+    """Adds data_offset: where the data of each subcell begins in its cell's file (cell_id), from the
+    lengths before it. A cell has at most some thousand subcells over all passes."""
+    before = Window.partitionBy("cell_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return subcells.withColumn("data_offset", F.sum(size).over(before) - F.col(size))
+
+
 def build_index(stars: DataFrame, options: IndexOptions = IndexOptions()) -> Index:  # noqa: B008
     """The index of all cells as one job. ``stars``: star_id, ra, dec, mag."""
     quads = stash(catalog_quads(select_pass_stars(stars, options)), "quads")
@@ -129,7 +137,8 @@ def build_index(stars: DataFrame, options: IndexOptions = IndexOptions()) -> Ind
 
 def write_index(stars: DataFrame, folder: str, options: IndexOptions = IndexOptions(), resume: bool = True) -> Index:  # noqa: B008
     """Build and write the index. With ``resume``, cells that ``folder`` has are not built again;
-    a cell counts as done when its line of the cell table is there, which is written last."""
+    a cell counts as done when its part of the cell table is there, which is written last. Every table
+    is partitioned by cell, and a cell's part replaces what a build that failed has left of it."""
     spark = stars.sparkSession
     done = finished_cells(spark, folder) if resume else None
     todo = assign_cells(stars)
@@ -139,28 +148,46 @@ def write_index(stars: DataFrame, folder: str, options: IndexOptions = IndexOpti
     dealt = quads.repartition("cell_id", "pass").sortWithinPartitions("cell_id", "pass", "r0")
     mode = {"partitionOverwriteMode": "dynamic"}
     dealt.write.mode("overwrite").options(**mode).partitionBy("cell_id", "pass").parquet(f"{folder}/quads")
-    written = spark.read.parquet(f"{folder}/quads").join(F.broadcast(todo.select("cell_id").distinct()), "cell_id", "left_semi")
-    describe_passes(written, options).write.mode("append").parquet(f"{folder}/passes")
-    describe_subcells(written, options).write.mode("append").parquet(f"{folder}/subcells")
-    todo.groupBy("cell_id").count().write.mode("append").parquet(f"{folder}/cells")
+    written = _table(spark, folder, "quads").join(F.broadcast(todo.select("cell_id").distinct()), "cell_id", "left_semi")
+    tables = {"passes": describe_passes(written, options), "subcells": describe_subcells(written, options), "cells": todo.groupBy("cell_id").count()}
+    for name, table in tables.items():
+        # Lookup tables of some thousand rows: one file for each cell.
+        table.repartition("cell_id").write.mode("overwrite").options(**mode).partitionBy("cell_id").parquet(f"{folder}/{name}")
     return read_index(spark, folder)
 
 
+def _schema(spark: SparkSession, name: str) -> StructType:
+    """Of an index table, from its derivation: a folder without any cell has no file to tell it."""
+    quads = catalog_quads(select_pass_stars(spark.createDataFrame([], "star_id long, ra double, dec double, mag double"), IndexOptions()))
+    return {"quads": lambda q: q, "passes": lambda q: describe_passes(q, IndexOptions()), "subcells": lambda q: describe_subcells(q, IndexOptions())}[name](quads).schema
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_schema(spark, name)).parquet(f"{folder}/{name}")
+
+
 def finished_cells(spark: SparkSession, folder: str) -> DataFrame | None:
     """cell_id of the cells an earlier build has finished; None without any."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/cells")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, f"{folder}/cells"):
         return None
-    return spark.read.parquet(f"{folder}/cells").select("cell_id").distinct()
+    return spark.read.schema("count long, cell_id string").parquet(f"{folder}/cells").select("cell_id").distinct()
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def read_index(spark: SparkSession, *folders: str) -> Index:
     """One index from the tables of one or more folders (passes of different files make one ladder)."""
     if not folders:
         raise ValueError("no index folder given")
+    for folder in folders:
+        if not _exists(spark, f"{folder}/quads"):
+            raise ValueError(f"no index in {folder}")
     tables = {}
     for name in ("quads", "passes", "subcells"):
-        parts = [spark.read.parquet(f"{f}/{name}") for f in folders]
+        parts = [_table(spark, f, name) for f in folders]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -56,11 +56,12 @@ def in_slice(pos: Value, n: Value, slices: int, slice_: int) -> Column:
 
 
 def quads_in_area(quads: DataFrame, subcells: DataFrame, run_passes: DataFrame, slices: int = 1, slice_: int = 0) -> DataFrame:
-    """Rows of ``quads`` (catalog quads, or candidates with their image_id) in each run's area."""
-    known = quads.join(subcells.select("cell_id", "pass", "subcell", "center_ra", "center_dec", "n_quads"), ["cell_id", "pass", "subcell"])
-    known = known.filter(in_slice("pos", "n_quads", slices, slice_))
-    keys = ["cell_id", "pass"] + (["image_id"] if "image_id" in quads.columns else [])
-    found = known.join(run_passes, keys).filter(subcell_in_range())
+    """Rows of ``quads`` (catalog quads, or candidates with their image_id) in each run's area. Runs
+    become the few subcells in their range first, so that a quad meets the runs of its subcell alone."""
+    known = subcells.select("cell_id", "pass", "subcell", "center_ra", "center_dec", "n_quads")
+    near = run_passes.join(known, ["cell_id", "pass"]).filter(subcell_in_range())
+    keys = ["cell_id", "pass", "subcell"] + (["image_id"] if "image_id" in quads.columns else [])
+    found = quads.join(near, keys).filter(in_slice("pos", "n_quads", slices, slice_))
     close = angular_distance(F.col("mid_ra").cast("double"), F.col("mid_dec").cast("double"), "ra", "dec") < F.col("radius")
     return found.filter(close).drop("center_ra", "center_dec", "n_quads", "avg_subcell_radius")
 

@@ -50,7 +50,7 @@ class NearbyOptions:
             raise ValueError("min_field_radius must not exceed max_field_radius")
 
 
-def _row_positions(rows: DataFrame, circle: float) -> DataFrame:
+def row_positions(rows: DataFrame, circle: float) -> DataFrame:
     """Positions of each row (row_dec, spacing, n): k of them, staggered by half a step in odd rows.
     Steps and positions are single precision."""
     k = (F.ceil(F.cos(F.radians("row_dec")) * circle / (F.col("spacing") * 2e0)) + 1).cast("long")
@@ -73,7 +73,7 @@ def blind_runs(spark: SparkSession, options: BlindOptions = BlindOptions()) -> D
             dec, n = dec + radius, n + 1
         radius, level = radius / 2, level + 1
     table = spark.createDataFrame(rows, "level int, quadrant int, n int, row_dec double, radius double")
-    found = _row_positions(table.withColumn("spacing", F.col("radius")), 180.0)
+    found = row_positions(table.withColumn("spacing", F.col("radius")), 180.0)
     south = F.col("quadrant") < 2 if options.south_first else F.col("quadrant") >= 2
     west = F.col("quadrant") % 2 == (0 if options.west_first else 1)
     ra = F.col("at")
@@ -120,7 +120,7 @@ def nearby_runs(spark: SparkSession, options: NearbyOptions) -> DataFrame:
             rows.append((level, n, dec, radius, float(np.float32(radius))))
             dec, n = dec + radius, n + 1
     table = spark.createDataFrame(rows, "level int, n int, row_dec double, spacing double, radius double")
-    found = _row_positions(table, 360.0).select("level", "n", "i", F.col("at").cast("double").alias("ra"), F.col("row_dec").alias("dec"), "radius")
+    found = row_positions(table, 360.0).select("level", "n", "i", F.col("at").cast("double").alias("ra"), F.col("row_dec").alias("dec"), "radius")
     found = found.withColumn("distance", angular_distance("ra", "dec", F.lit(hint[0]), F.lit(hint[1]))).filter(F.col("distance") < options.search_radius)
     first = [(level, -1, -1, *map(float, hint), float(np.float32(r)), 0.0) for level, r in enumerate(radii)]
     found = found.unionByName(spark.createDataFrame(first, "level int, n int, i long, ra double, dec double, radius double, distance double"))
@@ -142,8 +142,27 @@ def sliced(runs: DataFrame, slices: int, slice_: int) -> DataFrame:
     return runs.filter(sector("ra", slices) == slice_)
 
 
-def density_offsets(lower: int, higher: int) -> Column:
-    return F.sequence(F.lit(-lower), F.lit(higher))
+def density_offsets(lower: Value | int, higher: Value | int) -> Column:
+    lower, higher = (F.lit(v) if isinstance(v, int) else col(v) for v in (lower, higher))
+    return F.sequence(-lower, higher)
+
+
+def explicit_runs(given: DataFrame) -> DataFrame:
+    """A queue of runs that are given (run_id, ra, dec, radius), renumbered from 0 in their order.
+    Positions are counted by ranges of run_id, so that no task numbers them all."""
+    keyed = given.select("ra", "dec", "radius", F.col("run_id").alias("_given"), F.shiftright(F.col("run_id").cast("long"), 16).alias("_range"))
+    counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65,536 positions
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_given")) - 1
+    return keyed.withColumn("_i", inside).join(starts, "_range").select((F.col("_start") + F.col("_i")).alias("run_id"), "ra", "dec", "radius")
+
+
+def in_batches(runs: DataFrame, size: int) -> DataFrame:
+    """Adds batch: runs of a radius are contiguous in the queue, so their numbers tell it."""
+    first = runs.groupBy("radius").agg(F.min("run_id").alias("_first"))
+    # Distinct radii of a plan: some dozen rows.
+    return runs.join(F.broadcast(first), "radius").withColumn("batch", F.floor((F.col("run_id") - F.col("_first")) / size)).drop("_first")
 
 
 def by_radius(runs: DataFrame) -> DataFrame:

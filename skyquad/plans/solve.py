@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plate import add_wcs, diagonal, quads_per_square_degree
 from ..operators import fit, lookup, match
 from ..operators.bandjoin import candidates, ratio_range
+from ..operators.cells import runs_to_cells
 from ..operators.index import Index
 from ..operators.quads import brightest, picture_quads
 from ..storage import stash
@@ -62,20 +63,40 @@ class Search:
     options: SolveOptions = field(default_factory=SolveOptions)
 
 
-def open_search(stars: DataFrame, pictures: DataFrame, index: Index, options: SolveOptions = SolveOptions()) -> Search:  # noqa: B008
-    """``stars``: image_id, star_id, x, y, brightness, size. ``pictures``: image_id, width, height."""
+def in_area(index: Index, runs: DataFrame) -> Index:
+    """The index of the cells that any of the runs meets. The cells (406 at most) are known before the
+    scan, so the other cells' files aren't opened."""
+    cells = runs_to_cells(runs, []).select("cell_id").distinct()
+    wanted = sorted(r[0] for r in cells.collect())
+    return Index(*[t.filter(F.col("cell_id").isin(wanted)) for t in (index.quads, index.passes, index.subcells)])
+
+
+def open_search(
+    stars: DataFrame, pictures: DataFrame, index: Index, options: SolveOptions = SolveOptions(), runs: DataFrame | None = None,  # noqa: B008
+) -> Search:
+    """``stars``: image_id, star_id, x, y, brightness, size. ``pictures``: image_id, width, height.
+    With ``runs`` (ra, dec, radius) only their area of the index is read."""
+    index = index if runs is None else in_area(index, runs)
     quads = stash(picture_quads(brightest(stars, options.max_stars)), "picture-quads")
     low, high = ratio_range(quads)
     in_range = index.quads.filter(F.col("r0").between(F.lit(low).cast("float"), F.lit(high).cast("float")))
     return Search(pictures, quads, stash(candidates(quads, in_range), "pairs"), index, options)
 
 
+def runs_of_pictures(search: Search, runs: DataFrame) -> DataFrame:
+    """The runs with the image_id of each picture that has a candidate in a cell they meet: no other
+    run can find anything. Runs and pictures meet through those cells, not in a product."""
+    cells = runs_to_cells(runs, ["run_id", "image_id"] if "image_id" in runs.columns else ["run_id"]).drop("band", "cell")
+    met = search.pairs.select("image_id", "cell_id").distinct().join(cells, [c for c in ("image_id", "cell_id") if c in cells.columns])
+    met = met.select("image_id", "run_id").distinct()
+    return runs.join(met, [c for c in ("image_id", "run_id") if c in runs.columns])
+
+
 def prepare_runs(search: Search, runs: DataFrame) -> DataFrame:
-    """Adds image_id (each picture has all runs, unless the runs name theirs), the picture's size,
-    the wanted quad density, offsets and the scale gate."""
+    """Adds the picture's size, the wanted quad density, offsets and the scale gate to the runs (with
+    image_id) of each picture."""
     counts = search.quads.groupBy("image_id").agg(F.max("n_first").alias("n_first"))
-    known = search.pictures.join(counts, "image_id")
-    every = runs.join(known, "image_id") if "image_id" in runs.columns else known.join(runs, F.lit(True))
+    every = runs.join(search.pictures.join(counts, "image_id"), "image_id")
     offsets = density_offsets(search.options.lower_offset, search.options.higher_offset)
     return every.withColumns({
         "per_degree": quads_per_square_degree("n_first", "radius", "width", "height"),
@@ -94,6 +115,14 @@ def count_potential(potential: DataFrame) -> DataFrame:
     return potential.groupBy("image_id", "run_id").agg(F.max("n_potential").alias("n_potential"))
 
 
+def rank_runs(runs: DataFrame, counted: DataFrame) -> DataFrame:
+    """run_id, n_potential, has_matches and place, most potential matches first. ``runs`` is a batch of
+    one picture: some thousand rows, which are ranked as a whole."""
+    every = runs.join(counted, "run_id", "left").fillna(0, ["n_potential"])
+    place = F.row_number().over(Window.orderBy(F.desc("n_potential"), "run_id")).cast("long")
+    return every.select("run_id", "n_potential", (F.col("n_potential") > 0).alias("has_matches"), place.alias("place"))
+
+
 def is_valid() -> Column:
     """No NaN in position or orientation, finite constants."""
     ok = F.lit(True)
@@ -104,6 +133,11 @@ def is_valid() -> Column:
     return ok
 
 
+def plausible(radius: str = "radius", run_radius: str = "run_radius") -> Column:
+    """A solution's radius is at most twice that of its run."""
+    return F.col(radius) <= F.col(run_radius) * 2
+
+
 def fit_matches(potential: DataFrame, runs: DataFrame) -> DataFrame:
     """Plate solutions of the runs. ``runs`` has ra0, dec0 (reference position) and gate besides width and height."""
     taken = match.one_to_one(potential).join(runs.select("image_id", "run_id", "gate", "ra0", "dec0"), ["image_id", "run_id"])
@@ -119,7 +153,7 @@ def fit_matches(potential: DataFrame, runs: DataFrame) -> DataFrame:
 def solve_runs(search: Search, runs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Solutions of all runs (columns SOLUTION and n_potential). A first solution of more than
     twice the run's radius is dropped; the others are refined around their own center and radius."""
-    asked = prepare_runs(search, runs).withColumns({"ra0": F.col("ra"), "dec0": F.col("dec")})
+    asked = prepare_runs(search, runs_of_pictures(search, runs)).withColumns({"ra0": F.col("ra"), "dec0": F.col("dec")})
     if only is not None:
         asked = asked.join(only, ["image_id", "run_id"], "left_semi")
     asked = stash(asked, "runs")
@@ -127,7 +161,7 @@ def solve_runs(search: Search, runs: DataFrame, only: DataFrame | None = None) -
     first = fit_matches(potential, asked)
     extra = asked.select("image_id", "run_id", "per_degree", "offsets", F.col("radius").alias("run_radius"))
     again = first.select("image_id", "run_id", "ra", "dec", "radius", "width", "height").join(extra, ["image_id", "run_id"])
-    again = again.filter(F.col("radius") <= F.col("run_radius") * 2)
+    again = again.filter(plausible())
     # The gate's factor of two stands outside the quotient, as in the original: it is looser here.
     again = again.withColumns({"ra0": F.col("ra"), "dec0": F.col("dec"), "gate": diagonal("width", "height") / F.col("radius") * 2e0 * 0.01})
     refined = fit_matches(find_potential(search, again), again)
@@ -142,7 +176,7 @@ def first_success(solutions: DataFrame) -> DataFrame:
 
 def solve_first(stars: DataFrame, pictures: DataFrame, index: Index, runs: DataFrame, options: SolveOptions = SolveOptions()) -> DataFrame:  # noqa: B008
     """Bulk mode: all runs of all pictures at once, on whole subcells."""
-    return first_success(solve_runs(open_search(stars, pictures, index, options), runs))
+    return first_success(solve_runs(open_search(stars, pictures, index, options, runs), runs))
 
 
 def _batch_size(group: int) -> int:
@@ -162,8 +196,9 @@ def solve_staged(
     """
     spark = stars.sparkSession
     tell = progress or (lambda step, facts: None)
-    search = open_search(stars, pictures, index, options)
     runs = stash(by_radius(runs), "plan")
+    search = open_search(stars, pictures, index, options, runs)
+    index = search.index
     solved, tried, open_pictures = None, None, pictures
     waiting = open_pictures.count()
     tell("quads_formed", {"pictures": waiting, "pairs": search.pairs.count()})
@@ -173,7 +208,8 @@ def solve_staged(
         if cancelled and cancelled():
             return None
         batch = runs.filter((F.col("radius_group") == group) & (F.col("run_id") >= low) & (F.col("run_id") < high)).drop("radius_group")
-        asked = prepare_runs(Search(open_pictures, search.quads, search.pairs, index, options), batch)
+        left = Search(open_pictures, search.quads, search.pairs, index, options)
+        asked = prepare_runs(left, runs_of_pictures(left, batch))
         if tried is not None:
             asked = asked.join(tried, ["image_id", "run_id"], "left_anti")
         hits = stash(count_potential(find_potential(search, asked, options.subsets, subset)), "hits")
@@ -183,20 +219,19 @@ def solve_staged(
             if (most is not None and options.subsets == 1) or chosen.isEmpty():
                 continue
             left = Search(open_pictures, search.quads, search.pairs, index, options)
-            found = first_success(solve_runs(left, batch, chosen.select("image_id", "run_id")))
-            rows = found.collect()  # one row per solved picture
-            tell("batch_done", {"subset": subset, "radius_group": group, "runs": low, "solved": len(rows)})
-            if rows:
-                found = spark.createDataFrame(rows, found.schema)
+            found = stash(first_success(solve_runs(left, batch, chosen.select("image_id", "run_id"))), "found")
+            n = found.count()
+            tell("batch_done", {"subset": subset, "radius_group": group, "runs": low, "solved": n})
+            if n:
                 solved = found if solved is None else solved.unionByName(found)
                 open_pictures = stash(open_pictures.join(found, "image_id", "left_anti"), "pictures")
-                waiting -= len(rows)
+                waiting -= n
             if not waiting:
                 break
         if not waiting:
             break
         again = hits.select("image_id", "run_id")
-        tried = again if tried is None else tried.unionByName(again)
+        tried = again if tried is None else stash(tried.unionByName(again), "tried")
     return solved if solved is not None else spark.createDataFrame([], solve_schema())
 
 

@@ -127,7 +127,7 @@ def sol_12(spark, sf_dir):
     return detect.detect_stars(found, sizes, OFFSET).select("image_id", "star_id", "x", "y", "brightness")
 
 
-@A("prj_01_as_stars", _MEASURED + " SELECT image_id, component AS star_id, x0 + (x1 - x0)*0.5e0 AS x, y0 + (y1 - y0)*0.5e0 AS y, brightness, round(sqrt(CAST((r-l)*(r-l) + (b-t)*(b-t) AS DOUBLE)), 6) AS size FROM measured WHERE n_pixels > 9")
+@A("prj_01_as_stars", _MEASURED + " SELECT image_id, component AS star_id, x0 + (x1 - x0)*0.5e0 AS x, y0 + (y1 - y0)*0.5e0 AS y, brightness, round(sqrt(CAST((r-l)*(r-l) + (b-t)*(b-t) AS DOUBLE)), 6) AS size FROM measured")
 def prj_01(spark, sf_dir):
-    found = detect.as_stars(measured(spark, sf_dir).filter("n_pixels > 9"))
+    found = detect.as_stars(measured(spark, sf_dir))
     return found.withColumn("size", r6(F.col("size")))

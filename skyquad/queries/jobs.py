@@ -12,7 +12,7 @@ from .base import Registry, fixture, r6
 REGISTRY = Registry()
 A = REGISTRY.add
 _EVENTS = {"signup": "submit", "view": "start", "purchase": "succeed", "click": "fail", "error": "error"}
-_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENTS.items()) + " ELSE 'cancel' END"
+_CASE = "CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'cancel' " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in _EVENTS.items()) + " ELSE 'cancel' END"
 _JOB_EVENTS = f"WITH job_events AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts, {_CASE} AS event, event_id FROM events)"
 
 
@@ -23,7 +23,7 @@ def job_events(spark, sf_dir, stream: bool = False):
         rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     else:
         rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select(F.col("user_id").cast("string").alias("job_id"), "ts", F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("cancel")).alias("event"), "event_id")
+    return rows.select(F.col("user_id").cast("string").alias("job_id"), "ts", F.when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), "cancel").otherwise(F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("cancel"))).alias("event"), "event_id")
 
 
 def shown(df, column):
@@ -62,7 +62,7 @@ def str_01(spark, sf_dir):
 @A("top_08_first_in_queue", _JOB_EVENTS + ", first_seen AS (SELECT job_id, min(ts) AS ts FROM job_events GROUP BY job_id) SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM (SELECT * FROM first_seen ORDER BY ts, job_id LIMIT 10) t")
 def top_08(spark, sf_dir):
     first = job_events(spark, sf_dir).groupBy("job_id").agg(F.min("ts").alias("ts"))
-    return shown(first.orderBy("ts", "job_id").limit(10), "ts")
+    return shown(jobs.first_in_queue(first, 10), "ts")
 
 
 @A("str_02_canceled_jobs", _JOB_EVENTS + " SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS canceled_at FROM job_events WHERE event = 'cancel' GROUP BY job_id")

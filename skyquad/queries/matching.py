@@ -101,15 +101,19 @@ def my_runs(spark):
     return spark.createDataFrame(_RUNS, "run_id long, ra double, dec double, radius double")
 
 
+def runs_of_the_picture(spark):
+    return my_runs(spark).withColumn("image_id", F.lit(1).cast("long"))
+
+
 def run_passes(spark, sf_dir):
     built = fixture_index(spark, sf_dir)
     found = solve.open_search(fixture(spark, sf_dir, "image_stars"), pictures(spark), built)
-    return lookup.runs_to_passes(solve.prepare_runs(found, my_runs(spark)), built.passes), built, found
+    return lookup.runs_to_passes(solve.prepare_runs(found, runs_of_the_picture(spark)), built.passes), built, found
 
 
 def potential(spark, sf_dir):
     found = search(spark, sf_dir)
-    return solve.find_potential(found, solve.prepare_runs(found, my_runs(spark)))
+    return solve.find_potential(found, solve.prepare_runs(found, runs_of_the_picture(spark)))
 
 
 @A("agg_08_median_size", _brightest_ctes(with_sql("image_stars")) + " SELECT image_id, median_size FROM medians")
@@ -253,13 +257,8 @@ def agg_23(spark, sf_dir):
 
 @A("agg_24_runs_by_hits", _found_ctes() + ", counted AS (SELECT run_id, count(DISTINCT (cell_id, pass, subcell, pos)) AS n FROM potential GROUP BY ALL) SELECT r.run_id, coalesce(n, 0) AS n_potential, coalesce(n, 0) > 0 AS has_matches, row_number() OVER (ORDER BY coalesce(n, 0) DESC, r.run_id) AS place FROM my_runs r LEFT JOIN counted c ON c.run_id = r.run_id")
 def agg_24(spark, sf_dir):
-    from pyspark.sql import Window
-
     counted = solve.count_potential(potential(spark, sf_dir)).select("run_id", "n_potential")
-    every = my_runs(spark).select("run_id").join(counted, "run_id", "left").fillna(0, ["n_potential"])
-    # A batch of runs (some thousand rows) is ranked as a whole.
-    place = F.row_number().over(Window.orderBy(F.desc("n_potential"), "run_id")).cast("long")
-    return every.select("run_id", "n_potential", (F.col("n_potential") > 0).alias("has_matches"), place.alias("place"))
+    return solve.rank_runs(my_runs(spark).select("run_id"), counted)
 
 
 @A("set_01_union_of_offsets", _found_ctes() + " SELECT run_id, offset_pos, count(*) AS n FROM potential GROUP BY ALL")
@@ -364,11 +363,9 @@ def agg_20(spark, sf_dir):
     return fit.clip_influence(fit.with_plane(planted(spark, sf_dir))).select("run_id", "quad_id")
 
 
-@A("win_10_leave_one_out", _LOO + " SELECT run_id, quad_id, round(d_a*1e8, 4) + 0e0 AS d_a, round(d_c*1e5, 4) + 0e0 AS d_c, round(d_scale, 6) AS d_scale FROM sig QUALIFY count(*) OVER (PARTITION BY run_id) >= 12")
+@A("win_10_leave_one_out", _LOO + " SELECT run_id, quad_id, round(d_a*1e8, 4) + 0e0 AS d_a, round(d_c*1e5, 4) + 0e0 AS d_c, round(d_scale, 6) AS d_scale FROM sig")
 def win_10(spark, sf_dir):
-    matches = planted(spark, sf_dir)
-    enough = matches.groupBy("run_id").count().filter("count >= 12")  # fewer are too close to singular to compare digits
-    found = fit.influence(fit.with_plane(matches.join(enough.select("run_id"), "run_id", "left_semi")))
+    found = fit.influence(fit.with_plane(planted(spark, sf_dir)))
     return found.select("run_id", "quad_id", (F.round(F.col("d_a") * 1e8, 4) + 0e0).alias("d_a"), (F.round(F.col("d_c") * 1e5, 4) + 0e0).alias("d_c"), r6(F.col("d_scale")).alias("d_scale"))
 
 
@@ -384,7 +381,6 @@ def agg_21(spark, sf_dir):
 
 @A("join_10_match_pairs", _M + " SELECT p.run_id, count(*) AS n_pairs FROM matches p JOIN matches o ON p.run_id = o.run_id AND p.quad_id < o.quad_id GROUP BY p.run_id")
 def join_10(spark, sf_dir):
-    n = planted(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("run_id", F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"))
+    return fit.match_pairs(planted(spark, sf_dir)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import with_sql
 from ..functions import plate
+from ..operators.index import data_offsets
 from ..sinks import results, wcs
 from ..sources import bench_log, catalog, fits, raster
 from ..storage import new_folder
@@ -82,7 +83,9 @@ def flt_14(spark, sf_dir):
 
 @A("flt_15_plausible_radius", _WCS + " SELECT star_id FROM w WHERE 1e3/pixels_per_degree <= 2*(2.5e0 + (star_id % 10)/1e1)")
 def flt_15(spark, sf_dir):
-    return plates(spark, sf_dir).filter(F.col("radius") <= (F.lit(2.5) + F.col("star_id") % 10 / 1e1) * 2).select("star_id")
+    from ..plans.solve import plausible
+
+    return plates(spark, sf_dir).withColumn("run_radius", F.lit(2.5) + F.col("star_id") % 10 / 1e1).filter(plausible()).select("star_id")
 
 
 _G = "printf('%.13G', {0})"
@@ -106,7 +109,7 @@ def snk_07(spark, sf_dir):
 
 @A("snk_09_comment_and_end", "SELECT rpad('COMMENT some text', 80, ' ') AS comment_record, rpad('END', 80, ' ') AS end_record")
 def snk_09(spark, sf_dir):
-    return spark.range(1).select(wcs.comment_record("some text").alias("comment_record"), F.element_at(F.split(F.lit("END".ljust(80)), "\n"), 1).alias("end_record"))
+    return spark.range(1).select(wcs.comment_record("some text").alias("comment_record"), wcs.end_record().alias("end_record"))
 
 
 @A("snk_11_result_tsv", with_sql("search_centers") + " SELECT run_id AS image_id, line, k AS key, k || chr(9) || v AS text FROM (SELECT run_id, CAST(0 AS BIGINT) AS line, 'parity' AS k, CASE WHEN run_id % 2 = 0 THEN 'normal' ELSE 'flipped' END AS v FROM search_centers UNION ALL SELECT run_id, 1, 'starsUsed', CAST(run_id*3 AS VARCHAR) FROM search_centers) t")
@@ -121,7 +124,7 @@ def snk_10(spark, sf_dir):
     return results.as_json(rows, pretty=False)
 
 
-_BENCH = "SELECT CAST(l_orderkey % 50 AS BIGINT) AS config_id, CAST(l_linenumber AS BIGINT)*1000000 + l_orderkey AS iteration, CAST(l_quantity AS DOUBLE) AS duration_solve, l_quantity > 49 AS solved, l_returnflag AS errors, 'image' AS image_name FROM lineitem WHERE l_linenumber = 1"
+_BENCH = "SELECT CAST(l_orderkey % 50 AS BIGINT) AS config_id, CAST(l_linenumber AS BIGINT)*1000000 + l_orderkey AS iteration, CAST(l_quantity AS DOUBLE) AS duration_solve, l_quantity > 49 AS solved, l_returnflag AS errors, 'image' AS image_name FROM lineitem"
 
 
 @A("agg_27_benchmark_average", f"WITH b AS ({_BENCH}) SELECT config_id, round(avg(duration_solve), 6) AS duration_solve, bool_or(solved) AS solved, string_agg(errors, '; ' ORDER BY iteration, errors) AS errors, 'image' AS image_name FROM b GROUP BY config_id")
@@ -141,14 +144,11 @@ def src_01(spark, sf_dir):
     return catalog.read_star_csv(spark, folder, 14.0)
 
 
-@A("src_05_data_offsets", with_sql("search_centers") + " SELECT run_id, CAST(sum(nation*18) OVER (ORDER BY run_id ROWS UNBOUNDED PRECEDING) - nation*18 AS BIGINT) AS data_offset FROM (SELECT run_id, run_id % 25 AS nation FROM search_centers) t")
+@A("src_05_data_offsets", with_sql("search_centers") + " SELECT run_id, CAST(sum(n*18) OVER (PARTITION BY radius ORDER BY run_id ROWS UNBOUNDED PRECEDING) - n*18 AS BIGINT) AS data_offset FROM (SELECT run_id, radius, run_id % 25 AS n FROM search_centers) t")
 def src_05(spark, sf_dir):
-    """Byte offsets of the subcells of one cell, from the lengths before them."""
-    from pyspark.sql import Window
-
-    rows = fixture(spark, sf_dir, "search_centers").select("run_id", (F.col("run_id") % 25 * 18).alias("n_bytes"))
-    order = Window.partitionBy(F.lit("b00c00")).orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("run_id", (F.sum("n_bytes").over(order) - F.col("n_bytes")).alias("data_offset"))
+    """Byte offsets of the subcells of a cell (here a radius), from the lengths before them."""
+    rows = fixture(spark, sf_dir, "search_centers").select("run_id", F.col("radius").alias("cell_id"), (F.col("run_id") % 25 * 18).alias("n_bytes"))
+    return data_offsets(rows, order="run_id").select("run_id", "data_offset")
 
 
 _RECORDS = "CASE star_id % 4 WHEN 0 THEN 'BITPIX  =                   16 / bits' WHEN 1 THEN 'OBJECT  = ''M ' || CAST(star_id AS VARCHAR(9)) || '''  / it''s' WHEN 2 THEN 'COMMENT some text / more' ELSE 'EXPTIME =  ' || CAST(star_id AS VARCHAR(9)) || '.5' END"

@@ -58,15 +58,15 @@ def gen_04(spark, sf_dir):
     return runs.point_runs(spark, 18.0, 0.5)
 
 
-@REGISTRY.add("gen_05_explicit_runs", with_sql("search_centers") + " SELECT run_id, ra, dec, radius FROM search_centers WHERE radius >= 2")
+@REGISTRY.add("gen_05_explicit_runs", with_sql("search_centers") + " SELECT run_id, ra, dec, radius FROM (SELECT row_number() OVER (ORDER BY run_id) - 1 AS run_id, ra, dec, radius FROM search_centers) t")
 def gen_05(spark, sf_dir):
-    return fixture(spark, sf_dir, "search_centers").filter("radius >= 2")
+    return runs.explicit_runs(fixture(spark, sf_dir, "search_centers")).select("run_id", "ra", "dec", "radius")
 
 
 @REGISTRY.add("gen_06_density_offsets", with_sql("search_centers") + " SELECT run_id, unnest(range(-(run_id % 3), run_id % 2 + 1)) AS density_offset FROM search_centers")
 def gen_06(spark, sf_dir):
     found = fixture(spark, sf_dir, "search_centers")
-    return found.select("run_id", F.explode(F.sequence(-(F.col("run_id") % 3), F.col("run_id") % 2)).alias("density_offset"))
+    return found.select("run_id", F.explode(runs.density_offsets(F.col("run_id") % 3, F.col("run_id") % 2)).alias("density_offset"))
 
 
 @REGISTRY.add("gen_07_variations", """
@@ -81,19 +81,16 @@ def join_16(spark, sf_dir):
     return runs.blind_runs(spark, _BLIND).select("run_id", runs.sector(F.round("ra", 4), 6).alias("sector"))
 
 
-@REGISTRY.add("win_07_row_stagger", f"SELECT dec, radius, round(min(ra), 4) AS first_ra, count(*) AS n FROM ({_BLIND_SQL}) t WHERE ra < 180 GROUP BY dec, radius")
+@REGISTRY.add("win_07_row_stagger", f"SELECT dec, radius, round(min(ra), 4) AS first_ra, count(*) AS n FROM ({_BLIND_SQL}) t GROUP BY dec, radius")
 def win_07(spark, sf_dir):
-    found = runs.blind_runs(spark, _BLIND).withColumn("ra", F.round("ra", 4)).filter("ra < 180")
+    found = runs.blind_runs(spark, _BLIND).withColumn("ra", F.round("ra", 4))
     return found.groupBy("dec", "radius").agg(F.round(F.min("ra"), 4).alias("first_ra"), F.count(F.lit(1)).alias("n"))
 
 
 @REGISTRY.add("win_09_batches", f"SELECT radius, (rn - 1)//1000 AS batch, count(*) AS n, min(run_id) AS first_run FROM (SELECT *, row_number() OVER (PARTITION BY radius ORDER BY run_id) AS rn FROM ({_BLIND_SQL}) t) u GROUP BY 1, 2")
 def win_09(spark, sf_dir):
-    # Queue positions within a radius are contiguous, so the batch needs no window.
-    found = runs.blind_runs(spark, _BLIND)
-    first = found.groupBy("radius").agg(F.min("run_id").alias("first"))
-    batch = F.floor((F.col("run_id") - F.col("first")) / 1000)
-    return found.join(F.broadcast(first), "radius").groupBy("radius", batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first_run"))
+    found = runs.in_batches(runs.blind_runs(spark, _BLIND), 1000)
+    return found.groupBy("radius", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first_run"))
 
 
 @REGISTRY.add("agg_25_radius_groups", f"SELECT radius, CAST(dense_rank() OVER (ORDER BY radius DESC) AS INTEGER) AS radius_group, count(*) AS n FROM ({_BLIND_SQL}) t GROUP BY radius")

@@ -95,7 +95,7 @@ S(
 )
 _SHORT = lambda v: f"regexp_replace(printf('%.3f', round_even({v}, 3)), '\\.?0+$', '')"
 S("fn_18_position_label", "sky_stars", {"ra": "ra + 3e-4", "dec": "dec + 3e-4"}, {"txt": (lambda: angles.position_label("ra", "dec", 3), f"'[' || {_SHORT('ra')} || ', ' || {_SHORT('dec')} || ']'")})
-S("fn_19_pixel_distance", "image_stars", {"x": "x", "y": "y"}, {"d": (lambda: r6(F.sqrt((F.col("x") - 800) * (F.col("x") - 800) + (F.col("y") - 600) * (F.col("y") - 600))), sql_r6("sqrt((x-800)*(x-800) + (y-600)*(y-600))"))})
+S("fn_19_pixel_distance", "image_stars", {"x": "x", "y": "y"}, {"d": (lambda: r6(plate.pixel_distance("x", "y", F.lit(800), F.lit(600))), sql_r6("sqrt((x-800)*(x-800) + (y-600)*(y-600))"))})
 S("fn_20_angle_difference", "sky_stars", _PAIR, {"d": (lambda: r6(angles.angle_difference("ra", "ra2")), sql_r6("least(abs(ra - ra2) % 360e0, 360e0 - abs(ra - ra2) % 360e0)"))})
 S("fn_21_cell_names", "sky_stars", {"b": "CAST(star_id % 18 AS INT)", "c": "CAST(star_id % 36 AS INT)"}, {"cell_id": (lambda: cells.cell_id("b", "c"), "printf('b%02dc%02d', b, c)"), "cell_num": (lambda: F.col("b") * 1000 + F.col("c"), "b*1000 + c")})
 _RATIOS = {f"r{i}": f"CAST(CAST(((star_id + {i}) * 7919 * {i + 3}) % 100000 AS DOUBLE)/1e5 AS FLOAT)" for i in range(5)}
@@ -113,11 +113,11 @@ S(
         for i, t in enumerate(_TOPS)
     },
 )
-S("fn_24_scale_ratios", "sky_stars", _RATIOS, {f"s{i}": ((lambda i=i: r6(narrow(F.col(f"r{i}") * narrow(F.lit(0.989))).cast("double"))), sql_r6(f"CAST(r{i} * CAST(0.989e0 AS FLOAT) AS DOUBLE)")) for i in range(5)})
+S("fn_24_scale_ratios", "sky_stars", _RATIOS, {f"s{i}": ((lambda i=i: r6(ratios.scaled(f"r{i}", 0.989).cast("double"))), sql_r6(f"CAST(r{i} * CAST(0.989e0 AS FLOAT) AS DOUBLE)")) for i in range(5)})
 S("fn_25_scale_ratio", "sky_stars", {"p": "CAST(ra*1e2 + 1e0 AS FLOAT)", "q": "CAST(mag AS FLOAT)"}, {"sr": (lambda: F.round(ratios.scale_ratio("p", "q"), 4), "round(CAST(CAST(CAST(p AS DOUBLE)/CAST(q AS DOUBLE) AS FLOAT) AS DOUBLE), 4)")})
 S("fn_26_quad_density", "search_centers", {"n": "run_id % 1000 + 5", "radius": "radius"}, {"per_degree": (lambda: plate.quads_per_square_degree("n", "radius", F.lit(1600), F.lit(1200)), "CAST(floor(n/((2e0*radius*sin(atan(1200e0/1600e0)))*(2e0*radius*cos(atan(1200e0/1600e0))))) AS BIGINT)")}, "run_id")
 S("fn_31_sigma_factor", "sky_stars", {"m": "mag*1e2"}, {"factor": (lambda: r6(fit.sigma_factor(F.col("m"))), sql_r6("CASE WHEN m <= 300 THEN 0.66e0 WHEN m >= 1500 THEN 2e0 ELSE (1e0 - (m - 300)/1200e0)*0.66e0 + (m - 300)/1200e0*2e0 END"))})
-S("fn_33_view_diameter", "search_centers", {"w": "radius", "h": "abs(dec)"}, {"diameter": (lambda: r6(F.hypot("w", "h")), sql_r6("sqrt(w*w + h*h)"))}, "run_id")
+S("fn_33_view_diameter", "search_centers", {"w": "radius", "h": "abs(dec)"}, {"diameter": (lambda: r6(plate.view_diameter("w", "h")), sql_r6("sqrt(w*w + h*h)"))}, "run_id")
 S("fn_34_field_radius", "search_centers", {"scale": "radius"}, {"field_radius": (lambda: r6(plate.field_radius("scale", F.lit(1600), F.lit(1200))), sql_r6("sqrt(1600e0*1600e0 + 1200e0*1200e0)*0.5e0*scale/3600e0"))}, "run_id")
 S("fn_41_luminance", "sky_stars", {"r": "ra/36e0", "g": "(dec + 18e0)/36e0", "b": "mag/17e0"}, {"level": (lambda: annotate.luminance_level("r", "g", "b"), "CAST(round_even((r*0.2126e0 + g*0.7152e0 + b*0.0722e0)*255e0, 0) AS INTEGER)")})
 S("fn_43_divisions", "sky_stars", {"n": "CAST(star_id AS DOUBLE)*9e0"}, {"d": (lambda: index.divisions(F.col("n")), "CAST(floor(least(greatest(n/2e3, 2e0), 12e0)) AS INTEGER)")})

@@ -10,7 +10,7 @@ from ..operators import match
 from ..plans import runs, solve
 from .base import Registry, fixture
 from .catalog import fixture_index
-from .matching import my_runs, search
+from .matching import my_runs, runs_of_the_picture, search
 
 REGISTRY = Registry()
 A = REGISTRY.add
@@ -48,13 +48,13 @@ def sol_08(spark, sf_dir):
 @A("join_03_one_to_one_matches")
 def join_03(spark, sf_dir):
     s = search(spark, sf_dir)
-    return match.one_to_one(solve.find_potential(s, solve.prepare_runs(s, my_runs(spark)))).select("run_id", "quad_id", "cell_id", "pass", "subcell", "pos", F.round("scale_ratio", 3).alias("scale_ratio"))
+    return match.one_to_one(solve.find_potential(s, solve.prepare_runs(s, runs_of_the_picture(spark)))).select("run_id", "quad_id", "cell_id", "pass", "subcell", "pos", F.round("scale_ratio", 3).alias("scale_ratio"))
 
 
 @A("sol_06_find_matches")
 def sol_06(spark, sf_dir):
     s = search(spark, sf_dir)
-    asked = solve.prepare_runs(s, my_runs(spark))
+    asked = solve.prepare_runs(s, runs_of_the_picture(spark))
     taken = match.one_to_one(solve.find_potential(s, asked)).join(asked.select("image_id", "run_id", "gate"), ["image_id", "run_id"])
     return match.weighted_bins(match.scale_gate(taken, F.col("gate"))).select("run_id", "quad_id", F.round("scale_ratio", 3).alias("scale_ratio"))
 

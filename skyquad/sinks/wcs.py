@@ -52,6 +52,10 @@ def comment_record(comment: str) -> Column:
     return F.lit(f"COMMENT {comment}"[:RECORD].ljust(RECORD))
 
 
+def end_record() -> Column:
+    return F.lit("END".ljust(RECORD))
+
+
 def wcs_records() -> Column:
     """The records of a solution, in order (columns of a solution). Order and comments are fixed."""
     return F.array(
@@ -75,7 +79,7 @@ def wcs_records() -> Column:
         plain_record("IMAGEW", "width", "Image width in pixels"),
         plain_record("IMAGEH", "height", "Image height in pixels"),
         comment_record("WCS header of a plate solution"),
-        F.lit("END".ljust(RECORD)),
+        end_record(),
     )
 
 

@@ -14,7 +14,7 @@ from ..functions.angles import dec_text_to_degrees, positive_ra, ra_text_to_degr
 from ..functions.base import Value, col
 
 BLOCK, RECORD = 2880, 80
-_HEADER_BLOCKS = 64  # searched for END
+_HEADER_BLOCKS = (64, 4096)  # searched for END before the whole file is
 
 
 def record_keyword(record: Value) -> Column:
@@ -30,8 +30,13 @@ def record_value(record: Value) -> Column:
 
 
 def header_records(content: Value) -> Column:
-    """The records before END as an array of texts."""
-    text = F.decode(F.substring(col(content), 1, BLOCK * _HEADER_BLOCKS), "ISO-8859-1")
+    """The records before END as an array of texts; null without END. Headers are short, so the file's
+    beginning is searched first."""
+    return F.coalesce(*[_records_in(F.substring(col(content), 1, BLOCK * n)) for n in _HEADER_BLOCKS], _records_in(col(content)))
+
+
+def _records_in(content: Column) -> Column:
+    text = F.decode(content, "ISO-8859-1")
     count = F.floor(F.length(text) / RECORD).cast("int")
     cut = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(text, i * RECORD + 1, F.lit(RECORD))))
     keys = F.transform(cut, lambda r: F.rtrim(F.substring(r, 1, 8)))
@@ -84,17 +89,32 @@ def view_size(headers: Value) -> Column:
     return F.when(wide.isNotNull() & high.isNotNull(), F.struct(wide.alias("width_deg"), high.alias("height_deg")))
 
 
-def read_fits(spark: SparkSession, path: str) -> DataFrame:
-    """path, headers, width, height, bits, offset (of the pixels), center, view and the pixel bytes
-    of every two-dimensional FITS picture of 8, 16 or 32 bits under ``path``."""
-    files = spark.read.format("binaryFile").load(path).filter(is_fits("content")).withColumn("records", header_records("content"))
-    files = files.filter("records is not null").withColumn("headers", header_map("records"))
+def fits_pictures(files: DataFrame) -> DataFrame:
+    """path, headers, width, height, bits, offset (of the pixels), center, view, the pixel bytes and
+    error of every FITS file among ``files`` (path, content). Two-dimensional pictures of 8, 16 or 32
+    bits are read; others have no pixels, and the error tells why."""
+    files = files.filter(is_fits("content")).withColumn("records", header_records("content")).withColumn("headers", header_map("records"))
     sized = files.withColumns({
         "width": _number("headers", "NAXIS1").cast("long"), "height": _number("headers", "NAXIS2").cast("long"), "bits": _number("headers", "BITPIX").cast("int"),
         "offset": (F.ceil((F.size("records") + 1) * RECORD / BLOCK) * BLOCK).cast("long"),
-    }).filter((_number("headers", "NAXIS") == 2) & F.col("bits").isin(8, 16, 32))
+    })
     length = (F.col("width") * F.col("height") * F.col("bits") / 8).cast("int")
-    return sized.select("path", "headers", "width", "height", "bits", "offset", center_position("headers").alias("center"), view_size("headers").alias("view"), F.substring("content", F.col("offset").cast("int") + 1, length).alias("data"))
+    pixels = F.substring("content", F.col("offset").cast("int") + 1, length)
+    error = (
+        F.when(F.col("records").isNull(), "FITS: no END record")
+        .when(~F.coalesce(_number("headers", "NAXIS") == 2, F.lit(False)), "FITS: not two-dimensional")
+        .when(~F.coalesce(F.col("bits").isin(8, 16, 32), F.lit(False)), "FITS: bits of a pixel")
+        .when(F.coalesce(F.octet_length(pixels) < length, F.lit(True)), "FITS: pixels are missing")
+    )
+    sized = sized.withColumn("error", error)
+    return sized.select(
+        "path", "headers", "width", "height", "bits", "offset", center_position("headers").alias("center"), view_size("headers").alias("view"),
+        F.when(F.col("error").isNull(), pixels).alias("data"), "error",
+    )
+
+
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    return fits_pictures(spark.read.format("binaryFile").load(path))
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +131,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode_pixels(pictures: DataFrame) -> DataFrame:
-    """image_id, x, y, v of every pixel. ``pictures``: image_id, width, bits, data."""
-    rows = pictures.select("image_id", F.col("width").cast("long").alias("width"), F.col("bits").cast("int").alias("bits"), "data")
+    """image_id, x, y, v of every pixel. ``pictures``: image_id, width, bits, data; those without data have none."""
+    rows = pictures.filter("data is not null").select("image_id", F.col("width").cast("long").alias("width"), F.col("bits").cast("int").alias("bits"), "data")
     return rows.mapInArrow(_decode, "image_id long, x long, y long, v long")
 
 

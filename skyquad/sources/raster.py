@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import Value, col
 
-_PICTURE = "path string, width long, height long, bits int, data binary"
+_PICTURE = "path string, width long, height long, bits int, data binary, error string"
 #: BT.601 luma weights.
 LUMA = (0.299, 0.587, 0.114)
 
@@ -25,49 +25,95 @@ def image_format(content: Value) -> Column:
 
 
 def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
-    """Undoes the five PNG row filters."""
-    rows = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
-    out = np.zeros((height + 1, stride + step), dtype=np.uint8)  # a zero row above, zero pixels to the left
+    """Undoes the five PNG row filters. Three of them are sums over whole rows; in the other two each
+    byte needs the one before it."""
+    rows = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
+    out = np.zeros((height, stride), dtype=np.uint8)
+    above = np.zeros(stride, dtype=np.uint8)
     for y in range(height):
-        kind, line, above = rows[y, 0], rows[y, 1:], out[y]
-        here = out[y + 1]
-        if kind in (0, 2):
-            here[step:] = line + (above[step:] if kind == 2 else 0)
-            continue
-        for x in range(stride):
-            left, up, corner = int(here[x]), int(above[x + step]), int(above[x])
-            if kind == 1:
-                guess = left
-            elif kind == 3:
-                guess = (left + up) // 2
-            else:
-                near = (abs(up - corner), abs(left - corner), abs(left + up - 2 * corner))
-                guess = (left, up, corner)[near.index(min(near))]
-            here[x + step] = (int(line[x]) + guess) & 255
-    return out[1:, step:]
-
-
-def decode_png(content: bytes) -> tuple[int, int, int, bytes] | None:
-    """(width, height, bits, big-endian gray samples) of 8 or 16 bits, signed where 16; None for
-    palettes, interlacing and other depths."""
-    at, head, packed = 8, None, []
+        kind, line = rows[y, 0], rows[y, 1:]
+        if kind == 0:
+            out[y] = line
+        elif kind == 1:
+            wide = -(-stride // step) * step
+            padded = np.zeros(wide, dtype=np.uint8)
+            padded[:stride] = line
+            out[y] = np.cumsum(padded.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[:stride]
+        elif kind == 2:
+            out[y] = line + above
+        elif kind in (3, 4):
+            out[y] = _chained(line.tolist(), above.tolist(), step, kind == 3)
+        else:
+            raise ValueError(f"unknown row filter {kind}")
+        above = out[y]
+    return out
+
+
+def _chained(line: list[int], above: list[int], step: int, average: bool) -> list[int]:
+    """The filters by average, and by the nearest of left, up and corner."""
+    here = [0] * step + line
+    up_row = [0] * step + above
+    for x in range(step, len(here)):
+        left, up = here[x - step], up_row[x]
+        if average:
+            guess = (left + up) >> 1
+        else:
+            corner = up_row[x - step]
+            by_left, by_up = abs(up - corner), abs(left - corner)
+            by_corner = abs(left + up - 2 * corner)
+            guess = left if by_left <= by_up and by_left <= by_corner else up if by_up <= by_corner else corner
+        here[x] = (here[x] + guess) & 255
+    return here[step:]
+
+
+#: Fixed values of interlaced PNG: first column and row of each pass, and the steps between them.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: bytes, width: int, height: int, channels: int, bits: int) -> tuple[np.ndarray, int]:
+    """(height, width, channels) samples, and the bytes they took."""
+    stride = -(-width * channels * bits // 8)
+    rows = _unfilter(raw, height, stride, max(1, channels * bits // 8))
+    if bits == 16:
+        values = np.ascontiguousarray(rows).view(">u2").astype(np.uint16)
+    elif bits == 8:
+        values = rows
+    else:
+        values = np.unpackbits(rows, axis=1).reshape(height, -1, bits) @ (1 << np.arange(bits)[::-1])
+    return values[:, : width * channels].reshape(height, width, channels), height * (stride + 1)
+
+
+def decode_png(content: bytes) -> tuple[int, int, int, bytes]:
+    """(width, height, bits, big-endian gray samples) of 8 or 16 bits, signed where 16. Palettes,
+    interlacing and depths under 8 bits (stretched to 8) are read. ValueError for what isn't a PNG."""
+    at, head, packed, palette = 8, None, [], None
     while at + 8 <= len(content):
         size, kind = struct.unpack_from(">I4s", content, at)
         body = content[at + 8 : at + 8 + size]
         at += size + 12
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.float64)
         elif kind == b"IDAT":
             packed.append(body)
-    if head is None:
-        return None
+    if head is None or not packed:
+        raise ValueError("no header or no pixels")
     width, height, bits, color, _, _, interlaced = head
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if channels is None or bits not in (8, 16) or interlaced:
-        return None
-    step = channels * bits // 8
-    rows = _unfilter(zlib.decompress(b"".join(packed)), height, width * step, step)
-    samples = np.ascontiguousarray(rows).view(np.uint8 if bits == 8 else ">u2").reshape(height, width, channels).astype(np.float64)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    if channels is None or bits not in (1, 2, 4, 8, 16) or color == 3 and palette is None:
+        raise ValueError(f"color type {color} of {bits} bits")
+    raw, samples = zlib.decompress(b"".join(packed)), np.zeros((height, width, channels), dtype=np.uint16)
+    for x, y, dx, dy in _PASSES if interlaced else ((0, 0, 1, 1),):
+        wide, high = -(-(width - x) // dx), -(-(height - y) // dy)
+        if wide > 0 and high > 0:
+            samples[y::dy, x::dx], used = _samples(raw, wide, high, channels, bits)
+            raw = raw[used:]
+    if color == 3:
+        samples, channels, bits = palette[samples[..., 0]], 3, 8
+    elif bits < 8:
+        samples, bits = samples * (255 // ((1 << bits) - 1)), 8
+    samples = samples.astype(np.float64)
     gray = samples[..., 0] if channels < 3 else np.rint(samples[..., :3] @ np.array(LUMA))
     if bits == 8:
         return width, height, 8, gray.astype(np.uint8).tobytes()
@@ -77,15 +123,21 @@ def decode_png(content: bytes) -> tuple[int, int, int, bytes] | None:
 def _pngs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            found = decode_png(content.as_py())
-            if found is not None:
-                width, height, bits, data = found
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([width]), pa.array([height]), pa.array([bits], pa.int32()), pa.array([data], pa.binary())], ["path", "width", "height", "bits", "data"])
+            try:
+                found = (*decode_png(content.as_py()), None)
+            except (ValueError, IndexError, struct.error, zlib.error) as e:
+                found = (None, None, None, None, f"PNG: {e}")
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, *found), kinds, strict=True)], ["path", "width", "height", "bits", "data", "error"])
+
+
+def png_pictures(files: DataFrame) -> DataFrame:
+    """``files``: path and content. One row for each PNG file; those that can't be read have an error."""
+    return files.filter(image_format("content") == "png").select("path", "content").mapInArrow(_pngs, _PICTURE)
 
 
 def read_png(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).filter(image_format("content") == "png")
-    return files.select("path", "content").mapInArrow(_pngs, _PICTURE)
+    return png_pictures(spark.read.format("binaryFile").load(path))
 
 
 def _grays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +145,12 @@ def _grays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, width, height, channels, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             samples = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
             gray = samples[..., 0] if channels < 3 else np.rint(samples[..., 2::-1] @ np.array(LUMA))
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([width], pa.int64()), pa.array([height], pa.int64()), pa.array([8], pa.int32()), pa.array([gray.astype(np.uint8).tobytes()], pa.binary())], ["path", "width", "height", "bits", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([width], pa.int64()), pa.array([height], pa.int64()), pa.array([8], pa.int32()), pa.array([gray.astype(np.uint8).tobytes()], pa.binary()), pa.array([None], pa.string())], ["path", "width", "height", "bits", "data", "error"])
 
 
-def read_jpeg(spark: SparkSession, path: str) -> DataFrame:
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
-    return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInArrow(_grays, _PICTURE)
+def read_jpeg(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Spark's own image source decodes the files; those it can't read have an error."""
+    images = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").load(path)
+    good = images.filter("image.nChannels > 0").select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInArrow(_grays, _PICTURE)
+    bad = images.filter("image.nChannels <= 0").select(F.col("image.origin").alias("path"), F.lit("JPEG: not readable").alias("error"))
+    return good.unionByName(bad, allowMissingColumns=True)

@@ -103,6 +103,11 @@ def queue_order(submitted: DataFrame, workers: int) -> DataFrame:
     return placed.withColumn("position", position).withColumn("worker", (F.col("position") % workers).cast("int")).drop("_bucket", "_i", "_start")
 
 
+def first_in_queue(submitted: DataFrame, n: int) -> DataFrame:
+    """The ``n`` jobs that have waited longest: a top-n, for which no task sorts all jobs."""
+    return submitted.orderBy("ts", "job_id").limit(n)
+
+
 def run_jobs(submitted: DataFrame, solve: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
     """Solves the jobs of each micro-batch together. ``submitted`` is a stream with a row per star
     of a job (job_id, star columns, width, height); ``solve`` gives a row per job it could solve."""
@@ -118,6 +123,21 @@ def run_jobs(submitted: DataFrame, solve: Callable[[DataFrame], DataFrame], fold
     return submitted.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
 
+def solve_arrivals(spark: SparkSession, folder: str, solve: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, at_once: int = 5) -> StreamingQuery:
+    """Picture files as they arrive in ``folder``, ``at_once`` in a micro-batch: read, handed to ``solve``
+    (pictures as ``plans.pictures.read_pictures`` gives them to a row for each) and written, a folder
+    for each batch, so that a repeated batch replaces itself."""
+    from ..plans.pictures import read_pictures
+
+    def put(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.select("path").collect()]  # at_once of them
+        if paths:
+            solve(read_pictures(spark, paths)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", at_once)
+    return files.load(folder).select("path").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
 def short_id(guid: Value) -> Column:
     """Base64 of a GUID's 16 bytes (given as hex with dashes), letters and digits only. The first
     three groups are byte-swapped, as GUIDs are stored."""
