@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions without a setting, by application
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where none is set and all runs on this machine, as in
@@ -15,8 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
@@ -25,12 +29,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skyquad-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query once it has ended, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: later steps don't repeat its work, a lost executor costs
-    no more than its own tasks, and plans stay small."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    no more than its own tasks, and plans stay small. The table replaces the shuffles behind it,
+    whose files are removed, so that jobs of many steps don't fill the executors' disks."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a query of its own, made while the setting holds
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_tables(spark: SparkSession) -> None:
