@@ -39,6 +39,19 @@ def read_pictures(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return found.withColumn("image_id", image_id(F.col("path"))).select(*PICTURE)
 
 
+def pictures_from_bytes(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
+    """As ``read_pictures``, of FITS and PNG contents that are at hand (by name), as from standard input."""
+    files = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "path string, content binary")
+    found = fits_pictures(files).drop("headers", "offset").unionByName(png_pictures(files), allowMissingColumns=True)
+    return found.withColumn("image_id", image_id(F.col("path"))).select(*PICTURE)
+
+
+def dataset_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path and length of a data set's files, by name pattern; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "length")
+
+
 def hinted_runs(pictures: DataFrame, search_radius: float = 10.0) -> DataFrame:
     """The nearby plan of every picture that has a center and a view: circles of the view's half
     diagonal, the one at the center first, then by distance. image_id, run_id, ra, dec, radius."""

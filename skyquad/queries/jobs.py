@@ -111,3 +111,40 @@ def fn_38(spark, sf_dir):
     """Without SQL: the second engine's base64 of swapped bytes is tested on known values."""
     rows = fixture(spark, sf_dir, "search_centers").select("run_id", F.md5(F.col("run_id").cast("string").cast("binary")).alias("guid"))
     return rows.select("run_id", jobs.short_id("guid").alias("short_id"))
+
+
+_REST_JOBS = with_sql("search_centers") + ", j AS (SELECT CAST(run_id AS VARCHAR) AS id, CASE WHEN run_id % 3 = 0 THEN 'Success' ELSE 'Failure' END AS status, run_id % 3 = 0 AS ok, run_id*3 AS stars, ra, dec, radius FROM search_centers)"
+
+
+@A("prj_02_rest_jobs", _REST_JOBS + " SELECT id, status, CAST(1600 AS BIGINT) AS image_width, stars AS stars_detected, CASE WHEN ok THEN ra END AS ra, CASE WHEN ok THEN radius END AS field_radius FROM j")
+def prj_02(spark, sf_dir):
+    rows, ok = fixture(spark, sf_dir, "search_centers"), F.col("run_id") % 3 == 0
+    given = rows.select(
+        F.col("run_id").cast("string").alias("job_id"), F.when(ok, "Success").otherwise("Failure").alias("status"), F.lit(1600).cast("long").alias("width"), (F.col("run_id") * 3).alias("n_stars"),
+        F.when(ok, F.col("ra")).alias("ra"), "dec", "radius", F.lit(1e0).alias("orientation"), F.lit(2e0).alias("pix_scale"), F.lit("normal").alias("parity"),
+    )
+    seen = jobs.rest_view(given)
+    return seen.select("id", "status", F.col("imageWidth").alias("image_width"), F.col("starsDetected").alias("stars_detected"), "solution.ra", F.col("solution.fieldRadius").alias("field_radius"))
+
+
+_ASKED = with_sql("search_centers") + """,
+    a AS (SELECT run_id, 'p' || CAST(run_id AS VARCHAR) || CASE WHEN run_id % 5 = 0 THEN '.gif' ELSE '.fits' END AS file_name, run_id % 4 AS n_bytes,
+                 CASE run_id % 3 WHEN 0 THEN 'nearby' WHEN 1 THEN 'blind' ELSE 'other' END AS mode, run_id % 2 = 0 AS headers, ra, dec, ra*3 AS search_radius,
+                 CASE WHEN run_id % 7 <> 0 THEN radius/25 END AS min_radius, CASE WHEN run_id % 11 <> 0 THEN radius*4 END AS max_radius, CAST(run_id % 6 AS INTEGER) AS lower_offset, CAST(run_id % 5 AS INTEGER) AS higher_offset
+          FROM search_centers),
+    p AS (SELECT *, mode = 'nearby' AND NOT headers AS given FROM a)"""
+
+
+@A("flt_18_job_problems", _ASKED + """ SELECT run_id, CAST((n_bytes = 0)::INT + (run_id % 5 = 0)::INT + (mode = 'other')::INT + (mode = 'nearby' AND search_radius > 60)::INT
+    + coalesce(given AND (min_radius IS NULL OR max_radius IS NULL), false)::INT + (mode = 'blind' AND max_radius IS NULL)::INT + coalesce((given OR mode = 'blind') AND max_radius > 16, false)::INT
+    + (mode = 'blind' AND min_radius IS NULL)::INT + coalesce((given OR mode = 'blind') AND min_radius < 0.1, false)::INT + (higher_offset > 3)::INT + (lower_offset > 3)::INT AS BIGINT) AS n_problems FROM p""")
+def flt_18(spark, sf_dir):
+    from ..plans.validation import with_problems
+
+    n = F.col("run_id")
+    asked = fixture(spark, sf_dir, "search_centers").select(
+        n, F.concat(F.lit("p"), n.cast("string"), F.when(n % 5 == 0, ".gif").otherwise(".fits")).alias("file_name"), (n % 4).alias("n_bytes"),
+        F.when(n % 3 == 0, "nearby").when(n % 3 == 1, "blind").otherwise("other").alias("mode"), (n % 2 == 0).alias("use_fits_headers"), "ra", "dec", (F.col("ra") * 3).alias("search_radius"),
+        F.when(n % 7 != 0, F.col("radius") / 25).alias("min_radius"), F.when(n % 11 != 0, F.col("radius") * 4).alias("max_radius"), (n % 6).cast("int").alias("lower_offset"), (n % 5).cast("int").alias("higher_offset"),
+    )
+    return with_problems(asked).select("run_id", F.size("problems").cast("long").alias("n_problems"))

@@ -192,6 +192,25 @@ def src_17(spark, sf_dir):
     return found.select(r6(F.col("ra")).alias("ra"), r6(F.col("dec")).alias("dec"), "dso_type", "name", r6(F.col("size1")).alias("size1"))
 
 
+S(
+    "src_09_fits_support", "sky_stars", {"n": "CAST(2700 + star_id % 400 AS INT)", "kind": "star_id % 3"},
+    {"supported": (lambda: fits.is_fits(F.encode(F.rpad(F.when(F.col("kind") == 0, "SIMPLE  =                    T").when(F.col("kind") == 1, "SIMPLE  =                    F / no").otherwise("BITPIX  =                   16"), F.col("n"), " "), "US-ASCII")), "kind = 0 AND n >= 2880")},
+)
+S(
+    "prj_04_display_levels", "sky_stars", {"v": "CAST(floor(ra*1e3 + 5e-1) AS BIGINT) % 65536"},
+    {"level": (lambda: fits.display_level("v", F.lit(16)), "CAST(floor((v*255 + 32895)/65536e0) AS INTEGER)"), "level8": (lambda: fits.display_level(F.col("v") % 256, F.lit(8)), "CAST(v % 256 AS INTEGER)")},
+)
+
+
+@A("snk_14_benchmark_report", f"SELECT config_id, iteration, duration_solve, solved, errors, image_name FROM ({_BENCH}) t")
+def snk_14(spark, sf_dir):
+    """The report is written as its files are, and read again."""
+    rows = spark.sql(_BENCH.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    folder = new_folder(spark, "report")
+    results.write_report(rows, folder)
+    return spark.read.option("header", True).option("sep", "|").schema(rows.schema).csv(folder)
+
+
 _LOG = "concat('{\n  \"success\": true,\n  \"ra\": ', CAST(ra AS VARCHAR(30)), ',\n  \"quadMatches\": ', CAST(star_id AS VARCHAR(30)), '\n}\nIMAGEREAD_DURATION: 0.25\nSOLVE_DURATION: ', CAST(mag AS VARCHAR(30)), '\n')"
 
 

@@ -136,6 +136,11 @@ def decode_pixels(pictures: DataFrame) -> DataFrame:
     return rows.mapInArrow(_decode, "image_id long, x long, y long, v long")
 
 
+def display_level(v: Value, bits: Value) -> Column:
+    """A decoded sample (16-bit ones moved up, so that the least is 0) as a level of 0 to 255."""
+    return F.when(col(bits) == 8, col(v)).otherwise(F.floor((col(v) * 255 + 32895) / 65536)).cast("int")
+
+
 def _star_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):

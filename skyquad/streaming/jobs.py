@@ -156,6 +156,20 @@ def legacy_status(status: Value) -> Column:
     return F.when(status == "Solving", "solving").when(status == "Queued", "none").when(status == "Success", "success").when(status.isNull(), "none").otherwise("failure")
 
 
+#: What clients see of a job, by the column it comes from.
+_REST = {
+    "id": "job_id", "status": "status", "imageWidth": "width", "imageHeight": "height", "starsDetected": "n_stars", "starsUsed": "stars_used",
+    "originalFilename": "file_name", "updated": "updated", "solveStarted": "started",
+}
+_REST_SOLUTION = {"ra": "ra", "dec": "dec", "fieldRadius": "radius", "orientation": "orientation", "pixScale": "pix_scale", "parity": "parity"}
+
+
+def rest_view(jobs: DataFrame) -> DataFrame:
+    """Jobs as clients see them; ``solution`` is null where a job has none."""
+    solution = F.when(F.col("ra").isNotNull(), F.struct(*[F.col(c).alias(k) for k, c in _REST_SOLUTION.items()]))
+    return jobs.select(*[F.col(c).alias(k) for k, c in _REST.items() if c in jobs.columns], solution.alias("solution"))
+
+
 def calibration(jobs: DataFrame) -> DataFrame:
     """Results of successful jobs as older clients expect them."""
     return jobs.filter(F.col("status") == "Success").select(

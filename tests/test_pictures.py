@@ -175,3 +175,12 @@ def test_visible_poles(spark):
         return add_wcs(table).select(annotate.pole_visible().alias("p")).first().p
 
     assert plate(89.5) is True and plate(10.0) is False
+
+
+def test_pictures_at_hand_and_data_sets(spark, tmp_path):
+    content = png(np.full((4, 5, 1), 7, dtype=np.int64), 0, 8)
+    found = pictures.pictures_from_bytes(spark, {"stdin": content, "other": b"x", "sky": fits_bytes(["SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    2", "NAXIS1  =                    2", "NAXIS2  =                    2"], b"\1\2\3\4")}).collect()
+    assert {(r.path, r.width, r.height, bytes(r.data)) for r in found} == {("stdin", 5, 4, b"\7" * 20), ("sky", 2, 2, b"\1\2\3\4")}
+    for name in ("a.png", "b.png", "c.txt"):
+        (tmp_path / name).write_bytes(content)
+    assert sorted(r.path[-5:] for r in pictures.dataset_files(spark, str(tmp_path), "*.png").collect()) == ["a.png", "b.png"]
