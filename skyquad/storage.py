@@ -41,7 +41,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.select("*").write.parquet(path)  # a query of its own, made while the setting holds
+        # A query of its own, made while the setting holds.
+        df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
