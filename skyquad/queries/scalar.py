@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..fixtures import with_sql
 from ..functions import angles, plate, ratios, sphere
-from ..functions.base import narrow
 from ..operators import annotate, cells, fit, index
 from .base import Registry, dist, fixture, plane_x, plane_y, r6, sql_r6
 

@@ -17,7 +17,7 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import narrow
