@@ -341,3 +341,24 @@ def test_toxicity_learns_and_leaves_clean_rows_alone(spark):
     assert toxicity.score_documents(docs, one_kind).filter("predicted = 1").count() == 0
     assert toxicity.score_documents(docs, labels.limit(0)).count() == 602
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_long_words_long_texts_and_repeated_rows(spark):
+    """Long words are learned like others; a doc_id with very many rows trains once."""
+    rng = random.Random(6)
+    plain = [f"plain{i}" for i in range(100)]
+    long_word = "nasty" * 20
+    rows = []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(40)]
+        rows.append((i, " ".join(words + [long_word] * (i % 5 == 1))))
+    rows += [(7, "one of many rows " + str(k)) for k in range(50)] + [(1000, "plain1 " * 200_000), (1001, "plain2 " * 50_000 + long_word), (None, long_word), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity._training_rows(docs, labels, 10_000).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    found = toxicity.score_documents(docs, labels).collect()
+    assert len(found) == len(rows)
+    scores = {(r.doc_id, r.predicted) for r in found}
+    assert {p for i, p in scores if i in (6, 11, 21)} == {1} and (1000, 0) in scores and {p for i, p in scores if i is None} == {0, 1}
+    best = next(r for r in found if r.doc_id == 1001)
+    assert best.passages and all(p.first_token == p.last_token == 50_000 for p in best.passages)
