@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, piece_bpe, quotes, simhash, token_binary, token_counts, topk_search, toxicity
+from . import exact_dedup, html_text, line_dedup, packing, piece_bpe, quotes, resampling, simhash, spelling, token_binary, token_counts, topk_search, toxicity
 from .common import table
 
 
@@ -52,6 +52,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -144,4 +157,20 @@ ORACLES = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_line_dedup": """
+        WITH texts AS (
+            SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), rows AS (
+            SELECT doc_id, r, unnest(range(len(lines))) AS place, unnest(lines) AS line FROM texts
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM rows
+        ), shared AS (
+            SELECT key, min(doc_id) AS first_id FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+        ), marked AS (
+            SELECT k.*, coalesce(k.doc_id <> s.first_id, false) AS goes FROM keyed k LEFT JOIN shared s USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT goes), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id, r
+    """,
 }
