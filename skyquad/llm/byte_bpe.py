@@ -2,8 +2,12 @@
 
 The ids come from the vocabulary in the library's .json file. Texts of ordinary Latin characters
 go through a merge engine over that same vocabulary, which gives the same ids several times
-faster; any other text goes through the tokenizers library itself. Added tokens that occur in a
-text (``<|endoftext|>``) count as their id, which is the library's default.
+faster; any other text goes through the tokenizers library itself, and so does one with a run of
+``LONG_SPACE`` white-space characters or more: that engine's expression goes back over such a run
+character by character, on a stack that very long ones exceed. Added tokens that occur in a text
+(``<|endoftext|>``) count as their id, which is the library's default.
+
+Texts of any length and of any characters, runs of a million equal ones among them, give the library's ids.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ import numpy as np
 
 #: Characters on whose classes the two engines' Unicode tables can't differ.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]")
+#: Far below the length at which the merge engine's stack ends, some 700,000; its time grows with the square.
+LONG_SPACE = 256
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 def default_path() -> str:
@@ -51,7 +58,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text as unsigned 32-bit integers."""
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if self.split and "<" in text and self.split.search(text):
             parts = [[self.added[p]] if p in self.added else self.fast.encode_ordinary(p) for p in self.split.split(text)]

@@ -9,9 +9,6 @@ from ..storage import new_folder, stash
 
 __all__ = ["drop_marked", "new_folder", "stash", "table", "text_digest", "whole_row", "whole_text"]
 
-#: Keys of about 60 bytes that are broadcast at most; more of them are joined by a shuffle.
-BROADCAST_KEYS = 100_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,8 +33,9 @@ def drop_marked(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFr
     """``docs`` without the rows whose doc_id and text are in ``gone``; of the rows that share a
     doc_id and text in ``repeated`` one stays. Both tables: doc_id and digest (of the text).
 
-    Up to ``BROADCAST_KEYS`` rows of ``gone``, which are counted, are broadcast, so that no text
-    moves; beyond that one shuffle of the rows by doc_id and digest decides.
+    The keys are a written table, whose size Spark knows: beyond its own bound for broadcasts
+    (``spark.sql.autoBroadcastJoinThreshold``) the rows are shuffled once by doc_id and digest. No
+    other choice is made here, so that what a run on little data costs is what a large one does.
     """
     gone, repeated = stash(gone.distinct(), "gone"), stash(repeated, "repeated")
     rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
@@ -45,9 +43,7 @@ def drop_marked(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFr
     def same(keys: DataFrame):
         return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["digest"] == keys["digest"])
 
-    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keys = F.broadcast(gone) if few else gone
-    out = rows.join(keys, same(gone), "left_anti")
+    out = rows.join(gone, same(gone), "left_anti")
     if not repeated.isEmpty():
         rows = out
         once = out.join(repeated, same(repeated), "left_anti")

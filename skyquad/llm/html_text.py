@@ -13,9 +13,12 @@ in an ``article`` or ``main`` element, the whole outermost article, or else the
 
 Elements that never hold main text (menus, footers, asides, scripts, styles, headers outside an
 article and the like) and those with a role of that kind are cut before counting, and so is what
-class or id calls comments. Forms, and what class or id calls an advert, sidebar, notice or
-similar, are cut unless density says otherwise: one that holds the content's root and most of the
-page's text is the page. Names count as whole class words: "sidebar" is one, "has-sidebar" is not.
+class or id calls comments, unless nothing would be left. Forms, and what class or id calls an advert,
+sidebar, notice or similar, are cut unless density says otherwise: one that holds the content's root
+and most of the page's text is the page. A class word is split at "-" and "_": it names such an
+element if one of its parts does and all others are of the same kind or tell of layout. So
+"site-sidebar", "c-comments__list" and "cookie-bar" do, "has-sidebar", "ad-hoc-analysis" and
+"widget-free" don't.
 
 Blocks are joined in page order by one newline; white space in a block becomes one space; character
 references are decoded once.
@@ -58,28 +61,36 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td",
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("html body table td th ul ol dl div article section main blockquote figure".split())
 #: Class words by which pages name what isn't main text.
-COMMENTS = frozenset("comment comments comment-list commentlist comment-respond comments-area disqus disqus_thread respond replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 BOILER = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner sidebar side-bar "
-    "menu nav navbar navigation breadcrumb breadcrumbs cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice "
-    "notices popup modal newsletter subscribe subscription share sharing share-buttons social social-links related related-posts "
-    "related-articles recommended recommendations footer site-footer page-footer masthead site-header page-header pagination "
-    "pager widget widgets toolbar login signup search search-form ad-banner ad-container ad-slot ad-unit ad-wrapper".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner sidebar "
+    "menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter "
+    "subscribe subscription signup share sharing social related recommended recommendations footer masthead pagination pager "
+    "widget widgets toolbar login search bio".split()
 )
+#: Parts that don't change what a word with one of those names: layout and position.
+LAYOUT = frozenset(
+    "site page main post posts entry article articles user reader author left right top bottom side bar box block area section "
+    "container wrapper wrap list item items inner outer panel slot unit c l m js primary secondary global header head title links link "
+    "buttons button icons icon form forms group row column col thread sticky fixed mobile desktop message card cards".split()
+)
+WHOLE = frozenset("site-header page-header side-bar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
 )
 _NAMES = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # every attribute, with its value
 _SPACE = re.compile(r"\s+")
-KEPT, DOUBTED, GONE = 0, 1, 2
+_PARTS = re.compile("[-_]+")
+KEPT, DOUBTED, COMMENTED, GONE = 0, 1, 2, 3
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "doubted", "inline_open", "link_chars", "links", "name", "outer", "parent", "scope", "scope_open", "sum", "tags")
+    __slots__ = ("chars", "children", "commented", "density", "doubted", "inline_open", "link_chars", "links", "name", "outer", "parent", "scope", "scope_open", "sum", "tags")
 
-    def __init__(self, name: str, parent: Node | None, doubted: bool = False):
-        self.name, self.parent, self.children, self.doubted = name, parent, [], doubted
+    def __init__(self, name: str, parent: Node | None, verdict: int = KEPT):
+        self.name, self.parent, self.children = name, parent, []
+        self.doubted, self.commented = verdict == DOUBTED, verdict == COMMENTED
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
         # The nearest element around the node's content that isn't inline, and the nearest one that
@@ -90,6 +101,15 @@ class Node:
         self.scope_open = Counter() if self.scope is self else None
 
 
+def _named(word: str) -> int:
+    """What a class word calls its element."""
+    parts = [p for p in _PARTS.split(word) if p]
+    kinds = [COMMENTED if p in COMMENTS else DOUBTED if p in BOILER else KEPT for p in parts]
+    if word in WHOLE:
+        return DOUBTED
+    return max(kinds, default=KEPT) if all(k or p in LAYOUT or p.isdigit() for k, p in zip(kinds, parts, strict=True)) else KEPT
+
+
 def _verdict(name: str, attributes: str, in_article: bool) -> int:
     if name in CUT and not (name == "header" and in_article):
         return GONE
@@ -99,11 +119,7 @@ def _verdict(name: str, attributes: str, in_article: bool) -> int:
     for key, value in _NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            words = value.split()
-            if not COMMENTS.isdisjoint(words):
-                return GONE
-            if not BOILER.isdisjoint(words):
-                found = DOUBTED
+            found = max([found, *map(_named, value.split())])
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return GONE
         if key == "style" and re.search(r"display\s*:\s*none", value):
@@ -119,8 +135,8 @@ class _Tree:
         self.root = self.here = Node("body", None)
         self.open: Counter = Counter()
 
-    def enter(self, name: str, doubted: bool, stays: bool) -> None:
-        node = Node(name, self.here, doubted)
+    def enter(self, name: str, verdict: int, stays: bool) -> None:
+        node = Node(name, self.here, verdict)
         self.here.children.append(node)
         if stays:
             self.open[name] += 1
@@ -212,7 +228,7 @@ def parse(page: str) -> Node:
             if name not in INLINE:
                 tree.here.children.append(Node("br", tree.here))
             continue
-        tree.enter(name, verdict == DOUBTED, name not in VOID and not (whole and name not in INLINE))
+        tree.enter(name, verdict, name not in VOID and not (whole and name not in INLINE))
     return tree.root
 
 
@@ -262,6 +278,25 @@ def _density(chars: int, tags: int, link_chars: int, links: int, share: float) -
     return chars / max(tags, 1) * math.log(max(ratio, 1.0)) / base
 
 
+def _without_comments(root: Node) -> bool:
+    """Take what names call comments out of the tree, unless that is all there is. Tells whether any went."""
+    found, left, stack = [], root.chars, [root]
+    while stack:
+        node = stack.pop()
+        for i, child in enumerate(node.children):
+            if isinstance(child, Node):
+                if child.commented:
+                    found.append((node, i))
+                    left -= child.chars
+                else:
+                    stack.append(child)
+    if not left:
+        return False
+    for node, i in found:
+        node.children[i] = Node("span" if node.children[i].name in INLINE else "br", node)
+    return bool(found)
+
+
 def _without_doubted(root: Node) -> bool:
     """Take the doubted elements out of the tree, but for those that hold the content's root and
     most of the page's text. Tells whether any went."""
@@ -359,8 +394,9 @@ def _blocks(top: Node, best: Node, path: set[Node], threshold: float, share: flo
 def extract(page: str) -> str:
     root = parse(page)
     measure(root)
-    if _without_doubted(root):
-        measure(root)
+    for without in (_without_comments, _without_doubted):
+        if without(root):
+            measure(root)
     if not root.chars:
         return ""
     return "\n".join(_blocks(*choose(root), root.link_chars / root.chars))

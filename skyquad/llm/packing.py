@@ -10,7 +10,8 @@ doesn't grow with the number of partitions. Only descriptions of pieces are shuf
 Rules: a null text counts as empty; every document ends with ``end_id``, so an empty one is a
 piece of one id. A document is cut only where it is longer than a window. Rows that repeat a
 doc_id are packed as documents of their own. Sequences are padded to the window, except those
-whose length is a power of two. An empty table gives an empty result; other columns are not read.
+whose length is a power of two. Texts may be of any length and hold runs of any characters; a task
+holds the ids of one text at a time. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

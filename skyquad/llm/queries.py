@@ -81,14 +81,14 @@ ORACLES = {
                              'line': CASE WHEN regexp_matches(x, '^[ \t]{0,3}>') THEN '' ELSE x END}) AS marked FROM rows)
         ), named AS (
             SELECT * FROM messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL
-        ), parts AS (
-            SELECT conv_id, turn, 'passage' AS kind, unnest(string_split_regex(own, '\n[ \t]*\n')) AS part FROM named
-            UNION ALL
-            SELECT conv_id, turn, 'line', unnest(string_split(own, chr(10))) FROM named
         ), originals AS (
-            SELECT conv_id, kind, part, min(turn) AS origin
-            FROM (SELECT conv_id, turn, kind, trim(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g')) AS part FROM parts)
+            SELECT conv_id, part, min(turn) AS origin
+            FROM (SELECT conv_id, turn, trim(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g')) AS part
+                  FROM (SELECT conv_id, turn, unnest(string_split_regex(own, '\n[ \t]*\n')) AS part FROM named))
             WHERE part <> '' GROUP BY ALL
+        ), texts AS (
+            SELECT conv_id, turn, list_filter(list_transform(string_split(own, chr(10)), lambda x: trim(regexp_replace(lower(x), '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS has
+            FROM named
         ), numbered AS (
             SELECT conv_id, turn, lines AS copy, unnest(range(len(lines))) AS n, unnest(lines) AS line
             FROM (SELECT DISTINCT conv_id, turn, lines FROM named)
@@ -100,26 +100,22 @@ ORACLES = {
                   FROM numbered)
             WHERE level > 0 AND line <> ''
         ), whole AS (
-            SELECT conv_id, turn, copy, level, run, string_agg(line, ' ' ORDER BY n) AS part, count(*) AS n_lines FROM quoted GROUP BY conv_id, turn, copy, level, run
+            SELECT conv_id, turn, copy, level, run, string_agg(line, ' ' ORDER BY n) AS part, list(line ORDER BY n) AS want FROM quoted GROUP BY conv_id, turn, copy, level, run
         ), by_passage AS (
             SELECT w.conv_id, w.turn, w.copy, w.level, w.run, origin FROM whole w
-            JOIN originals o ON o.kind = 'passage' AND o.conv_id = w.conv_id AND o.part = w.part AND origin < turn
+            JOIN originals o ON o.conv_id = w.conv_id AND o.part = w.part AND origin < turn
         ), by_line AS (
-            SELECT q.conv_id, q.turn, q.copy, q.level, q.run, count(*) AS n_found, max(origin) AS origin FROM quoted q
-            JOIN originals o ON o.kind = 'line' AND o.conv_id = q.conv_id AND o.part = q.line AND origin < turn
-            GROUP BY q.conv_id, q.turn, q.copy, q.level, q.run
-        ), held AS (
-            SELECT l.conv_id, l.turn, l.copy, l.level, l.run, l.origin
-            FROM by_line l JOIN whole w ON (w.conv_id, w.turn, w.copy, w.level, w.run) = (l.conv_id, l.turn, l.copy, l.level, l.run) AND w.n_lines = l.n_found
-            JOIN quoted q ON (q.conv_id, q.turn, q.copy, q.level, q.run) = (l.conv_id, l.turn, l.copy, l.level, l.run)
-            JOIN (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g')) AS part FROM parts WHERE kind = 'line') p
-              ON p.conv_id = l.conv_id AND p.turn = l.origin AND p.part = q.line
-            GROUP BY l.conv_id, l.turn, l.copy, l.level, l.run, l.origin, w.n_lines HAVING count(*) = w.n_lines
+            -- The lines of the passage, in their order, among those of an earlier message: walk through the message and
+            -- count, as text, how many of the wanted ones have come.
+            SELECT w.conv_id, w.turn, w.copy, w.level, w.run, min(t.turn) AS origin
+            FROM whole w JOIN texts t ON t.conv_id = w.conv_id AND t.turn < w.turn
+            WHERE CAST(list_reduce(list_concat(['0'], t.has), lambda seen, x: CASE WHEN w.want[CAST(seen AS INTEGER) + 1] = x THEN CAST(CAST(seen AS INTEGER) + 1 AS VARCHAR) ELSE seen END) AS INTEGER) = len(w.want)
+            GROUP BY w.conv_id, w.turn, w.copy, w.level, w.run
         ), links AS (
             SELECT w.conv_id, w.turn, count(*) AS n_quotes, count(coalesce(p.origin, l.origin)) AS n_linked,
                    coalesce(max(coalesce(p.origin, l.origin)) FILTER (w.level = 1), max(coalesce(p.origin, l.origin))) AS reply_to
             FROM whole w LEFT JOIN by_passage p USING (conv_id, turn, copy, level, run)
-            LEFT JOIN held l USING (conv_id, turn, copy, level, run) GROUP BY w.conv_id, w.turn
+            LEFT JOIN by_line l USING (conv_id, turn, copy, level, run) GROUP BY w.conv_id, w.turn
         ), climb AS (
             SELECT conv_id, turn, reply_to AS thread_root, CAST(1 AS BIGINT) AS depth FROM links WHERE reply_to IS NOT NULL
             UNION ALL

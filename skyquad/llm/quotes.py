@@ -2,15 +2,16 @@
 
 A line that begins with ``>`` marks is quoted; the number of marks is its level. Runs of quoted
 lines of one level are passages. A passage, lower-cased and with white space reduced, is hashed and
-looked up among the paragraphs of the conversation's own (unquoted) text, and where that fails, line
-by line among its lines; the original is the earliest earlier message with that text. A message
-answers the latest original that it quotes at level 1, or else at any level. Following these links
+looked up among the paragraphs of the conversation's own (unquoted) text; the original is the earliest
+earlier message with that text. Where that fails, it is the earliest earlier message whose own lines
+hold all lines of the passage in their order, others between them allowed. Each different passage
+is looked up once, in the messages that hold its rarest line. A message answers the latest original that it quotes at level 1, or else at any level. Following these links
 gives every message a thread root and a depth, by pointer doubling. The result is in reply order:
 conversation, thread, turn; an answer comes after what it answers. Its text is without quotes and
 without the attribution line ("On ... wrote:") above them.
 
-Originals are reduced to one row per passage before they are joined, so a passage that very many
-messages hold doesn't multiply rows.
+Originals are reduced to one row per passage before they are joined, and messages of equal text to
+their first, so a passage or a message that is repeated very often doesn't multiply rows.
 
 Rules: a null text counts as empty. Rows without conv_id or turn are kept, linked to nothing.
 Rows that repeat a conversation's turn share one link, the latest; all are kept. A passage whose
@@ -49,15 +50,33 @@ def _own(lines: Column) -> Column:
     return F.array_join(F.transform(F.filter(lines, keep), lambda x: F.when(quoted(x), "").otherwise(x)), "\n")
 
 
-def _parts(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, kind, h1, h2, part: paragraphs and lines of the messages' own texts."""
-    kinds = F.array(
-        F.struct(F.lit("passage").alias("kind"), F.split("own", r"\n[ \t]*\n").alias("parts")),
-        F.struct(F.lit("line").alias("kind"), F.split("own", "\n").alias("parts")),
-    )
-    parts = messages.select("conv_id", "turn", F.explode(kinds).alias("k")).select("conv_id", "turn", "k.kind", F.explode("k.parts").alias("part"))
-    parts = parts.select("conv_id", "turn", "kind", _normal(F.col("part")).alias("part")).filter("part <> ''")
-    return parts.select("conv_id", "turn", "kind", *_hashed(F.col("part")), "part")
+def _paragraphs(messages: DataFrame) -> DataFrame:
+    """conv_id, h1, h2, part, origin: each paragraph and the first message that has it."""
+    parts = messages.select("conv_id", "turn", F.explode(F.split("own", r"\n[ \t]*\n")).alias("part"))
+    parts = parts.select("conv_id", "turn", _normal(F.col("part")).alias("part")).filter("part <> ''")
+    return parts.select("conv_id", *_hashed(F.col("part")), "part", "turn").groupBy("conv_id", "h1", "h2", "part").agg(F.min("turn").alias("origin"))
+
+
+def _holders(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv_id, q1, q2, want and origin: the first message that holds the lines ``want`` (of which q1, q2
+    are hashes) in their order, for all that some message holds."""
+    lines = F.filter(F.transform(F.split("own", "\n"), _normal), lambda x: x != "")
+    own = messages.select("conv_id", "turn", lines.alias("has"))
+    own = own.groupBy("conv_id", "has").agg(F.min("turn").alias("turn")).select("conv_id", "turn", F.xxhash64("has").alias("text"), "has")
+    own = stash(own.filter(F.size("has") > 0), "own-lines")
+    held = stash(own.select("conv_id", "turn", "text", F.explode(F.array_distinct("has")).alias("line")).select("conv_id", "turn", "text", *_hashed(F.col("line")), "line"), "lines")
+    known = held.groupBy("conv_id", "h1", "h2", "line").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first"))
+    each = asked.select("conv_id", "q1", "q2", "want", F.explode(F.array_distinct("want")).alias("line")).select("conv_id", "q1", "q2", "want", *_hashed(F.col("line")), "line")
+    met = each.join(known, ["conv_id", "h1", "h2", "line"]).groupBy("conv_id", "q1", "q2", "want")
+    rarest = F.min(F.struct("n", "h1", "h2", "line", "first")).alias("r")
+    met = met.agg(F.count(F.lit(1)).alias("found"), rarest).filter(F.col("found") == F.size(F.array_distinct("want")))
+    met = stash(met.select("conv_id", "q1", "q2", "want", "r.h1", "r.h2", "r.line", "r.first"), "rarest")
+    one = met.filter(F.size("want") == 1).select("conv_id", "q1", "q2", "want", F.col("first").alias("origin"))
+    tried = met.filter(F.size("want") > 1).drop("first").join(held, ["conv_id", "h1", "h2", "line"]).select("conv_id", "q1", "q2", "want", "turn", "text")
+    # How many of the wanted lines have come in order, up to each line of the message.
+    step = lambda at, x: F.when(F.get(F.col("want"), at) == x, at + 1).otherwise(at)
+    several = tried.join(own, ["conv_id", "turn", "text"]).filter(F.aggregate("has", F.lit(0), step) == F.size("want"))
+    return one.unionByName(several.groupBy("conv_id", "q1", "q2", "want").agg(F.min("turn").alias("origin")))
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -68,27 +87,20 @@ def passages(messages: DataFrame) -> DataFrame:
     quoted = rows.select("conv_id", "turn", "copy", "n", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), _normal(F.regexp_replace("line", _MARKS, "")).alias("line"))
     quoted = quoted.filter("level > 0 and line <> ''")
     run = Window.partitionBy("conv_id", "turn", "copy", "level").orderBy("n")
-    quoted = quoted.withColumn("run", F.col("n") - F.row_number().over(run)).select("*", *_hashed(F.col("line")))
-    quoted = stash(quoted, "quoted")
-    by = ["conv_id", "turn", "copy", "level", "run"]
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
-    whole = quoted.groupBy(*by).agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("n_lines"), joined.alias("part"))
+    quoted = quoted.withColumn("run", F.col("n") - F.row_number().over(run))
+    want = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    whole = quoted.groupBy("conv_id", "turn", "copy", "level", "run").agg(F.min("n").alias("first"), want.alias("want"))
+    hashes = [F.xxhash64("want").alias("q1"), F.xxhash64(F.lit("lines"), "want").alias("q2")]
+    whole = whole.select("conv_id", "turn", "level", "first", "want", *hashes, F.array_join("want", " ").alias("part"))
     whole = stash(whole.select("*", *_hashed(F.col("part"))), "passages")
-    parts = stash(_parts(messages), "parts")
-    key = ["conv_id", "h1", "h2", "part"]
-    originals = parts.groupBy("kind", *key).agg(F.min("turn").alias("origin"))
-    found = whole.join(originals.filter("kind = 'passage'").drop("kind"), key).filter("origin < turn").select(*by, "origin")
-    found = stash(found, "by-passage")
-    # The others line by line.
-    lines = quoted.withColumnRenamed("line", "part").join(found, by, "left_anti")
-    lines = lines.join(originals.filter("kind = 'line'").drop("kind"), key).filter("origin < turn").select(*by, *key[1:], "origin")
-    every = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("n_found"), F.max("origin").alias("origin"))
-    every = every.join(whole.select(*by, "n_lines"), by).filter("n_found = n_lines").select(*by, "n_lines", "origin")
-    held = lines.drop("origin").join(every, by).join(
-        parts.filter("kind = 'line'").select("conv_id", F.col("turn").alias("origin"), "h1", "h2", "part"), ["conv_id", "origin", "h1", "h2", "part"], "left_semi"
-    )
-    by_line = held.groupBy(*by, "n_lines", "origin").agg(F.count(F.lit(1)).alias("n_held")).filter("n_held = n_lines").select(*by, "origin")
-    return whole.select(*by, "first").join(found.unionByName(by_line), by, "left").select("conv_id", "turn", "level", "first", "origin")
+    found = whole.join(_paragraphs(messages), ["conv_id", "h1", "h2", "part"]).filter("origin < turn").select("conv_id", "turn", "q1", "q2", "origin")
+    found = stash(found.distinct(), "by-passage")
+    left = whole.join(found, ["conv_id", "turn", "q1", "q2"], "left_anti").select("conv_id", "q1", "q2", "want").distinct()
+    by_lines = stash(_holders(messages, left), "by-lines")
+    out = whole.select("conv_id", "turn", "level", "first", "q1", "q2", "want").join(found, ["conv_id", "turn", "q1", "q2"], "left")
+    out = out.join(by_lines.withColumnRenamed("origin", "by_lines"), ["conv_id", "q1", "q2", "want"], "left")
+    earlier = F.when(F.col("by_lines") < F.col("turn"), F.col("by_lines"))
+    return out.select("conv_id", "turn", "level", "first", F.coalesce("origin", earlier).alias("origin"))
 
 
 def _threads(links: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ alone is read through the offsets of its blocks (``read_document``).
 
 Rules: a null text counts as empty and holds just the end id. Documents come in ascending order of
 doc_id, those without one first; rows that repeat a doc_id follow each other in no particular order,
-and where they are very many they are spread over several ranges. Every 64-bit doc_id is kept. An
-empty table gives an empty result. Other columns are not read.
+and where they are very many they are spread over several ranges. Every 64-bit doc_id is kept. Texts
+may be of any length and hold runs of any characters; a document is in one shard as a whole, so the bytes
+of a shard are bounded by ``SHARD_IDS`` ids and the ids of one document (a value of Spark's holds
+2 GB, a text of some 500 million ids). An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

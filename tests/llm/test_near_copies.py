@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from skyquad.llm import common, exact_dedup, near_copies, simhash, toxicity
+from skyquad.llm import exact_dedup, near_copies, simhash, toxicity
 
 
 def brute_kept(texts):
@@ -52,11 +52,18 @@ def corpus():
     return {i: " ".join(t) for i, t in enumerate([*texts, [], ["One"], ["one"], ["one", "two"]])}
 
 
-@pytest.mark.parametrize(("busy", "few", "crowd"), [(4, 100_000, 32), (0, 0, 2), (1, 100_000, 2)])
-def test_near_copies_by_brute_force(spark, monkeypatch, busy, few, crowd):
+@pytest.fixture
+def broadcasts(spark, request):
+    """The largest table that Spark broadcasts: with -1 every join shuffles."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(("busy", "broadcasts", "crowd"), [(4, "10m", 32), (0, "-1", 2), (1, "10m", 2)], indirect=["broadcasts"])
+def test_near_copies_by_brute_force(spark, monkeypatch, busy, broadcasts, crowd):
     monkeypatch.setattr(near_copies, "CROWD", crowd)
-    monkeypatch.setattr(common, "BROADCAST_KEYS", few)
-    monkeypatch.setattr(near_copies, "BROADCAST_KEYS", few)
     texts = corpus()
     docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (None, "a text that only the row without an id has")], "doc_id long, text string")
     marks = near_copies.near_components(docs, busy=busy).collect()
