@@ -1,13 +1,12 @@
 """The solver: star lists or pictures, an index and a search plan to plate solutions.
 
 ``solve_runs`` evaluates any number of runs of any number of pictures as one job. ``solve_first``
-takes all runs at once and keeps each picture's first success; ``solve_staged`` walks the plan in
-subsets, radius groups and batches and stops as soon as every picture has a solution.
+takes all runs at once and keeps each picture's first success. Searches in stages, which stop as soon as
+every picture has a solution, are in ``search``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +18,8 @@ from ..operators.bandjoin import candidates, ratio_range
 from ..operators.cells import runs_to_cells
 from ..operators.index import Index
 from ..operators.quads import brightest, picture_quads
-from ..storage import stash
-from .runs import by_radius, density_offsets
+from ..storage import stash, stash_observed
+from .runs import density_offsets
 
 #: Recommended limits; values beyond them are slow or unlikely to solve, not wrong.
 LIMITS = {"search_radius": 60.0, "density_offset": 3, "max_stars": 1200, "field_radius": (0.1, 16.0)}
@@ -29,7 +28,6 @@ SOLUTION = [
     "cd1_1", "cd1_2", "cd2_1", "cd2_2", "cdelt1", "cdelt2", "crota1", "crota2", "crval1", "crval2", "crpix1", "crpix2",
     "a", "b", "c", "d", "e", "f", "ra0", "dec0", "width", "height", "n_matches",
 ]
-_BATCHES = ((2_999, 1000), (24_999, 2500))  # runs in a group up to which a batch size holds; 4000 beyond
 
 
 @dataclass(frozen=True)
@@ -61,6 +59,8 @@ class Search:
     pairs: DataFrame
     index: Index
     options: SolveOptions = field(default_factory=SolveOptions)
+    n_quads: int = 0
+    n_pairs: int = 0
 
 
 def in_area(index: Index, runs: DataFrame) -> Index:
@@ -77,10 +77,11 @@ def open_search(
     """``stars``: image_id, star_id, x, y, brightness, size. ``pictures``: image_id, width, height.
     With ``runs`` (ra, dec, radius) only their area of the index is read."""
     index = index if runs is None else in_area(index, runs)
-    quads = stash(picture_quads(brightest(stars, options.max_stars)), "picture-quads")
-    low, high = ratio_range(quads)
+    quads = stash_observed(picture_quads(brightest(stars, options.max_stars)), "picture-quads")
+    low, high = ratio_range(quads.table)
     in_range = index.quads.filter(F.col("r0").between(F.lit(low).cast("float"), F.lit(high).cast("float")))
-    return Search(pictures, quads, stash(candidates(quads, in_range), "pairs"), index, options)
+    pairs = stash_observed(candidates(quads.table, in_range), "pairs")
+    return Search(pictures, quads.table, pairs.table, index, options, quads.facts["n"], pairs.facts["n"])
 
 
 def runs_of_pictures(search: Search, runs: DataFrame) -> DataFrame:
@@ -179,65 +180,9 @@ def solve_first(stars: DataFrame, pictures: DataFrame, index: Index, runs: DataF
     return first_success(solve_runs(open_search(stars, pictures, index, options, runs), runs))
 
 
-def _batch_size(group: int) -> int:
-    return next((size for most, size in _BATCHES if group <= most), 4000)
-
-
-def solve_staged(
-    stars: DataFrame, pictures: DataFrame, index: Index, runs: DataFrame, options: SolveOptions = SolveOptions(),  # noqa: B008
-    progress: Callable[[str, dict], None] | None = None, cancelled: Callable[[], bool] | None = None,
-) -> DataFrame | None:
-    """Stops at the first stage after which every picture has a solution.
-
-    Stages: subsets of the subcells' quads, within them radius groups from the largest on, within
-    these batches of runs. A stage first counts potential matches on its subset; runs with five or
-    more are solved on all quads, and where that solves nothing, runs with any are, most hits first,
-    and are left out of later subsets. Returns one row per solved picture, or None if cancelled.
-    """
-    spark = stars.sparkSession
-    tell = progress or (lambda step, facts: None)
-    runs = stash(by_radius(runs), "plan")
-    search = open_search(stars, pictures, index, options, runs)
-    index = search.index
-    solved, tried, open_pictures = None, None, pictures
-    waiting = open_pictures.count()
-    tell("quads_formed", {"pictures": waiting, "pairs": search.pairs.count()})
-    groups = runs.groupBy("radius_group").agg(F.min("run_id").alias("first"), F.max("run_id").alias("last"), F.count(F.lit(1)).alias("n")).orderBy("radius_group").collect()
-    stages = [(s, g["radius_group"], at, at + _batch_size(g["n"])) for s in range(options.subsets) for g in groups for at in range(g["first"], g["last"] + 1, _batch_size(g["n"]))]
-    for subset, group, low, high in stages:
-        if cancelled and cancelled():
-            return None
-        batch = runs.filter((F.col("radius_group") == group) & (F.col("run_id") >= low) & (F.col("run_id") < high)).drop("radius_group")
-        left = Search(open_pictures, search.quads, search.pairs, index, options)
-        asked = prepare_runs(left, runs_of_pictures(left, batch))
-        if tried is not None:
-            asked = asked.join(tried, ["image_id", "run_id"], "left_anti")
-        hits = stash(count_potential(find_potential(search, asked, options.subsets, subset)), "hits")
-        for least, most in ((match.LEAST_MATCHES, None), (1, match.LEAST_MATCHES - 1)):
-            chosen = hits.filter(F.col("n_potential") >= least)
-            chosen = chosen if most is None else chosen.filter(F.col("n_potential") <= most)
-            if (most is not None and options.subsets == 1) or chosen.isEmpty():
-                continue
-            left = Search(open_pictures, search.quads, search.pairs, index, options)
-            found = stash(first_success(solve_runs(left, batch, chosen.select("image_id", "run_id"))), "found")
-            n = found.count()
-            tell("batch_done", {"subset": subset, "radius_group": group, "runs": low, "solved": n})
-            if n:
-                solved = found if solved is None else solved.unionByName(found)
-                open_pictures = stash(open_pictures.join(found, "image_id", "left_anti"), "pictures")
-                waiting -= n
-            if not waiting:
-                break
-        if not waiting:
-            break
-        again = hits.select("image_id", "run_id")
-        tried = again if tried is None else stash(tried.unionByName(again), "tried")
-    return solved if solved is not None else spark.createDataFrame([], solve_schema())
-
-
 def solve_schema() -> str:
     kinds = {"image_id": "long", "run_id": "long", "parity": "string", "n_matches": "long", "width": "long", "height": "long"}
     return ", ".join(f"{c} {kinds.get(c, 'double')}" for c in SOLUTION) + ", n_potential long"
 
 
-__all__ = ["LIMITS", "Search", "SolveOptions", "open_search", "solve_first", "solve_runs", "solve_staged"]
+__all__ = ["LIMITS", "Search", "SolveOptions", "open_search", "solve_first", "solve_runs"]

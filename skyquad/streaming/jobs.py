@@ -1,7 +1,8 @@
 """Solve jobs: a stream of job events to job states, queue, purge, lookup.
 
 Events are rows of job_id (string), ts, event (submit, start, succeed, fail, error, timeout,
-cancel). State is keyed by job, so jobs spread over all tasks and each task holds its own share.
+cancel). State is keyed by job, so jobs spread over all tasks and each task holds its own share. The
+streams that make these events, from picture files to solutions, are in ``queue``.
 """
 
 from __future__ import annotations
@@ -23,44 +24,68 @@ TRANSITIONS = {
     "Solving": {"succeed": "Success", "fail": "Failure", "error": "Error", "timeout": "Timeout", "cancel": "Canceled"},
 }
 STATES = ["Queued", "Solving", "Success", "Failure", "Error", "Timeout", "Canceled"]
-_OUT = "job_id string, status string, updated timestamp, n_events long, purged boolean"
-_STATE = "status string, updated timestamp, n_events long"
+_OUT = "job_id string, status string, updated_us long, n_events long, purged boolean"
+_STATE = "status string, updated long, n_events long, seen long, waiting_us array<long>, waiting array<string>"
+LATENESS = "10 minutes"
 
 
-def _row(job_id: str, status: str | None, updated, n: int, purged: bool) -> pd.DataFrame:
-    row = pd.DataFrame([(job_id, status, n, purged)], columns=["job_id", "status", "n_events", "purged"])
-    row.insert(2, "updated", pd.Series([updated], dtype="datetime64[ns]"))
-    return row.astype({"status": object})
+def fold(status: str | None, updated: int | None, events: list[tuple[int, str]]) -> tuple[str | None, int | None]:
+    """A job's state and the time of its last change after events (time, event), which are in order."""
+    for at, event in events:
+        moved = TRANSITIONS.get(status, {}).get(event)
+        if moved is not None:
+            status, updated = moved, at
+    return status, updated
 
 
 def _advance(lifetime_ms: int | None) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, updated, n = state.get
+        status, updated, n, seen, times, names = state.get if state.exists else (None, None, 0, None, [], [])
+        events = list(zip(times, names, strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                events += zip(batch["us"].tolist(), batch["event"].tolist(), strict=True)
+        n += len(events) - len(times)
+        events.sort()
+        now = state.getCurrentWatermarkMs() * 1000
+        settled, left = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
+        status, updated = fold(status, updated, settled)
+        seen = max([e[0] for e in events] + ([] if seen is None else [seen]), default=None)
+        shown = fold(status, updated, left)
+        ends = None if lifetime_ms is None or seen is None else (seen if updated is None else updated) + lifetime_ms * 1000
+        purged = not left and ends is not None and ends < now
+        if purged:
             state.remove()
-            yield _row(key[0], status, updated, n, True)
-            return
-        status, updated, n = state.get if state.exists else (None, None, 0)
-        # One job's events of a micro-batch: a handful.
-        events = pd.concat(list(batches)).sort_values(["ts", "event"])
-        for ts, event in zip(events["ts"], events["event"], strict=True):
-            n += 1
-            moved = TRANSITIONS.get(status, {}).get(event)
-            if moved is not None:
-                status, updated = moved, ts.to_pydatetime()
-        state.update((status, updated, n))
-        if lifetime_ms is not None:
-            state.setTimeoutDuration(lifetime_ms)
-        yield _row(key[0], status, updated, n, False)
+        else:
+            state.update((status, updated, n, seen, [e[0] for e in left], [e[1] for e in left]))
+            wake = [t for t in (left[0][0] if left else None, ends) if t is not None]
+            if wake:
+                state.setTimeoutTimestamp(max(min(wake), now) // 1000 + 1)
+        out = pd.DataFrame([(key[0], n, purged)], columns=["job_id", "n_events", "purged"])
+        out.insert(1, "status", pd.Series([shown[0]], dtype=object))
+        out.insert(2, "updated_us", pd.Series([shown[1]], dtype="Int64"))
+        yield out
 
     return run
 
 
-def job_states(events: DataFrame, lifetime_ms: int | None = None) -> DataFrame:
-    """A streaming DataFrame of changes (update mode). Jobs that see no event for ``lifetime_ms``
-    are purged: they leave the state and are reported once more."""
-    timeout = GroupStateTimeout.NoTimeout if lifetime_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return events.groupBy("job_id").applyInPandasWithState(_advance(lifetime_ms), _OUT, _STATE, "update", timeout)
+def job_states(events: DataFrame, lifetime_ms: int | None = None, lateness: str = LATENESS) -> DataFrame:
+    """A streaming DataFrame of changes (update mode): job_id, status, updated, n_events, purged.
+
+    Time is that of the events. What the watermark has passed is folded for good, in the order of its
+    times; what it hasn't waits in the job's state and is folded on top in each answer, so events that come
+    in a later micro-batch than newer ones find their place, up to ``lateness``. Later ones than that
+    are dropped. Jobs whose last change is ``lifetime_ms`` behind the watermark are purged: they leave the
+    state and are reported once more. A job's state holds its events of ``lateness``, no more.
+    """
+    timed = events.withWatermark("ts", lateness).select("job_id", "ts", "event", F.unix_micros("ts").alias("us"))
+    found = timed.groupBy("job_id").applyInPandasWithState(_advance(lifetime_ms), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select("job_id", "status", F.timestamp_micros("updated_us").alias("updated"), "n_events", "purged")
+
+
+def with_cancellations(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """Job events and a control stream of cancel requests (job_id, ts) as one stream of events."""
+    return events.select("job_id", "ts", "event").unionByName(requests.select("job_id", "ts", F.lit("cancel").alias("event")))
 
 
 def write_states(states: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -108,21 +133,6 @@ def first_in_queue(submitted: DataFrame, n: int) -> DataFrame:
     return submitted.orderBy("ts", "job_id").limit(n)
 
 
-def run_jobs(submitted: DataFrame, solve: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
-    """Solves the jobs of each micro-batch together. ``submitted`` is a stream with a row per star
-    of a job (job_id, star columns, width, height); ``solve`` gives a row per job it could solve."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        jobs = held.select("job_id").distinct()
-        solved = solve(held)
-        done = jobs.join(solved, "job_id", "left").withColumn("status", F.when(F.col("ra").isNotNull(), "Success").otherwise("Failure"))
-        done.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        held.unpersist()
-
-    return submitted.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
-
-
 def solve_arrivals(spark: SparkSession, folder: str, solve: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, at_once: int = 5) -> StreamingQuery:
     """Picture files as they arrive in ``folder``, ``at_once`` in a micro-batch: read, handed to ``solve``
     (pictures as ``plans.pictures.read_pictures`` gives them to a row for each) and written, a folder

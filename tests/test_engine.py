@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyquad.fixtures import CENTER, fixture, pictures
 from skyquad.functions import angles, plate, ratios, sphere
 from skyquad.operators import bandjoin, cells, detect, fit, index, lookup, match, quads
-from skyquad.plans import runs, solve
+from skyquad.plans import runs, search, solve
 from skyquad.sinks import results, wcs
 from skyquad.sources import bench_log, catalog, fits, raster, reader_for, register_reader
 from skyquad.streaming import jobs
@@ -170,7 +170,7 @@ def test_solve_without_stars_or_index_gives_no_rows(spark):
     built = index.build_index(catalog_stars, options)
     assert solve.solve_first(stars.limit(0), pictures(spark), built, plan).count() == 0
     assert solve.solve_first(stars, pictures(spark), index.build_index(catalog_stars.limit(0), options), plan).count() == 0
-    assert solve.solve_staged(stars, pictures(spark), built, plan, cancelled=lambda: True) is None
+    assert search.solve_staged(stars, pictures(spark), built, plan, cancelled=lambda: True) is None
 
 
 def test_components_touch_at_corners(spark):
