@@ -107,6 +107,13 @@ def pixel_to_sky(x: Value, y: Value) -> tuple[Column, Column]:
     return ra, F.degrees(F.atan((F.sin(middle) + north * F.cos(middle)) / g))
 
 
+def pixel_positions(x: Value, y: Value) -> tuple[Column, Column]:
+    """RA and Dec of pixels by a solution's plate constants (columns a to f, ra0, dec0), without the
+    detour over the linear terms at its center."""
+    x, y = col(x), col(y)
+    return from_plane("ra0", "dec0", F.col("a") * x + F.col("b") * y + F.col("c"), F.col("d") * x + F.col("e") * y + F.col("f"))
+
+
 def sky_to_pixel(ra: Value, dec: Value, mirrored: bool = True) -> tuple[Column, Column]:
     """Pixel of a sky position, halves rounded to even. ``mirrored`` reads the point back through
     the image's center, which is exact only where that is the reference position; without it the

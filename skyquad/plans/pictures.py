@@ -52,21 +52,28 @@ def dataset_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return files.select("path", "length")
 
 
+def circles_around(asked: DataFrame, search_radius: float) -> DataFrame:
+    """Rows of circles over the whole sky within ``search_radius`` in Dec of each picture's position:
+    ``asked`` (image_id, c_ra, c_dec, radius) with n (the row), i (the circle there), ra, dec and distance."""
+    bottom, top = F.greatest(F.col("c_dec") - search_radius, F.lit(-90e0)), F.least(F.col("c_dec") + search_radius, F.lit(90e0))
+    rows = asked.withColumns({"spacing": F.col("radius"), "n": F.explode(F.sequence(F.lit(0), F.floor((top - bottom) / F.col("radius")).cast("int")))})
+    rows = rows.withColumn("row_dec", bottom + F.col("n") * F.col("radius"))
+    around = row_positions(rows, 360.0).select("image_id", "n", "i", F.col("at").cast("double").alias("ra"), F.col("row_dec").alias("dec"), "radius", "c_ra", "c_dec")
+    return around.withColumn("distance", angular_distance("ra", "dec", "c_ra", "c_dec"))
+
+
 def hinted_runs(pictures: DataFrame, search_radius: float = 10.0) -> DataFrame:
     """The nearby plan of every picture that has a center and a view: circles of the view's half
-    diagonal, the one at the center first, then by distance. image_id, run_id, ra, dec, radius."""
+    diagonal, the one at the center first, then by distance. image_id, run_id, ra, dec, radius, distance."""
     half = narrow(F.hypot("view.width_deg", "view.height_deg") / 2).cast("double")
     asked = pictures.filter("center is not null and view is not null").select("image_id", F.col("center.ra").alias("c_ra"), F.col("center.dec").alias("c_dec"), half.alias("radius"))
     asked = asked.filter("radius > 0")
-    bottom, top = F.greatest(F.col("c_dec") - search_radius, F.lit(-90e0)), F.least(F.col("c_dec") + search_radius, F.lit(90e0))
-    rows = asked.withColumns({"spacing": F.col("radius"), "n": F.explode(F.sequence(F.lit(0), F.floor((top - bottom) / F.col("radius")).cast("int")))})
-    rows = rows.withColumn("row_dec", bottom + F.col("n") * F.col("radius"))
-    around = row_positions(rows, 360.0).select("image_id", F.col("at").cast("double").alias("ra"), F.col("row_dec").alias("dec"), "radius", "c_ra", "c_dec")
-    around = around.withColumn("distance", angular_distance("ra", "dec", "c_ra", "c_dec")).filter(F.col("distance") < search_radius)
+    around = circles_around(asked, search_radius).filter(F.col("distance") < search_radius).drop("n", "i")
     first = asked.select("image_id", F.col("c_ra").alias("ra"), F.col("c_dec").alias("dec"), "radius", "c_ra", "c_dec", F.lit(-1e0).alias("distance"))
     # One picture's plan is bounded by (search radius / field radius)^2 circles.
     order = Window.partitionBy("image_id").orderBy("distance", "dec", "ra")
-    return around.unionByName(first).withColumn("run_id", F.row_number().over(order).cast("long") - 1).select("image_id", "run_id", "ra", "dec", "radius")
+    found = around.unionByName(first).withColumn("run_id", F.row_number().over(order).cast("long") - 1)
+    return found.select("image_id", "run_id", "ra", "dec", "radius", F.greatest("distance", F.lit(0e0)).alias("distance"))
 
 
 def picture_stars(pictures: DataFrame, detector: Detector = detect_stars) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import Value, col, narrow
 from ..functions.sphere import angular_distance
+from ..operators.cells import assign_cells, runs_to_cells
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,21 @@ def point_runs(spark: SparkSession, ra: float, dec: float, radius: float = 2.0)
     return spark.createDataFrame([(0, float(ra), float(dec), float(radius))], "run_id long, ra double, dec double, radius double")
 
 
+def point_runs_of(pictures: DataFrame, radius: float | None = None) -> DataFrame:
+    """A plan of one circle for each picture: image_id, ra, dec and, without ``radius``, radius."""
+    size = F.col("radius") if radius is None else F.lit(float(radius))
+    return pictures.select("image_id", F.lit(0).cast("long").alias("run_id"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), size.cast("double").alias("radius"))
+
+
+def first_run_at(runs: DataFrame, places: DataFrame) -> DataFrame:
+    """For each place (place_id, ra, dec) the first run that holds it, and how many do. They meet through
+    the cells that runs touch and places lie in."""
+    near = runs_to_cells(runs, ["run_id", "ra", "dec", "radius"]).drop("band", "cell")
+    at = assign_cells(places).select("place_id", F.col("ra").alias("at_ra"), F.col("dec").alias("at_dec"), "cell_id")
+    held = at.join(near, "cell_id").filter(angular_distance("ra", "dec", "at_ra", "at_dec") < F.col("radius"))
+    return held.groupBy("place_id").agg(F.min("run_id").alias("run_id"), F.count(F.lit(1)).alias("n_runs"))
+
+
 def sector(ra: Value, slices: int) -> Column:
     """RA sector of a run; the shared edge belongs to the lower one."""
     return F.greatest(F.lit(0).cast("long"), F.ceil(col(ra) / (360e0 / slices)).cast("long") - 1)
@@ -179,6 +195,13 @@ def variations(spark: SparkSession, samplings: list[int], radii: list[tuple[floa
     return spark.createDataFrame(rows, "sampling int, min_radius double, max_radius double, lower_offset int, higher_offset int")
 
 
+def variations_of(pictures: DataFrame, samplings: list[int], radii: list[tuple[float, float]], offsets: list[tuple[int, int]]) -> DataFrame:
+    """``variations`` for every row of ``pictures``."""
+    rows = variations(pictures.sparkSession, samplings, radii, offsets).collect()  # of lists that are given
+    every = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rows])
+    return pictures.withColumn("_setting", F.explode(every)).select(*pictures.columns, "_setting.*")
+
+
 def ladder_sizes(options: BlindOptions) -> int:
     """Number of runs of a blind queue, without running it."""
     total, radius = 0, options.start_radius

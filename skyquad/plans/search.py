@@ -27,8 +27,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.angles import position_label
 from ..operators import match
 from ..operators.index import Index
+from ..operators.quads import brightest
+from ..sinks.results import time_text
 from ..storage import new_folder, stash, stash_observed
 from .runs import by_radius
 from .solve import Search, SolveOptions, count_potential, find_potential, first_success, open_search, prepare_runs, runs_of_pictures, solve_runs, solve_schema
@@ -57,6 +60,7 @@ class Stage:
     radius_group: int
     low: int
     high: int  # run_ids from low to below high
+    n: int  # runs that there are
 
 
 @dataclass
@@ -69,6 +73,8 @@ class Outcome:
     stages: int
     pictures: int
     n_solved: int
+    seconds: float = 0.0
+    areas: int = 0  # runs of the stages that were done
 
 
 class Control:
@@ -146,8 +152,8 @@ def serial_batch_size(group: int) -> int:
 def plan_stages(runs: DataFrame, subsets: int, batches: Callable[[int], int] = batch_size) -> list[Stage]:
     """``runs``: run_id and radius_group, contiguous in each group. A row per radius is collected: some dozen."""
     groups = runs.groupBy("radius_group").agg(F.min("run_id").alias("first"), F.max("run_id").alias("last"), F.count(F.lit(1)).alias("n")).orderBy("radius_group").collect()
-    places = [(s, g["radius_group"], at, batches(g["n"])) for s in range(subsets) for g in groups for at in range(g["first"], g["last"] + 1, batches(g["n"]))]
-    return [Stage(k, s, group, at, at + size) for k, (s, group, at, size) in enumerate(places)]
+    places = [(s, g, at, batches(g["n"])) for s in range(subsets) for g in groups for at in range(g["first"], g["last"] + 1, batches(g["n"]))]
+    return [Stage(k, s, g["radius_group"], at, at + size, min(size, g["last"] + 1 - at)) for k, (s, g, at, size) in enumerate(places)]
 
 
 @dataclass
@@ -159,6 +165,7 @@ class Done:
     given: int
     found: list[tuple[DataFrame, int]]
     tried: str | None
+    n_asked: int
     n_runs: int = 0
     n_matching: int = 0
 
@@ -175,7 +182,7 @@ def run_stage(check: Callable[[], None], search: Search, given: int, runs: DataF
         asked = asked.join(tried, ["image_id", "run_id"], "left_anti")
     many = F.col("n_potential") >= match.LEAST_MATCHES
     hits = stash_observed(count_potential(find_potential(search, asked, search.options.subsets, stage.subset)), "hits", many=F.count_if(many))
-    done, pictures = Done(stage, given, [], hits.path, hits.facts["n"], hits.facts["many"]), search.pictures
+    done, pictures = Done(stage, given, [], hits.path, stage.n, hits.facts["n"], hits.facts["many"]), search.pictures
     for chosen, n in ((many, hits.facts["many"]), (~many, hits.facts["n"] - hits.facts["many"] if search.options.subsets > 1 else 0)):
         check()
         if not n:
@@ -196,7 +203,7 @@ def search_staged(
     were observed while tables were written. It is called from the caller's thread."""
     spark = stars.sparkSession
     tell = progress or (lambda step, facts: None)
-    control = Control(spark, max(1, parallel), timeout, cancelled)
+    control, began, areas = Control(spark, max(1, parallel), timeout, cancelled), time.monotonic(), 0
     futures: list[Future] = []
     parts, n_solved, waiting, n_pictures, merged = new_folder(spark, "solved"), 0, 0, 0, 0
     written: list[str] = []
@@ -235,7 +242,7 @@ def search_staged(
                     at_work = deque(list(at_work)[: place + 1])
             while at_work and at_work[0][1].done():
                 done = at_work.popleft()[1].result()
-                merged += 1
+                merged, areas = merged + 1, areas + done.n_asked
                 tried.append(done.tried)
                 new = 0
                 for table, _ in done.found:
@@ -256,7 +263,23 @@ def search_staged(
     solved = spark.read.schema(solve_schema()).parquet(*written) if written else spark.createDataFrame([], solve_schema())
     status = control.reason
     tell("solve_process_finished", {"status": status, "pictures": n_pictures, "solved": n_solved, "stages": merged})
-    return Outcome(status, solved, merged, n_pictures, n_solved)
+    return Outcome(status, solved, merged, n_pictures, n_solved, time.monotonic() - began, areas)
+
+
+def result_rows(outcome: Outcome, stars: DataFrame, pictures: DataFrame, runs: DataFrame, options: SolveOptions = SolveOptions()) -> DataFrame:  # noqa: B008
+    """A row for each picture, as ``sinks.results`` writes it: the solution, success, the stars that were
+    detected and used, the time and the areas of the search, and the run that found it."""
+    counts = stars.groupBy("image_id").agg(F.count(F.lit(1)).alias("stars_detected"))
+    # The same choice as the search made: by brightness, up to a limit that may depend on their number.
+    used = brightest(stars, options.max_stars).groupBy("image_id").agg(F.count(F.lit(1)).alias("stars_used"))
+    at = runs.select("run_id", *(["image_id"] if "image_id" in runs.columns else []), position_label("ra", "dec", 3).alias("run_center"), F.col("radius").alias("run_radius"))
+    solved = outcome.solved.join(at, [c for c in ("image_id", "run_id") if c in at.columns], "left").drop("width", "height")
+    rows = pictures.select("image_id", "width", "height").join(counts, "image_id", "left").join(used, "image_id", "left").join(solved, "image_id", "left")
+    zero = F.lit(0).cast("long")
+    return rows.withColumns({
+        "success": F.col("ra").isNotNull(), "stars_detected": F.coalesce("stars_detected", zero), "stars_used": F.coalesce("stars_used", zero),
+        "time_spent": time_text(F.lit(outcome.seconds)), "areas_searched": F.lit(outcome.areas).cast("long"),
+    })
 
 
 def solve_staged(

@@ -131,16 +131,22 @@ def join_04(spark, sf_dir):
     return cells.runs_to_cells(fixture(spark, sf_dir, "search_centers"), ["run_id"]).select("run_id", "cell_id")
 
 
-@A("fn_22_cell_size", f"WITH {cells_cte()}, sized AS (SELECT *, {_CENTER} FROM cells) SELECT cell_id, round(center_ra, 6) AS center_ra, round(center_dec, 6) + 0e0 AS center_dec, round({dist('ra_left', 'center_dec', 'ra_right', 'center_dec')}, 6) AS width_deg, round(dec_top - dec_bottom, 6) AS height_deg FROM sized")
+@A("fn_22_cell_size", stars_ctes() + f", sized AS (SELECT *, {_CENTER} FROM cells) SELECT star_id, s.cell_id, round(center_ra, 6) AS center_ra, round(center_dec, 6) + 0e0 AS center_dec, round({dist('ra_left', 'center_dec', 'ra_right', 'center_dec')}, 6) AS width_deg, round(dec_top - dec_bottom, 6) AS height_deg FROM sized s JOIN idx_stars i ON i.cell_id = s.cell_id")
 def fn_22(spark, sf_dir):
-    sized = cells.add_bounds_center(cells.sky_cells(spark))
-    return sized.select("cell_id", *[r6(F.col(c)).alias(c) for c in ("center_ra", "center_dec", "width_deg", "height_deg")])
+    """Center and size of the cell that each star lies in."""
+    sized = cells.add_bounds_center(cells.sky_cells(spark)).drop("band", "cell")
+    stars = fixture(spark, sf_dir, "sky_stars").withColumns({c: F.col(c).cast("float").cast("double") for c in ("ra", "dec")})
+    placed = cells.assign_cells(stars).select("star_id", "cell_id").join(F.broadcast(sized), "cell_id")  # 406 rows
+    return placed.select("star_id", "cell_id", *[r6(F.col(c)).alias(c) for c in ("center_ra", "center_dec", "width_deg", "height_deg")])
 
 
-@A("fn_42_subcells", f"WITH {cells_cte()} SELECT cell_id, CAST(k AS INTEGER) AS subcell, round(ra_left + (k % d)*((ra_right - ra_left)/d), 6) AS ra_left, round(dec_bottom + (k // d)*((dec_top - dec_bottom)/d), 6) + 0e0 AS dec_bottom FROM (SELECT *, 2 + band % 3 AS d FROM cells) c, LATERAL (SELECT unnest(range(c.d*c.d)) AS k) u")
+@A("fn_42_subcells", stars_ctes() + ", held AS (SELECT cell_id, count(*) AS n FROM idx_stars GROUP BY cell_id), cut AS (SELECT c.*, 2 + n % 3 AS d FROM cells c JOIN held h ON h.cell_id = c.cell_id) SELECT cell_id, CAST(k AS INTEGER) AS subcell, round(ra_left + (k % d)*((ra_right - ra_left)/d), 6) AS ra_left, round(dec_bottom + (k // d)*((dec_top - dec_bottom)/d), 6) + 0e0 AS dec_bottom FROM cut c, LATERAL (SELECT unnest(range(c.d*c.d)) AS k) u")
 def fn_42(spark, sf_dir):
-    boxes = cells.subdivide(cells.sky_cells(spark), F.col("band") % 3 + 2)
-    return boxes.select("cell_id", "subcell", r6(F.col("ra_left")).alias("ra_left"), r6(F.col("dec_bottom")).alias("dec_bottom"))
+    """Subcells of the cells that hold stars, in as many parts as follow from their number."""
+    stars = fixture(spark, sf_dir, "sky_stars").withColumns({c: F.col(c).cast("float").cast("double") for c in ("ra", "dec")})
+    held = cells.assign_cells(stars).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+    boxes = cells.subdivide(cells.sky_cells(spark).join(held, "cell_id"), (F.col("n") % 3 + 2).cast("int"))
+    return boxes.select("cell_id", F.col("subcell").cast("int").alias("subcell"), r6(F.col("ra_left")).alias("ra_left"), r6(F.col("dec_bottom")).alias("dec_bottom"))
 
 
 @A("flt_08_points_in_box", with_sql("sky_stars") + " SELECT star_id FROM sky_stars WHERE ra >= 10e0 AND ra <= 20e0 AND dec >= -5e0 AND dec <= 5e0")

@@ -31,14 +31,27 @@ def shown(df, column):
     return df.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@A("str_03_job_states")
-def str_03(spark, sf_dir):
+def _moves() -> str:
+    """The state after event e in state s, as SQL; null where nothing changes."""
+    return "CASE " + " ".join(f"WHEN split_part(s, '|', 1) = '{state or 'none'}' AND split_part(e, '|', 1) = '{event}' THEN '{to}'" for state, moves in jobs.TRANSITIONS.items() for event, to in moves.items()) + " END"
+
+
+#: Each job's events folded in their order, as texts of state and time.
+_FOLDED = _JOB_EVENTS + f""", lists AS (SELECT job_id, count(*) AS n_events, list(event || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') ORDER BY ts, event) AS es FROM job_events GROUP BY job_id),
+    folded AS (SELECT job_id, n_events, list_reduce(list_concat(['none|'], es), lambda s, e: coalesce(({_moves()}) || '|' || split_part(e, '|', 2), s)) AS s FROM lists),
+    states AS (SELECT job_id, n_events, nullif(split_part(s, '|', 1), 'none') AS status, nullif(split_part(s, '|', 2), '') AS updated FROM folded)"""
+
+
+def states_at_the_end(spark, events):
     """The stream runs to the end of the events; the final states are returned."""
     folder, checkpoint = new_folder(spark, "jobs"), new_folder(spark, "jobs-checkpoint")
-    # One file, one micro-batch: its events arrive together and are ordered by time.
-    query = jobs.write_states(jobs.job_states(job_events(spark, sf_dir, stream=True).drop("event_id")), folder, checkpoint)
-    query.awaitTermination()
-    return jobs.latest_states(spark, folder)
+    jobs.write_states(jobs.job_states(events), folder, checkpoint).awaitTermination()
+    return shown(jobs.latest_states(spark, folder), "updated")
+
+
+@A("str_03_job_states", _FOLDED + " SELECT job_id, status, updated, n_events FROM states")
+def str_03(spark, sf_dir):
+    return states_at_the_end(spark, job_events(spark, sf_dir, stream=True))
 
 
 @A("str_06_latest_status", _JOB_EVENTS + " SELECT job_id, arg_max(event, (ts, event)) AS event, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS updated, count(*) AS n_events FROM job_events GROUP BY job_id")
@@ -65,9 +78,13 @@ def top_08(spark, sf_dir):
     return shown(jobs.first_in_queue(first, 10), "ts")
 
 
-@A("str_02_canceled_jobs", _JOB_EVENTS + " SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS canceled_at FROM job_events WHERE event = 'cancel' GROUP BY job_id")
+@A("str_02_canceled_jobs", _FOLDED + " SELECT job_id, updated AS canceled_at FROM states WHERE status = 'Canceled'")
 def str_02(spark, sf_dir):
-    return job_events(spark, sf_dir).filter("event = 'cancel'").groupBy("job_id").agg(F.min("ts").alias("canceled_at")).transform(shown, "canceled_at")
+    """Cancel requests come by a stream of their own; those count that find a job waiting or at work."""
+    rows = job_events(spark, sf_dir, stream=True)
+    requests = job_events(spark, sf_dir, stream=True).filter("event = 'cancel'").select("job_id", "ts")
+    found = states_at_the_end(spark, jobs.with_cancellations(rows.filter("event <> 'cancel'"), requests))
+    return found.filter("status = 'Canceled'").select("job_id", F.col("updated").alias("canceled_at"))
 
 
 @A("fn_39_legacy_status", "SELECT event_id, CASE event_type WHEN 'view' THEN 'solving' WHEN 'signup' THEN 'none' WHEN 'purchase' THEN 'success' ELSE 'failure' END AS status FROM events")
@@ -106,9 +123,11 @@ def _split(columns: str) -> list[str]:
     return re.split(r",\s*(?=CASE|radius|ra AS|1600|1200)", columns)
 
 
-@A("fn_38_short_id")
+_BYTES = " || ".join(f"substr(h, {2 * i + 1}, 2)" for i in (3, 2, 1, 0, 5, 4, 7, 6, *range(8, 16)))
+
+
+@A("fn_38_short_id", with_sql("search_centers") + f" SELECT run_id, regexp_replace(to_base64(unhex({_BYTES})), '[/+=]', '', 'g') AS short_id FROM (SELECT run_id, md5(CAST(run_id AS VARCHAR)) AS h FROM search_centers) t")
 def fn_38(spark, sf_dir):
-    """Without SQL: the second engine's base64 of swapped bytes is tested on known values."""
     rows = fixture(spark, sf_dir, "search_centers").select("run_id", F.md5(F.col("run_id").cast("string").cast("binary")).alias("guid"))
     return rows.select("run_id", jobs.short_id("guid").alias("short_id"))
 

@@ -336,16 +336,17 @@ def agg_17(spark, sf_dir):
     return found.select("run_id", "n_matches", *[r6(F.col(c) * (1e5 if c in "abde" else 1e3)).alias(c) for c in "abcdef"])
 
 
-@A("agg_16_least_squares", "SELECT 2.474e0 AS x1, 5.397e0 AS x2, 3.723e0 AS x3")
+_SYSTEM = {"p": "ra/1e2", "q": "dec/1e2", "r": "mag/1e1", "w": "(CAST((star_id*37) % 101 AS DOUBLE) - ra)/1e2"}
+_PRODUCTS = {"xx": "p*p", "xy": "p*q", "yy": "q*q", "x": "p*r", "y": "q*r", "n": "r*r", "xu": "p*w", "yu": "q*w", "u": "r*w", "xv": "p*w", "yv": "q*w", "v": "r*w"}
+
+
+@A("agg_16_least_squares", with_sql("sky_stars") + f", terms AS (SELECT star_id % 97 AS system_id, {', '.join(f'{e} AS {n}' for n, e in _SYSTEM.items())} FROM sky_stars), totals AS (SELECT system_id, {', '.join(f'sum({e}) AS s{k}' for k, e in _PRODUCTS.items())} FROM terms GROUP BY system_id), solved AS (SELECT system_id, {_constants()} FROM totals) SELECT system_id, round(a, 4) + 0e0 AS x1, round(b, 4) + 0e0 AS x2, round(c, 4) + 0e0 AS x3 FROM solved")
 def agg_16(spark, sf_dir):
-    rows = [(7, -6, 8, -15), (3, 5, -2, -27), (2, -2, 7, -20), (4, 2, -5, -2), (9, -8, 7, -5)]
-    table = spark.createDataFrame([tuple(map(float, r)) for r in rows], "p double, q double, r double, w double")
-    # The general three-unknown form: the third coefficient is a column, not one.
-    p, q, r, w = (F.col(c) for c in "pqrw")
-    sums = {"xx": p * p, "xy": p * q, "yy": q * q, "x": p * r, "y": q * r, "n": r * r, "xu": p * w, "yu": q * w, "u": r * w, "xv": p * w, "yv": q * w, "v": r * w}
-    total = table.agg(*[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()])
-    found = fit.add_constants(total, {k: F.col(f"_s_{k}") for k in sums})
-    return found.select(F.round("a", 3).alias("x1"), F.round("b", 3).alias("x2"), F.round("c", 3).alias("x3"))
+    """The general three-unknown form, for every system of stars: the third coefficient is a column, not one."""
+    table = fixture(spark, sf_dir, "sky_stars").selectExpr("star_id % 97 AS system_id", *[f"{e} AS {n}" for n, e in _SYSTEM.items()])
+    total = table.groupBy("system_id").agg(*[F.sum(F.expr(e)).alias(f"_s_{k}") for k, e in _PRODUCTS.items()])
+    found = fit.add_constants(total, {k: F.col(f"_s_{k}") for k in _PRODUCTS})
+    return found.select("system_id", *[(F.round(c, 4) + F.lit(0e0)).alias(x) for c, x in zip("abc", ("x1", "x2", "x3"), strict=True)])
 
 
 _LOO = _UV + f""", with_totals AS (SELECT *, {_sums('OVER (PARTITION BY run_id)')} FROM m), f_all AS (SELECT run_id, quad_id, scale_ratio, {_constants()} FROM with_totals),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..fixtures import with_sql
 from ..functions import plate
 from ..operators.index import data_offsets
-from ..sinks import results, wcs
+from ..sinks import files, results, wcs
 from ..sources import bench_log, catalog, fits, raster
 from ..storage import new_folder
 from .base import Registry, fixture, plane_x, plane_y, r6, sql_r6
+from .scalar import _DEC_TEXT, _RA_TEXT
 
 REGISTRY = Registry()
 A = REGISTRY.add
@@ -100,28 +101,80 @@ def snk_08(spark, sf_dir):
     )
 
 
-@A("snk_07_wcs_files", with_sql("sky_stars") + " SELECT star_id AS image_id, CAST(2880 AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS rest FROM sky_stars")
+_ROUNDED = ["crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2"]
+_PLAIN = lambda k, v, c: f"rpad('{k:<8}= ' || lpad({v}, 20, ' ') || ' / {c}', 80, ' ')"
+_QUOTED = lambda k, v, c: f"rpad('{k:<8}= ''{v:<8}'' / {c}', 80, ' ')"
+_HEADER = " || ".join([
+    _PLAIN("SIMPLE", "'T'", "Standard FITS file"), _PLAIN("BITPIX", "'8'", "no real data"), _PLAIN("NAXIS", "'0'", "no real data"), _PLAIN("EXTEND", "'T'", "no comment"), _PLAIN("WCSAXES", "'2'", "ra and dec"),
+    _QUOTED("CTYPE1", "RA---TAN", "linear"), _QUOTED("CTYPE2", "DEC--TAN", "linear"), _PLAIN("EQUINOX", "'2000'", "Equatorial coords definition year"), _PLAIN("LONPOLE", "'180'", "no comment"), _PLAIN("LATPOLE", "'0'", "no comment"),
+    *[_NUMBER(k.upper(), k, c) for k, c in (("crval1", "RA of reference pixel"), ("crval2", "DEC of reference pixel"), ("crpix1", "X of reference pixel"), ("crpix2", "Y of reference pixel"))],
+    _QUOTED("CUNIT1", "deg", "degrees"), _QUOTED("CUNIT2", "deg", "degrees"), *[_NUMBER(k.upper(), k, "cd matrix") for k in _ROUNDED[4:]],
+    _PLAIN("IMAGEW", "'1600'", "Image width in pixels"), _PLAIN("IMAGEH", "'1200'", "Image height in pixels"), "rpad('COMMENT WCS header of a plate solution', 80, ' ')", "rpad('END', 80, ' ')",
+])
+_HEADERS = _WCS + f", rounded AS (SELECT star_id, round(ra0, 6) + 0e0 AS crval1, round(dec0, 6) + 0e0 AS crval2, round((-b*py - c)/a, 6) + 0e0 AS crpix1, round(py, 6) + 0e0 AS crpix2, {', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in _ROUNDED[4:])} FROM w)"
+
+
+def rounded_plates(spark, sf_dir):
+    """To places at which both engines' sines agree."""
+    found = plates(spark, sf_dir).withColumnRenamed("star_id", "image_id")
+    return found.withColumns({c: F.round(c, 9 if c.startswith("cd") else 6) + F.lit(0e0) for c in _ROUNDED})
+
+
+@A("snk_07_wcs_files", _HEADERS + f" SELECT star_id AS image_id, rpad({_HEADER}, 2880, ' ') AS content FROM rounded")
 def snk_07(spark, sf_dir):
-    files = wcs.wcs_files(plates(spark, sf_dir).withColumnRenamed("star_id", "image_id"))
-    size = F.octet_length("content").cast("long")
-    return files.select("image_id", size.alias("n_bytes"), (size % wcs.BLOCK).alias("rest"))
+    """Every byte of every header."""
+    return wcs.wcs_files(rounded_plates(spark, sf_dir)).select("image_id", F.decode("content", "US-ASCII").alias("content"))
 
 
-@A("snk_09_comment_and_end", "SELECT rpad('COMMENT some text', 80, ' ') AS comment_record, rpad('END', 80, ' ') AS end_record")
+@A("snk_09_comment_and_end", with_sql("dso") + " SELECT dso_id, rpad(left('COMMENT ' || name, 80), 80, ' ') AS comment_record, rpad('END', 80, ' ') AS end_record FROM dso")
 def snk_09(spark, sf_dir):
-    return spark.range(1).select(wcs.comment_record("some text").alias("comment_record"), wcs.end_record().alias("end_record"))
+    return fixture(spark, sf_dir, "dso").select("dso_id", wcs.comment_record("name").alias("comment_record"), wcs.end_record().alias("end_record"))
 
 
-@A("snk_11_result_tsv", with_sql("search_centers") + " SELECT run_id AS image_id, line, k AS key, k || chr(9) || v AS text FROM (SELECT run_id, CAST(0 AS BIGINT) AS line, 'parity' AS k, CASE WHEN run_id % 2 = 0 THEN 'normal' ELSE 'flipped' END AS v FROM search_centers UNION ALL SELECT run_id, 1, 'starsUsed', CAST(run_id*3 AS VARCHAR) FROM search_centers) t")
+_ANSWERS = with_sql("search_centers") + f""", answers AS (SELECT run_id AS image_id, run_id % 3 > 0 AS ok, ra, dec, radius, {_RA_TEXT} AS ra_hms, {_DEC_TEXT} AS dec_dms,
+    CASE WHEN run_id % 2 = 0 THEN 'normal' ELSE 'flipped' END AS parity, run_id*3 AS detected, run_id*2 AS used, run_id*50 AS areas, run_id + 5 AS matches FROM search_centers)"""
+
+
+def answers(spark, sf_dir):
+    """Results of searches of which each third has failed."""
+    n, rows = F.col("run_id"), fixture(spark, sf_dir, "search_centers")
+    ok = n % 3 > 0
+    return rows.select(
+        n.alias("image_id"), *[F.when(ok, F.col(c)).alias(c) for c in ("ra", "dec", "radius")], F.when(ok, F.when(n % 2 == 0, "normal").otherwise("flipped")).alias("parity"),
+        (n * 3).alias("stars_detected"), (n * 2).alias("stars_used"), (n * 50).alias("areas_searched"), F.when(ok, n + 5).alias("n_matches"), results.time_text(n * 1.5).alias("time_spent"),
+    )
+
+
+_SPENT = "printf('%02d:%02d:%02d', CAST(floor(image_id*1.5/3600) AS BIGINT), CAST(floor(image_id*1.5/60) AS BIGINT) % 60, CAST(floor(image_id*1.5) AS BIGINT) % 60) || CASE WHEN image_id % 2 = 1 THEN '.5000000' ELSE '' END"
+_JSON = "'{\"success\":' || CAST(ok AS VARCHAR) || CASE WHEN ok THEN ',\"ra\":' || CAST(ra AS VARCHAR) || ',\"dec\":' || CAST(dec AS VARCHAR) || ',\"ra_hms\":\"' || ra_hms || '\",\"dec_dms\":\"' || dec_dms || '\",\"fieldRadius\":' || CAST(radius AS VARCHAR) || ',\"parity\":\"' || parity || '\"' ELSE '' END"
+
+
+@A("snk_11_result_tsv", _ANSWERS + """, lines AS (SELECT image_id, unnest([{'key': 'success', 'v': CAST(ok AS VARCHAR)}, {'key': 'ra', 'v': CASE WHEN ok THEN CAST(ra AS VARCHAR) END}, {'key': 'dec', 'v': CASE WHEN ok THEN CAST(dec AS VARCHAR) END},
+    {'key': 'ra_hms', 'v': CASE WHEN ok THEN ra_hms END}, {'key': 'dec_dms', 'v': CASE WHEN ok THEN dec_dms END}, {'key': 'fieldRadius', 'v': CASE WHEN ok THEN CAST(radius AS VARCHAR) END}, {'key': 'parity', 'v': CASE WHEN ok THEN parity END}]) AS p, unnest(range(7)) AS line FROM answers)
+    SELECT image_id, line, p.key AS key, p.key || chr(9) || p.v AS text FROM lines WHERE p.v IS NOT NULL""")
 def snk_11(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "search_centers").select(F.col("run_id").alias("image_id"), F.when(F.col("run_id") % 2 == 0, "normal").otherwise("flipped").alias("parity"), (F.col("run_id") * 3).alias("stars_used"))
-    return results.as_tsv(rows)
+    return results.as_tsv(answers(spark, sf_dir))
 
 
-@A("snk_10_result_json", with_sql("search_centers") + " SELECT run_id AS image_id, '{\"success\":true,\"parity\":\"normal\",\"starsUsed\":' || CAST(run_id*3 AS VARCHAR) || '}' AS json FROM search_centers")
+@A("snk_10_result_json", _ANSWERS + f" SELECT image_id, {_JSON} || '}}' AS json FROM answers")
 def snk_10(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "search_centers").select(F.col("run_id").alias("image_id"), F.lit("normal").alias("parity"), (F.col("run_id") * 3).alias("stars_used"))
-    return results.as_json(rows, pretty=False)
+    return results.as_json(answers(spark, sf_dir), pretty=False)
+
+
+@A("snk_12_extended_result", _ANSWERS + f""" SELECT image_id, {_JSON} || ',"starsDetected":' || CAST(detected AS VARCHAR) || ',"starsUsed":' || CAST(used AS VARCHAR) || ',"timeSpent":"' || {_SPENT} || '","searchIterations":' || CAST(areas AS VARCHAR)
+    || CASE WHEN ok THEN ',"quadMatches":' || CAST(matches AS VARCHAR) ELSE '' END || '}}' AS json FROM answers""")
+def snk_12(spark, sf_dir):
+    return results.as_json(answers(spark, sf_dir), extended=True, pretty=False)
+
+
+@A("snk_15_job_files", _ANSWERS + " SELECT CAST(image_id AS VARCHAR) AS job_id, CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS status, CASE WHEN ok THEN ra END AS ra, detected AS n_stars FROM answers")
+def snk_15(spark, sf_dir):
+    """A JSON file in a folder for each job, written and read again; every other one is replaced by a later state."""
+    rows = answers(spark, sf_dir).select(F.col("image_id").cast("string").alias("job_id"), F.when(F.col("ra").isNotNull(), "Success").otherwise("Failure").alias("status"), "ra", F.col("stars_detected").alias("n_stars"))
+    folder = new_folder(spark, "job-files")
+    files.write_jobs(rows.withColumn("status", F.when(F.col("n_stars") % 2 == 0, "Queued").otherwise(F.col("status"))), folder)
+    files.write_jobs(rows.filter("n_stars % 2 = 0"), folder)
+    return files.read_jobs(spark, folder, "status string, ra double, n_stars long").select("job_id", "status", "ra", "n_stars")
 
 
 _BENCH = "SELECT CAST(l_orderkey % 50 AS BIGINT) AS config_id, CAST(l_linenumber AS BIGINT)*1000000 + l_orderkey AS iteration, CAST(l_quantity AS DOUBLE) AS duration_solve, l_quantity > 49 AS solved, l_returnflag AS errors, 'image' AS image_name FROM lineitem"

@@ -48,8 +48,8 @@ def text_record(keyword: str, value: Value, comment: str | None = None) -> Colum
     return _record(keyword, F.concat(F.lit("'"), padded, F.lit("'")), comment)
 
 
-def comment_record(comment: str) -> Column:
-    return F.lit(f"COMMENT {comment}"[:RECORD].ljust(RECORD))
+def comment_record(comment: Value) -> Column:
+    return F.rpad(F.substring(F.concat(F.lit("COMMENT "), col(comment)), 1, RECORD), RECORD, " ")
 
 
 def end_record() -> Column:
@@ -78,7 +78,7 @@ def wcs_records() -> Column:
         *[number_record(f"CD{i}_{j}", f"cd{i}_{j}", "cd matrix") for i in (1, 2) for j in (1, 2)],
         plain_record("IMAGEW", "width", "Image width in pixels"),
         plain_record("IMAGEH", "height", "Image height in pixels"),
-        comment_record("WCS header of a plate solution"),
+        comment_record(F.lit("WCS header of a plate solution")),
         end_record(),
     )
 

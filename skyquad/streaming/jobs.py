@@ -78,14 +78,15 @@ def job_states(events: DataFrame, lifetime_ms: int | None = None, lateness: str
     are dropped. Jobs whose last change is ``lifetime_ms`` behind the watermark are purged: they leave the
     state and are reported once more. A job's state holds its events of ``lateness``, no more.
     """
-    timed = events.withWatermark("ts", lateness).select("job_id", "ts", "event", F.unix_micros("ts").alias("us"))
+    timed = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event").withWatermark("ts", lateness).select("job_id", "ts", "event", F.unix_micros("ts").alias("us"))
     found = timed.groupBy("job_id").applyInPandasWithState(_advance(lifetime_ms), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return found.select("job_id", "status", F.timestamp_micros("updated_us").alias("updated"), "n_events", "purged")
 
 
 def with_cancellations(events: DataFrame, requests: DataFrame) -> DataFrame:
     """Job events and a control stream of cancel requests (job_id, ts) as one stream of events."""
-    return events.select("job_id", "ts", "event").unionByName(requests.select("job_id", "ts", F.lit("cancel").alias("event")))
+    named = [d.select("job_id", F.col("ts").cast("timestamp").alias("ts"), e) for d, e in ((events, F.col("event")), (requests, F.lit("cancel").alias("event")))]
+    return named[0].unionByName(named[1])
 
 
 def write_states(states: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -14,7 +14,7 @@ from skyquad.fixtures import CENTER, fixture, pictures
 from skyquad.functions import angles, plate, ratios, sphere
 from skyquad.operators import bandjoin, cells, detect, fit, index, lookup, match, quads
 from skyquad.plans import runs, search, solve
-from skyquad.sinks import results, wcs
+from skyquad.sinks import files, results, wcs
 from skyquad.sources import bench_log, catalog, fits, raster, reader_for, register_reader
 from skyquad.streaming import jobs
 
@@ -277,9 +277,50 @@ def test_wcs_numbers_and_files(spark):
 
 
 def test_result_texts(spark):
-    solved = spark.createDataFrame([(1, 10.0, -5.0, "normal", 3)], "image_id long, ra double, dec double, parity string, n_matches long")
-    assert results.as_json(solved, extended=True, pretty=False).first().json == '{"success":true,"ra":10.0,"dec":-5.0,"parity":"normal","quadMatches":3}'
-    assert [r.text for r in results.as_tsv(solved).orderBy("line").collect()] == ["ra\t10.0", "dec\t-5.0", "parity\tnormal"]
+    rows = [(1, 10.0, -5.0, "normal", 3, 7, True), (2, None, None, None, None, 9, False), (3, None, None, None, None, 4, None)]
+    solved = spark.createDataFrame(rows, "image_id long, ra double, dec double, parity string, n_matches long, stars_detected long, success boolean")
+    found = {r.image_id: r.json for r in results.as_json(solved, extended=True, pretty=False).collect()}
+    assert found[1] == '{"success":true,"ra":10.0,"dec":-5.0,"ra_hms":"0 40 0","dec_dms":"-5 0 0","parity":"normal","starsDetected":7,"quadMatches":3}'
+    assert found[2] == '{"success":false,"starsDetected":9}' and found[3] == '{"success":false,"starsDetected":4}'
+    short = results.as_json(solved.drop("success"), pretty=False).collect()
+    assert [r.json for r in short] == ['{"success":true,"ra":10.0,"dec":-5.0,"ra_hms":"0 40 0","dec_dms":"-5 0 0","parity":"normal"}', '{"success":false}', '{"success":false}']
+    lines = results.as_tsv(solved).orderBy("image_id", "line").collect()
+    assert [r.text for r in lines if r.image_id == 1] == ["success\ttrue", "ra\t10.0", "dec\t-5.0", "ra_hms\t0 40 0", "dec_dms\t-5 0 0", "parity\tnormal"]
+    assert [(r.line, r.text) for r in lines if r.image_id == 2] == [(0, "success\tfalse")]
+
+
+def test_a_file_for_each_picture_and_job(spark, tmp_path):
+    columns = {"width": 1600, "height": 1200, "ra0": 18.0, "dec0": 0.5, "a": 1e-4, "b": 0.0, "c": -0.08, "d": 1e-9, "e": -1e-4, "f": 0.06, "pixels_per_degree": 174.5}
+    solved = plate.add_wcs(spark.range(40).select(F.col("id").alias("image_id"), *[F.lit(v).alias(k) for k, v in columns.items()])).withColumn("crval1", F.col("image_id") * 1.5)
+    files.write_wcs(solved, str(tmp_path / "wcs"))
+    want = {r.image_id: bytes(r.content) for r in wcs.wcs_files(solved).collect()}
+    found = {int(p.parent.name.split("=")[1]): p.read_bytes() for p in (tmp_path / "wcs").glob("image_id=*/part-*")}
+    assert found == want and all(len(c) % 2880 == 0 for c in found.values()) and len(found) == 40
+    files.write_wcs(solved.filter("image_id = 7").withColumn("crval1", F.lit(3e0)), str(tmp_path / "wcs"))  # only its own file is replaced
+    again = {int(p.parent.name.split("=")[1]): p.read_bytes() for p in (tmp_path / "wcs").glob("image_id=*/part-*")}
+    assert len(again) == 40 and {k for k in again if again[k] != want[k]} == {7}
+    files.write_results(solved, str(tmp_path / "tsv"), form="tsv")
+    assert next((tmp_path / "tsv" / "image_id=3").glob("part-*")).read_text().startswith("success\ttrue\nra\t")
+    jobs_ = spark.createDataFrame([("a", "Queued", 1), ("b", "Queued", 2)], "job_id string, status string, n long")
+    files.write_jobs(jobs_, str(tmp_path / "jobs"))
+    files.write_jobs(jobs_.filter("job_id = 'a'").withColumn("status", F.lit("Solving")), str(tmp_path / "jobs"))
+    read = lambda *only: sorted((r.job_id, r.status, r.n) for r in files.read_jobs(spark, str(tmp_path / "jobs"), "status string, n long", *only).collect())
+    assert read() == [("a", "Solving", 1), ("b", "Queued", 2)] and read("b") == [("b", "Queued", 2)]
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    """One task of many breaks, after others have written theirs."""
+
+    def breaks(batches):
+        for batch in batches:
+            if 13 in batch["n"].tolist():
+                raise ValueError("planted")
+            yield batch
+
+    rows = spark.range(0, 40, 1, 8).select(F.col("id").cast("string").alias("job_id"), F.col("id").alias("n")).mapInPandas(breaks, "job_id string, n long")
+    with pytest.raises(Exception, match="planted"):
+        files.write_jobs(rows, str(tmp_path / "jobs"))
+    assert not list(tmp_path.glob("jobs/job_id=*"))
 
 
 def test_bench_output(spark):

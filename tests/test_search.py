@@ -13,6 +13,7 @@ from test_pictures import built  # noqa: F401  a fixture
 from skyquad import storage
 from skyquad.fixtures import CENTER, fixture, pictures
 from skyquad.plans import runs, search, solve
+from skyquad.sinks import results
 
 STAGES = lambda n: 40  # noqa: E731  runs in a stage: several stages for the short plans of tests
 
@@ -43,6 +44,10 @@ def test_the_winner_is_the_same_however_many_stages_run_at_once(spark, built, as
         assert jobs_left(spark) == []
     assert found[1] == found[4] and len(found[1]) == 2
     assert all(abs(r[2] - CENTER[0]) < 0.05 and abs(r[3] - CENTER[1]) < 0.05 for r in found[1])
+    rows = search.result_rows(outcome, stars, sizes, plan)
+    shown = {r.image_id: __import__("json").loads(r.json) for r in results.as_json(rows, extended=True).collect()}
+    assert shown[1]["success"] and shown[1]["starsDetected"] >= shown[1]["starsUsed"] > 8 and shown[1]["searchIterations"] == outcome.areas >= 6 and shown[1]["timeSpent"].startswith("00:0")
+    assert shown[1]["searchRunCenter"].startswith("[") and shown[1]["searchRunRadius"] > 5 and shown[1]["quadMatches"] >= 8 and shown[1]["imageWidth"] == 1600
     for told in heard.values():
         steps = [s for s, _ in told]
         assert steps[:3] == ["quad_formation_started", "quad_formation_finished", "solve_process_started"] and steps[-1] == "solve_process_finished"
