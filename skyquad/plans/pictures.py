@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.base import narrow
 from ..functions.sphere import angular_distance
-from ..operators.detect import detect_stars
+from ..operators.detect import detect_in_pictures
 from ..operators.index import Index
-from ..sources.fits import decode_pixels, fits_pictures
-from ..sources.raster import png_pictures, read_jpeg
-from ..storage import stash
+from ..sources.fits import decode_pixels, fits_pictures, read_star_lists
+from ..sources.raster import jpeg_pictures, png_pictures
+from ..sources.registry import own_readers
+from ..storage import new_folder, stash, stash_observed
 from .runs import row_positions
+from .search import Progress
 from .solve import SOLUTION, SolveOptions, solve_first
 
 Detector = Callable[[DataFrame, DataFrame], DataFrame]
@@ -32,18 +34,47 @@ def image_id(path: Column) -> Column:
 def read_pictures(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row for each FITS, PNG and JPEG file under ``path``, by content: image_id, path, width,
     height, bits, data (samples as ``fits.decode_pixels`` reads them), center and view (from FITS
-    headers, else null), and error where a file can't be read."""
+    headers, else null), and error where a file can't be read. Files of an extension for which a
+    reader was registered (``sources.register_reader``) are that reader's: it gets the path and returns
+    those of these columns that it knows."""
     files = spark.read.format("binaryFile").load(path)
+    own = own_readers()
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    files = files.filter(~extension.isin(*own)) if own else files
     found = fits_pictures(files).drop("headers", "offset")
-    found = found.unionByName(png_pictures(files), allowMissingColumns=True).unionByName(read_jpeg(spark, path), allowMissingColumns=True)
+    for more in (png_pictures(files), jpeg_pictures(spark, path, files)):
+        found = found.unionByName(more, allowMissingColumns=True)
+    for reader in dict.fromkeys(own.values()):
+        rows = reader(spark, path)
+        rows = rows.select(*[c for c in PICTURE if c in rows.columns]).filter(extension.isin(*[e for e, r in own.items() if r is reader]))
+        found = found.unionByName(rows.drop("image_id"), allowMissingColumns=True)
     return found.withColumn("image_id", image_id(F.col("path"))).select(*PICTURE)
 
 
+def put_files(spark: SparkSession, contents: dict[str, bytes]) -> str:
+    """A folder of the shared one with contents that are at hand, by name, as from standard input."""
+    folder = new_folder(spark, "at-hand")
+    for name, content in contents.items():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+    return folder
+
+
 def pictures_from_bytes(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
-    """As ``read_pictures``, of FITS and PNG contents that are at hand (by name), as from standard input."""
-    files = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "path string, content binary")
-    found = fits_pictures(files).drop("headers", "offset").unionByName(png_pictures(files), allowMissingColumns=True)
-    return found.withColumn("image_id", image_id(F.col("path"))).select(*PICTURE)
+    """As ``read_pictures``, of contents that are at hand (by name)."""
+    found = read_pictures(spark, put_files(spark, contents))
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.withColumn("path", name).withColumn("image_id", image_id(F.col("path"))).select(*PICTURE)
+
+
+def star_lists_from_bytes(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
+    """image_id, star_id, x, y, brightness, size of star lists that are at hand (by name)."""
+    stars = read_star_lists(spark, put_files(spark, contents))
+    return stars.withColumn("path", F.element_at(F.split("path", "/"), -1)).withColumn("image_id", image_id(F.col("path"))).drop("path")
 
 
 def dataset_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -76,23 +107,32 @@ def hinted_runs(pictures: DataFrame, search_radius: float = 10.0) -> DataFrame:
     return found.select("image_id", "run_id", "ra", "dec", "radius", F.greatest("distance", F.lit(0e0)).alias("distance"))
 
 
-def picture_stars(pictures: DataFrame, detector: Detector = detect_stars) -> DataFrame:
+def picture_stars(pictures: DataFrame, detector: Detector | None = None) -> DataFrame:
     """Stars of all readable pictures. ``detector``: any function of pixels (image_id, x, y, v) and
-    sizes (image_id, image_width, image_height) to image_id, star_id, x, y, brightness, size."""
+    sizes (image_id, image_width, image_height) to image_id, star_id, x, y, brightness, size; without
+    one, pictures are decoded once and searched where they are decoded."""
     good = pictures.filter("error is null")
+    if detector is None:
+        return stash(detect_in_pictures(good), "stars")
     sizes = good.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
     return stash(detector(decode_pixels(good), sizes), "stars")
 
 
 def solve_pictures(
     pictures: DataFrame, index: Index, options: SolveOptions = SolveOptions(), search_radius: float = 10.0,  # noqa: B008
-    fallback: DataFrame | None = None, detector: Detector = detect_stars,
+    fallback: DataFrame | None = None, detector: Detector | None = None, progress: Progress | None = None,
 ) -> DataFrame:
-    """A row for each picture: image_id, path, status (Success, Failure, Error), error, n_stars and the
+    """``progress`` hears of the steps before quads (``search.STEPS``). A row for each picture: image_id, path, status (Success, Failure, Error), error, n_stars and the
     solution's columns. ``fallback``: run_id, ra, dec, radius of a plan for pictures without a hint, or
     without success there."""
-    pictures = stash(pictures, "pictures")
+    tell = progress or (lambda step, facts: None)
+    tell("image_read_started", {})
+    read = stash_observed(pictures, "pictures", errors=F.count("error"))
+    pictures = read.table
+    tell("image_read_finished", {"pictures": read.facts["n"], "errors": read.facts["errors"]})
+    tell("star_detection_started", {})
     stars = picture_stars(pictures, detector)
+    tell("star_detection_finished", {})
     sizes = pictures.filter("error is null").select("image_id", "width", "height")
     solved = stash(solve_first(stars, sizes, index, hinted_runs(pictures.filter("error is null"), search_radius), options), "solved")
     if fallback is not None:

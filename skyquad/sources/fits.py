@@ -117,12 +117,17 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
     return fits_pictures(spark.read.format("binaryFile").load(path))
 
 
+def samples(data, bits: int) -> np.ndarray:
+    """Big-endian samples of 8, 16 or 32 bits as whole numbers; signed ones are moved up so that the least is 0."""
+    values = np.frombuffer(data, {8: ">u1", 16: ">i2", 32: ">i4"}[bits]).astype(np.int64)
+    values += {8: 0, 16: 1 << 15, 32: 1 << 31}[bits]
+    return values
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Big-endian samples; signed ones are moved up so that the least is 0."""
     for batch in batches:
         for image_id, width, bits, data in zip(*[batch.column(c) for c in ("image_id", "width", "bits", "data")], strict=True):
-            values = np.frombuffer(data.as_buffer(), {8: ">u1", 16: ">i2", 32: ">i4"}[bits.as_py()]).astype(np.int64)
-            values += {8: 0, 16: 1 << 15, 32: 1 << 31}[bits.as_py()]
+            values = samples(data.as_buffer(), bits.as_py())
             wide = width.as_py()
             for at in range(0, len(values), 1 << 18):
                 v = values[at : at + (1 << 18)]

@@ -25,45 +25,49 @@ def image_format(content: Value) -> Column:
 
 
 def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
-    """Undoes the five PNG row filters. Three of them are sums over whole rows; in the other two each
-    byte needs the one before it."""
+    """Undoes the five PNG row filters. Three of them are sums over whole rows; where a picture has any of the
+    other two, in which a byte needs those to its left, above and between, it is undone by diagonals."""
     rows = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
-    out = np.zeros((height, stride), dtype=np.uint8)
-    above = np.zeros(stride, dtype=np.uint8)
+    kinds, wide = rows[:, 0], -(-stride // step)
+    if kinds.size and kinds.max() > 4:
+        raise ValueError(f"unknown row filter {kinds.max()}")
+    lines = np.zeros((height, wide * step), dtype=np.uint8)
+    lines[:, :stride] = rows[:, 1:]
+    if np.isin(kinds, (3, 4)).any():
+        return _by_diagonals(kinds, lines.reshape(height, wide, step)).reshape(height, -1)[:, :stride]
+    above = np.zeros(wide * step, dtype=np.uint8)
     for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:]
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            wide = -(-stride // step) * step
-            padded = np.zeros(wide, dtype=np.uint8)
-            padded[:stride] = line
-            out[y] = np.cumsum(padded.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[:stride]
-        elif kind == 2:
-            out[y] = line + above
-        elif kind in (3, 4):
-            out[y] = _chained(line.tolist(), above.tolist(), step, kind == 3)
-        else:
-            raise ValueError(f"unknown row filter {kind}")
-        above = out[y]
-    return out
-
-
-def _chained(line: list[int], above: list[int], step: int, average: bool) -> list[int]:
-    """The filters by average, and by the nearest of left, up and corner."""
-    here = [0] * step + line
-    up_row = [0] * step + above
-    for x in range(step, len(here)):
-        left, up = here[x - step], up_row[x]
-        if average:
-            guess = (left + up) >> 1
-        else:
-            corner = up_row[x - step]
-            by_left, by_up = abs(up - corner), abs(left - corner)
-            by_corner = abs(left + up - 2 * corner)
-            guess = left if by_left <= by_up and by_left <= by_corner else up if by_up <= by_corner else corner
-        here[x] = (here[x] + guess) & 255
-    return here[step:]
+        if kinds[y] == 1:
+            lines[y] = np.cumsum(lines[y].reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        elif kinds[y] == 2:
+            lines[y] += above
+        above = lines[y]
+    return lines[:, :stride]
+
+
+def _by_diagonals(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """All bytes at which column and row have one sum need only those of the two sums before: they
+    are undone together. Bytes of a diagonal lie ``wide - 1`` apart."""
+    height, wide, step = lines.shape
+    if wide == 1:  # one column is one more with nothing to its right
+        return _by_diagonals(kinds, np.concatenate([lines, np.zeros_like(lines)], axis=1))[:, :1]
+    flat, out = lines.reshape(-1, step), np.zeros((height * wide, step), dtype=np.uint8)
+    kind = kinds.astype(np.int16)[:, None]
+    by = [kind == k for k in range(5)]
+    # Of the diagonals before: a value for each row, behind one of zeros for what is above the first.
+    before, older = np.zeros((height + 1, step), dtype=np.int16), np.zeros((height + 1, step), dtype=np.int16)
+    for d in range(wide + height - 1):
+        top, end = max(0, d - wide + 1), min(height, d + 1)
+        at = slice(d + top * (wide - 1), d + (end - 1) * (wide - 1) + 1, wide - 1)
+        left, up, corner = before[top + 1 : end + 1], before[top:end], older[top:end]
+        by_left, by_up, by_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+        guess = np.select([b[top:end] for b in by[1:]], [left, up, (left + up) >> 1, nearest], 0)
+        now = older.copy()
+        now[top + 1 : end + 1] = (flat[at] + guess) & 255
+        out[at] = now[top + 1 : end + 1]
+        before, older = now, before
+    return out.reshape(height, wide, step)
 
 
 #: Fixed values of interlaced PNG: first column and row of each pass, and the steps between them.
@@ -148,9 +152,35 @@ def _grays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([width], pa.int64()), pa.array([height], pa.int64()), pa.array([8], pa.int32()), pa.array([gray.astype(np.uint8).tobytes()], pa.binary()), pa.array([None], pa.string())], ["path", "width", "height", "bits", "data", "error"])
 
 
-def read_jpeg(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _jpegs(images: DataFrame) -> DataFrame:
     """Spark's own image source decodes the files; those it can't read have an error."""
-    images = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").load(path)
-    good = images.filter("image.nChannels > 0").select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInArrow(_grays, _PICTURE)
-    bad = images.filter("image.nChannels <= 0").select(F.col("image.origin").alias("path"), F.lit("JPEG: not readable").alias("error"))
+    images = images.select(plain_path(F.col("image.origin")).alias("origin"), "image.width", "image.height", "image.nChannels", "image.data")
+    good = images.filter("nChannels > 0").mapInArrow(_grays, _PICTURE)
+    bad = images.filter("nChannels <= 0").select(F.col("origin").alias("path"), F.lit("JPEG: not readable").alias("error"))
     return good.unionByName(bad, allowMissingColumns=True)
+
+
+def plain_path(path: Column) -> Column:
+    """Local paths with one slash, as file sources name them."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def read_jpeg(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """By name."""
+    return _jpegs(spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").load(path))
+
+
+def jpeg_pictures(spark: SparkSession, path: str | list[str], files: DataFrame) -> DataFrame:
+    """By content: those of ``files`` (path, content) that are JPEG, whatever their names. Files of other
+    names are decoded only if there are any."""
+    named = F.lower("path").rlike(r"\.jpe?g$")
+    found = read_jpeg(spark, path)
+    kinds = files.select(plain_path(F.col("path")).alias("path"), image_format("content").alias("kind"))
+    # A file called JPEG that is something else is that, or nothing.
+    found = found.join(kinds.filter("kind in ('png', 'fits')"), "path", "left_anti")
+    others = kinds.filter((F.col("kind") == "jpeg") & ~named).select("path")
+    if others.isEmpty():
+        return found
+    images = spark.read.format("image").load(path)
+    wanted = images.join(others, plain_path(F.col("image.origin")) == others["path"], "left_semi")
+    return found.unionByName(_jpegs(wanted))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Reader = Callable[[SparkSession, str], DataFrame]
 _READERS: dict[str, Reader] = {}
+_OWN: set[str] = set()
 
 
 def register_reader(reader: Reader, *extensions: str) -> None:
@@ -17,6 +18,19 @@ def register_reader(reader: Reader, *extensions: str) -> None:
         if e in _READERS:
             raise ValueError(f"there is a reader for .{e} already")
         _READERS[e] = reader
+        _OWN.add(e)
+
+
+def unregister_reader(*extensions: str) -> None:
+    for e in extensions:
+        _READERS.pop(e.lower().lstrip("."), None)
+        _OWN.discard(e.lower().lstrip("."))
+
+
+def own_readers() -> dict[str, Reader]:
+    """Readers that were registered, by extension, without those for FITS, PNG and JPEG that come with
+    the library."""
+    return {e: r for e, r in _READERS.items() if e in _OWN}
 
 
 def reader_for(path: str) -> Reader:

@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.detect import detect_stars
 from ..operators.index import Index
 from ..plans.pictures import Detector, hinted_runs, picture_stars, read_pictures
 from ..plans.search import Outcome, search_staged
@@ -84,7 +83,7 @@ def create(spark: SparkSession, root: str) -> Folders:
 
 
 def prepare_jobs(
-    spark: SparkSession, pictures: str, folders: Folders, at_once: int = 5, detector: Detector = detect_stars, read: Callable[[SparkSession, list[str]], DataFrame] = read_pictures,
+    spark: SparkSession, pictures: str, folders: Folders, at_once: int = 5, detector: Detector | None = None, read: Callable[[SparkSession, list[str]], DataFrame] = read_pictures,
 ) -> StreamingQuery:
     """Files below ``pictures``, ``at_once`` of them in a micro-batch, to jobs. ``read``: paths to pictures."""
 
