@@ -7,8 +7,9 @@ bounded by the sky grid (406 cells, some passes, up to 144 subcells), never by t
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,8 +139,14 @@ def build_index(stars: DataFrame, options: IndexOptions = IndexOptions()) -> Ind
 def write_index(stars: DataFrame, folder: str, options: IndexOptions = IndexOptions(), resume: bool = True) -> Index:  # noqa: B008
     """Build and write the index. With ``resume``, cells that ``folder`` has are not built again;
     a cell counts as done when its part of the cell table is there, which is written last. Every table
-    is partitioned by cell, and a cell's part replaces what a build that failed has left of it."""
+    is partitioned by cell, and a cell's part replaces what a build that failed has left of it. The options
+    are stored with the index: going on with others is an error, as cells of both kinds would mix.
+    Without ``resume`` an index that is there is removed first."""
     spark = stars.sparkSession
+    if not resume:
+        for name in ("cells", "quads", "passes", "subcells", "options"):
+            _remove(spark, f"{folder}/{name}")
+    _keep_options(spark, folder, options)
     done = finished_cells(spark, folder) if resume else None
     todo = assign_cells(stars)
     if done is not None:
@@ -156,6 +163,22 @@ def write_index(stars: DataFrame, folder: str, options: IndexOptions = IndexOpti
     return read_index(spark, folder)
 
 
+def _keep_options(spark: SparkSession, folder: str, options: IndexOptions) -> None:
+    """Store the options of a new index; of one that is there, they must be the same."""
+    mine = json.dumps(asdict(options), sort_keys=True)
+    if _exists(spark, f"{folder}/options/_SUCCESS"):
+        stored = spark.read.text(f"{folder}/options").first()[0]
+        if stored != mine:
+            raise ValueError(f"the index in {folder} was begun with other options: {stored}")
+    else:
+        spark.createDataFrame([(mine,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/options")
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _schema(spark: SparkSession, name: str) -> StructType:
     """Of an index table, from its derivation: a folder without any cell has no file to tell it."""
     quads = catalog_quads(select_pass_stars(spark.createDataFrame([], "star_id long, ra double, dec double, mag double"), IndexOptions()))

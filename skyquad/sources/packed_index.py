@@ -29,7 +29,7 @@ from ..operators.index import Index
 INDEX_VERSION, DATA_VERSION, RECORD = 1, 3, 18
 _SUBCELLS = "path string, little boolean, file string, cell_id string, pass int, density float, divisions int, subcell int, center_ra float, center_dec float, data_offset long, n_quads long"
 _QUADS = "cell_id string, pass int, subcell int, pos long, r0 float, r1 float, r2 float, r3 float, r4 float, largest float, mid_ra float, mid_dec float"
-_PASSES_APART = 1000  # numbers between the passes of two index files
+PASSES_APART = 1000  # numbers between the passes of two index files
 
 
 def descriptors(content: bytes) -> Iterator[tuple]:
@@ -61,16 +61,19 @@ def descriptors(content: bytes) -> Iterator[tuple]:
                 offset += size
 
 
-def records(data: bytes, little: bool = True) -> dict[str, np.ndarray]:
+def records(data: bytes, little: bool = True, only: str | None = None) -> dict[str, np.ndarray]:
     """r0..r4, largest, mid_ra, mid_dec of packed quads: six bytes of ratios, lowest bits first in any byte
-    order, and three floats."""
+    order, and three floats; or one of the ratios."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, RECORD)
     packed = (rows[:, :6].astype(np.int64) << (8 * np.arange(6))).sum(axis=1)
     out, shift = {}, 0
     for name, bits in zip(NAMES, BITS, strict=True):
         top = (1 << bits) - 1
-        out[name] = ((packed >> shift) & top).astype(np.float32) * np.float32(1.0 / top)
+        if only in (None, name):
+            out[name] = ((packed >> shift) & top).astype(np.float32) * np.float32(1.0 / top)
         shift += bits
+    if only is not None:
+        return out
     floats = np.ascontiguousarray(rows[:, 6:]).view("<f4" if little else ">f4").astype(np.float32)
     return out | {"largest": floats[:, 0], "mid_ra": floats[:, 1], "mid_dec": floats[:, 2]}
 
@@ -103,14 +106,16 @@ def _read_quads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([own[c] if c in own else pa.array(found[c]) for c in _names(_QUADS)], _names(_QUADS))
 
 
-def read_packed_index(spark: SparkSession, folder: str) -> Index:
+def read_packed_index(spark: SparkSession, folder: str, by_ranges: bool = False) -> Index:
     """All packed indexes of a folder as one: passes of several index files make one ladder. The folder
-    must hold an index file; a cell file that is named but missing is an error."""
+    must hold an index file; a cell file that is named but missing is an error. ``by_ranges``: quads are
+    read by ``packed_source``, so that a search opens only the cells and passes of its area; the
+    folder must then be one that pyarrow can open."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.qdbindex").load(folder)
     paths = sorted(r.path for r in found.select("path").collect())  # a handful of index files
     if not paths:
         raise ValueError(f"no packed index in {folder}")
-    number = F.create_map(*[F.lit(v) for i, p in enumerate(paths) for v in (p, i * _PASSES_APART)])
+    number = F.create_map(*[F.lit(v) for i, p in enumerate(paths) for v in (p, i * PASSES_APART)])
     cells = found.select("path", "content").mapInArrow(_read_descriptors, _SUBCELLS)
     cells = cells.withColumn("pass", (F.col("pass") + F.element_at(number, F.col("path"))).cast("int"))
     own = ["little", "file", "cell_id", "pass", "subcell", "data_offset", "n_quads"]
@@ -120,7 +125,14 @@ def read_packed_index(spark: SparkSession, folder: str) -> Index:
     there = {r.file for r in files.select("file").collect()}
     if named - there:
         raise ValueError(f"cell files are missing: {', '.join(sorted(named - there)[:5])}")
-    quads = files.join(parts, "file").select("content", "parts").mapInArrow(_read_quads, _QUADS)
+    if by_ranges:
+        from .packed_source import PackedQuads
+
+        spark.dataSource.register(PackedQuads)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        quads = spark.read.format("packed_quads").load(folder)
+    else:
+        quads = files.join(parts, "file").select("content", "parts").mapInArrow(_read_quads, _QUADS)
     subcells = cells.select("cell_id", "pass", "subcell", "center_ra", "center_dec", "n_quads")
     before = Window.partitionBy("cell_id").orderBy("pass", "subcell").rowsBetween(Window.unboundedPreceding, 0)
     subcells = subcells.withColumn("first_row", F.sum("n_quads").over(before) - F.col("n_quads"))

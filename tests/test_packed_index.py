@@ -56,6 +56,36 @@ def test_packed_files_are_an_index(spark, tmp_path, order):
     assert found.subcells.filter("cell_id = 'b09c01'").count() == 12 and all(r.avg_subcell_radius > 0 for r in found.passes.collect())
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_only_the_ranges_of_a_search_are_read(spark, tmp_path, order):
+    """The same rows as by whole files; of other cells and passes not a byte, even if it isn't there."""
+    rng = np.random.default_rng(4)
+    quad = lambda: (rng.random(5), rng.random(3) * 90)
+    passes = lambda: [(2.5 * (p + 1), 2, [(10.0 + i % 2, -1.0 + i // 2, [quad() for _ in range(rng.integers(0, 40))]) for i in range(4)]) for p in range(3)]
+    cells = [(f"c{c}.qdb", 9, c, passes()) for c in range(5)]
+    write_index(tmp_path, "one.qdbindex", cells, order)
+    write_index(tmp_path, "two.qdbindex", [("d.qdb", 9, 1, passes())], order)
+    folder = f"file://{tmp_path}"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(read_packed_index(spark, folder).quads)
+    found = read_packed_index(spark, folder, by_ranges=True)
+    assert rows(found.quads) == whole and len(whole) > 300
+    asked = found.quads.filter("cell_id = 'b09c01' and pass in (1, 1000) and r0 > 0.3 and r0 < 0.6")
+    want = [r for r in whole if r[0] == "b09c01" and r[1] in (1, 1000) and 0.3 < r[4] < 0.6]
+    assert rows(asked) == want and want
+    assert asked.rdd.getNumPartitions() == 2 and found.quads.rdd.getNumPartitions() == 18
+    assert rows(found.quads.filter("cell_id in ('b09c02', 'b09c03') and pass >= 1 and pos < 5")) == [r for r in whole if r[0] in ("b09c02", "b09c03") and r[1] >= 1 and r[3] < 5]
+    assert found.quads.filter("cell_id = 'nowhere'").count() == 0
+    # Other cells' files and other passes' bytes are spoilt: nothing of them is opened.
+    for name in ("c0.qdb", "c2.qdb", "c3.qdb", "c4.qdb"):
+        (tmp_path / name).unlink()
+    size = sum(18 * len(q) for _, _, subs in cells[1][3][:2] for _, _, q in subs) + len(b"SOMETHING") + 4
+    (tmp_path / "c1.qdb").write_bytes((tmp_path / "c1.qdb").read_bytes()[:size])
+    assert rows(asked) == want
+    with pytest.raises(Exception, match="too short"):
+        found.quads.filter("cell_id = 'b09c01' and pass = 2").collect()
+
+
 def test_other_files_are_refused(spark, tmp_path):
     for bad in (b"", b"NOTHING", b"SOMETHINGINDEX\2\1"):
         with pytest.raises(ValueError):

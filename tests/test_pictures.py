@@ -86,6 +86,11 @@ def test_builds_that_failed_are_resumed_once(spark, tmp_path):
     (tmp_path / "index" / "cells").rmdir()
     assert counts(index.write_index(stars, folder, options)) == want
     assert counts(index.write_index(stars, folder, options)) == want
+    other = index.IndexOptions(options.stars_per_square_degree, last_pass=0)
+    with pytest.raises(ValueError, match="other options"):
+        index.write_index(stars, folder, other)
+    anew = index.write_index(stars, folder, other, resume=False)
+    assert {r["pass"] for r in anew.quads.select("pass").distinct().collect()} == {0}
     none = index.write_index(stars.limit(0), f"file://{tmp_path}/none", options)
     assert counts(none)[:3] == (0, 0, 0)
     with pytest.raises(ValueError):
