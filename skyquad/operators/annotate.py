@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.angles import position_label
 from ..functions.base import Value, col
 from ..functions.plate import sky_to_pixel
 from ..functions.sphere import angular_distance
@@ -91,6 +92,57 @@ def grid_lines(points: DataFrame) -> DataFrame:
     return points.groupBy("image_id", "line", "line_value").agg(spots.alias("points"))
 
 
+def quad_outlines(quads: DataFrame, stars: DataFrame) -> DataFrame:
+    """The four sides of each picture quad: image_id, quad_id, side, x1, y1, x2, y2. ``quads``: image_id,
+    quad_id, mid_x, mid_y, star_ids; ``stars``: image_id, star_id, x, y. Corners go round the middle by their
+    angle, so that sides don't cross."""
+    corners = quads.select("image_id", "quad_id", "mid_x", "mid_y", F.explode("star_ids").alias("star_id")).join(stars.select("image_id", "star_id", "x", "y"), ["image_id", "star_id"])
+    angle = F.atan2(F.col("y") - F.col("mid_y"), F.col("x") - F.col("mid_x"))
+    around = corners.groupBy("image_id", "quad_id").agg(F.array_sort(F.collect_list(F.struct(angle.alias("angle"), "star_id", "x", "y"))).alias("c"))
+    n = F.size("c")
+    side = lambda p, i: F.struct(i.alias("side"), p["x"].alias("x1"), p["y"].alias("y1"), F.get("c", (i + 1) % n)["x"].alias("x2"), F.get("c", (i + 1) % n)["y"].alias("y2"))
+    return around.select("image_id", "quad_id", F.explode(F.transform("c", side)).alias("s")).select("image_id", "quad_id", "s.*")
+
+
+def match_marks(matches: DataFrame, quads: DataFrame) -> DataFrame:
+    """What stands at the middle of each matched quad: its text (scale and place in the sky) and, for each
+    ratio, a level from 0.1 to 0.9 that rings are colored by."""
+    levels = F.array(*[F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.round(F.col(f"r{i}").cast("double"), 1))) for i in range(5)])
+    own = quads.select("image_id", "quad_id", "mid_x", "mid_y", levels.alias("levels"))
+    text = F.concat(F.round("scale_ratio", 1).cast("string"), F.lit(" | "), position_label("mid_ra", "mid_dec", 3))
+    return matches.select("image_id", "run_id", "quad_id", text.alias("text")).join(own, ["image_id", "quad_id"])
+
+
+def star_marks(stars: DataFrame, radius: float = 8.0) -> DataFrame:
+    """A circle around each star."""
+    return stars.select("image_id", "star_id", "x", "y", F.lit(float(radius)).alias("radius"))
+
+
+def crosshairs(pictures: DataFrame) -> DataFrame:
+    """The two lines through the middle of each picture: image_id, line, x1, y1, x2, y2."""
+    right, bottom, zero = (F.col("width") - 1).cast("double"), (F.col("height") - 1).cast("double"), F.lit(0e0)
+    lines = [("upright", right / 2, zero, right / 2, bottom), ("level", zero, bottom / 2, right, bottom / 2)]
+    every = F.array(*[F.struct(F.lit(n).alias("line"), *[v.alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), at, strict=True)]) for n, *at in lines])
+    return pictures.select("image_id", F.explode(every).alias("l")).select("image_id", "l.*")
+
+
+def clipped(segments: DataFrame) -> DataFrame:
+    """Segments (x1, y1, x2, y2, width, height) cut to the frame from 0 to width and height; those outside
+    are left out. A segment's points are x1 + t (x2 - x1): each edge bounds t from one side."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    edges = [(-dx, F.col("x1")), (dx, F.col("width") - F.col("x1")), (-dy, F.col("y1")), (dy, F.col("height") - F.col("y1"))]
+    inside = F.lit(True)
+    enters, leaves = [F.lit(0e0)], [F.lit(1e0)]
+    for p, q in edges:
+        inside = inside & ((p != 0) | (q >= 0))
+        at = F.try_divide(q, p)
+        enters.append(F.when(p < 0, at).otherwise(0e0))
+        leaves.append(F.when(p > 0, at).otherwise(1e0))
+    found = segments.withColumns({"_in": F.greatest(*enters), "_out": F.least(*leaves), "_ok": inside}).filter("_ok and _in <= _out")
+    at = {f"{c}{k}": F.col(f"{c}1") + F.col(t) * (F.col(f"{c}2") - F.col(f"{c}1")) for c in "xy" for k, t in ((1, "_in"), (2, "_out"))}
+    return found.withColumns(at).drop("_in", "_out", "_ok")
+
+
 def line_intersection(s1: tuple, e1: tuple, s2: tuple, e2: tuple) -> tuple[Column, Column]:
     """Crossing of two lines given by two points each; null where they are parallel."""
     a1, b1 = e1[1] - s1[1], s1[0] - e1[0]

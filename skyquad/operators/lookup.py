@@ -6,12 +6,14 @@ meets the runs through cell and pass, an equi-join, and is then cut by distance.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import Value, col
 from ..functions.ratios import NAMES
-from ..functions.sphere import angular_distance
+from ..functions.sphere import angular_distance, project_to_view
 from .cells import runs_to_cells
 
 QUAD_KEY = [*NAMES, "largest"]
@@ -85,3 +87,24 @@ def area_scan(quads: DataFrame, subcells: DataFrame, run_passes: DataFrame) -> D
     """Distinct quads of each run's area without regard to any picture."""
     found = quads_in_area(quads, subcells, run_passes)
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("image_id", "run_id", *QUAD_KEY).orderBy(*_ORDER))).filter("_n = 1").drop("_n")
+
+
+@dataclass(frozen=True)
+class View:
+    """A simulated camera: its chip, optics and rotation."""
+
+    width: int = 1600
+    height: int = 1200
+    pixel_microns: float = 3.8
+    binning: int = 1
+    focal_mm: float = 135.0
+    rotation: float = 0.0
+
+
+def quads_in_view(quads: DataFrame, subcells: DataFrame, run_passes: DataFrame, view: View) -> DataFrame:
+    """The quads of each run's area as a camera that points at the run's center sees their middles: x and y,
+    and only those inside the frame, its edges included."""
+    lits = [F.lit(v) for v in (view.rotation, view.width, view.height, view.pixel_microns, view.binning, view.focal_mm)]
+    x, y = project_to_view(F.col("mid_ra").cast("double"), F.col("mid_dec").cast("double"), F.col("ra"), F.col("dec"), *lits)
+    seen = area_scan(quads, subcells, run_passes).withColumns({"x": x, "y": y})
+    return seen.filter(F.col("x").between(0, view.width) & F.col("y").between(0, view.height))

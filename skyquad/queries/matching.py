@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import HEIGHT, WIDTH, pictures, with_sql
-from ..operators import bandjoin, fit, lookup, match, quads
+from ..operators import annotate, bandjoin, fit, lookup, match, quads
 from ..plans import solve
 from .base import Registry, circle_sql, dist, fixture, plane_x, plane_y, r6
 from .catalog import _DOUBLES, _PAIRS, as_doubles, fixture_index, index_ctes
@@ -272,6 +272,27 @@ def sol_17(spark, sf_dir):
     return lookup.area_scan(built.quads, built.subcells, passes).groupBy("run_id", "cell_id", "pass").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CHIP = {n: f"({n}/(2e0*atan(3.8e0*2e0*{n}/1e3/(2e0*135e0))))" for n in (f"{WIDTH}e0", f"{HEIGHT}e0")}
+_SEEN_X = f"{WIDTH}e0 - ({_CHIP[f'{WIDTH}e0']}*{plane_x('CAST(mid_ra AS DOUBLE)', 'CAST(mid_dec AS DOUBLE)', 's_ra', 's_dec')} + {WIDTH}e0/2)"
+_SEEN_Y = f"{_CHIP[f'{HEIGHT}e0']}*{plane_y('CAST(mid_ra AS DOUBLE)', 'CAST(mid_dec AS DOUBLE)', 's_ra', 's_dec')} + {HEIGHT}e0/2"
+
+
+@A("sol_17_quads_in_view", _area_ctes() + f""", scanned AS (SELECT r.run_id, s_ra, s_dec, c.* FROM quads c JOIN run_subcells r ON r.cell_id = c.cell_id AND r.pass = c.pass AND r.subcell = c.subcell WHERE {_MID} < s_radius QUALIFY row_number() OVER (PARTITION BY r.image_id, r.run_id, r0, r1, r2, r3, r4, largest ORDER BY r.offset_pos, c.cell_id, c.pass, c.subcell, c.pos) = 1),
+    seen AS (SELECT *, {_SEEN_X} AS x, {_SEEN_Y} AS y FROM scanned) SELECT run_id, cell_id, pass, CAST(subcell AS INTEGER) AS subcell, pos, round(x, 3) AS x, round(y, 3) AS y FROM seen WHERE x BETWEEN 0 AND {WIDTH} AND y BETWEEN 0 AND {HEIGHT}""")
+def sol_17_seen(spark, sf_dir):
+    """What a camera that points at each run's center sees of the index."""
+    passes, built, _ = run_passes(spark, sf_dir)
+    found = lookup.quads_in_view(built.quads, built.subcells, passes, lookup.View(WIDTH, HEIGHT, 3.8, 2, 135.0))
+    return found.select("run_id", "cell_id", "pass", "subcell", "pos", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@A("sol_14_quad_outlines", _picture_ctes(with_sql("image_stars")) + """, corners AS (SELECT q.image_id, q.quad_id, s.star_id, s.x, s.y, atan2(s.y - mid_y, s.x - mid_x) AS angle FROM image_quads q, LATERAL (SELECT unnest(string_split(q.star_set, ',')) AS id) u JOIN image_stars s ON s.image_id = q.image_id AND s.star_id = CAST(u.id AS BIGINT)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY image_id, quad_id ORDER BY angle, star_id) - 1 AS side FROM corners)
+    SELECT a.image_id, a.quad_id, CAST(a.side AS INTEGER) AS side, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM placed a JOIN placed b ON b.image_id = a.image_id AND b.quad_id = a.quad_id AND b.side = (a.side + 1) % 4""")
+def sol_14_outlines(spark, sf_dir):
+    return annotate.quad_outlines(_image_quads(spark, sf_dir), fixture(spark, sf_dir, "image_stars"))
+
+
 # Robust statistics over planted matches.
 _M = with_sql("matches")
 _GATED = _M + """,
