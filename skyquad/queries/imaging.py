@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..fixtures import with_sql
 from ..operators import detect
-from ..storage import stash
+from ..storage import new_folder, stash
+from ..streaming import queue
 from .base import Registry, fixture, r6
 
 REGISTRY = Registry()
@@ -131,3 +132,48 @@ def sol_12(spark, sf_dir):
 def prj_01(spark, sf_dir):
     found = detect.as_stars(measured(spark, sf_dir))
     return found.withColumn("size", r6(F.col("size")))
+
+
+def pictures_of(found):
+    """A row per picture with its samples as 16-bit values, as picture files give them."""
+    order = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    rows = found.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), order.alias("s"))
+    return rows.select("image_id", "width", "height", F.lit(16).alias("bits"), F.unhex(F.array_join(F.transform("s", lambda p: _big_endian(p["v"])), "")).alias("data"))
+
+
+def _big_endian(v):
+    """A sample, moved down as signed ones are, in hexadecimal digits."""
+    return F.lpad(F.hex((v + 32768) % 65536), 4, "0")
+
+
+@A("sol_12_detect_in_pictures", _MEASURED + f" SELECT image_id, component AS star_id, x0 + (x1 - x0)*0.5e0 AS x, y0 + (y1 - y0)*0.5e0 AS y, brightness FROM measured WHERE {_STAR}")
+def sol_12_in_pictures(spark, sf_dir):
+    """Each picture decoded once, and labelled where it is decoded."""
+    found = pictures_of(pixels(spark, sf_dir))
+    shape = lambda width, height: detect.star_shape(F.lit(640), F.lit(640))
+    return detect.detect_in_pictures(found, OFFSET, shape).select("image_id", "star_id", "x", "y", "brightness")
+
+
+def _read_texts(spark, paths):
+    """A picture format of a line of text, for want of a writer of binary files: width, height, samples."""
+    rows = spark.read.format("binaryFile").load(paths)
+    parts = F.split(F.btrim(F.decode("content", "UTF-8"), F.lit(" \n")), "[ \n]+")
+    numbers = F.transform(F.slice(parts, F.lit(3), F.size(parts)), lambda v: _big_endian(v.cast("long")))
+    found = rows.select("path", parts[0].cast("long").alias("width"), parts[1].cast("long").alias("height"), F.lit(16).alias("bits"), F.unhex(F.array_join(numbers, "")).alias("data"))
+    none = {"center": "struct<ra: double, dec: double>", "view": "struct<width_deg: double, height_deg: double>", "error": "string"}
+    return found.withColumns({k: F.lit(None).cast(t) for k, t in none.items()} | {"image_id": F.xxhash64("path")})
+
+
+@A("str_07_prepared_jobs", _MEASURED + f", pics AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pixels GROUP BY image_id), counts AS (SELECT image_id, count(*) AS n FROM measured WHERE {_STAR} GROUP BY image_id) SELECT p.image_id, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, coalesce(n, 0) AS n_stars FROM pics p LEFT JOIN counts c ON c.image_id = p.image_id")
+def str_07(spark, sf_dir):
+    """Every picture is written as a file, found by the stream, and becomes a job with its stars counted."""
+    order = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    texts = pixels(spark, sf_dir).groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), order.alias("s"))
+    texts = texts.select("image_id", F.concat_ws(" ", "w", "h", F.array_join(F.transform("s", lambda p: p["v"].cast("string")), " ")).alias("value"))
+    inbox = new_folder(spark, "inbox")
+    texts.repartition("image_id").write.partitionBy("image_id").text(inbox)
+    folders = queue.create(spark, new_folder(spark, "queue"))
+    detector = lambda px, sizes: detect.detect_stars(px, sizes.withColumns({"image_width": F.lit(640), "image_height": F.lit(640)}), OFFSET)
+    queue.prepare_jobs(spark, f"{inbox}/*", folders, 100, detector, _read_texts).awaitTermination()
+    jobs = queue.prepared(spark, folders)
+    return jobs.select(F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "width", "height", "n_stars")

@@ -226,6 +226,11 @@ def follow(spark: SparkSession, folders: Folders, lifetime_ms: int | None = None
     return jobs.write_states(jobs.job_states(events, lifetime_ms, lateness), folders.of("states"), folders.checkpoint("states"))
 
 
+def prepared(spark: SparkSession, folders: Folders) -> DataFrame:
+    """A row per file that has arrived."""
+    return _read(spark, _JOBS, folders.of("jobs"))
+
+
 def results(spark: SparkSession, folders: Folders) -> DataFrame:
     """A row per job that was tried, and the rows of files that couldn't be read."""
     broken = _read(spark, _JOBS, folders.of("jobs")).filter("error is not null").select("image_id", "job_id", F.lit("Error").alias("status"), "error")
