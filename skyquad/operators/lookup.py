@@ -48,13 +48,16 @@ def subcell_in_range() -> Column:
     return near & (angular_distance(F.col("center_ra").cast("double"), F.col("center_dec").cast("double"), "ra", "dec") < reach)
 
 
-def in_slice(pos: Value, n: Value, slices: int, slice_: int) -> Column:
-    """Contiguous share ``slice_`` of ``slices`` of a subcell's quads; the last one takes the rest."""
-    if slices <= 1:
-        return F.lit(True)
+def slice_number(pos: Value, n: Value, slices: int) -> Column:
+    """The contiguous share of a subcell's ``n`` quads that position ``pos`` is in; the last one takes the rest."""
     size = F.floor(col(n) / slices)
-    inside = col(pos) >= size * slice_
-    return inside if slice_ == slices - 1 else inside & (col(pos) < size * (slice_ + 1))
+    last = F.lit(slices - 1).cast("long")
+    return F.when(size == 0, last).otherwise(F.least(last, F.floor(col(pos) / F.greatest(size, F.lit(1))))).cast("int")
+
+
+def in_slice(pos: Value, n: Value, slices: int, slice_: int) -> Column:
+    """Whether a position is in that share."""
+    return F.lit(True) if slices <= 1 else slice_number(pos, n, slices) == slice_
 
 
 def quads_in_area(quads: DataFrame, subcells: DataFrame, run_passes: DataFrame, slices: int = 1, slice_: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture_index_options, with_sql
-from ..operators import cells, index, quads
+from ..operators import cells, index, lookup, quads
 from .base import Registry, band_sql, cells_cte, circle_sql, dist, fixture, r6
 
 REGISTRY = Registry()
@@ -279,16 +279,11 @@ def set_04(spark, sf_dir):
 
 
 def slices(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Every quad with the slice it belongs to."""
-    from ..operators.lookup import in_slice
-
+    """Every quad of the index with the slice of its subcell that it lies in: one scan."""
     built = fixture_index(spark, sf_dir)
-    sized = built.quads.join(built.subcells.select("cell_id", "pass", "subcell", "n_quads"), ["cell_id", "pass", "subcell"])
-    parts = [sized.filter(in_slice("pos", "n_quads", n, s)).withColumn("slice", F.lit(s)) for s in range(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = ["cell_id", "pass", "subcell"]
+    known = built.subcells.select(*keys, "n_quads")
+    return built.quads.join(known, keys).withColumn("slice", lookup.slice_number("pos", "n_quads", n))
 
 
 @A("win_02_slices", quads_ctes() + " SELECT cell_id, pass, CAST(subcell AS INTEGER) AS subcell, pos, CAST(CASE WHEN n//4 = 0 THEN 3 ELSE least(3, pos//(n//4)) END AS INTEGER) AS slice FROM (SELECT *, count(*) OVER (PARTITION BY cell_id, pass, subcell) AS n FROM quads) t")

@@ -75,11 +75,19 @@ def fn_29(spark, sf_dir):
     return plates(spark, sf_dir).select("star_id", x.alias("px"), y.alias("py"))
 
 
-@A("flt_14_valid_solutions", _WCS + " SELECT count(*) AS n_valid FROM w WHERE NOT isnan(ra) AND NOT isnan(dec) AND isfinite(a) AND isfinite(f)")
+_SPOILT = {
+    "a": "CASE WHEN star_id % 17 = 0 THEN CAST('NaN' AS DOUBLE) ELSE a END", "f": "CASE WHEN star_id % 19 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE f END",
+    "ra": "CASE WHEN star_id % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE ra END", "dec": "CASE WHEN star_id % 29 = 0 THEN NULL ELSE dec END",
+}
+
+
+@A("flt_14_valid_solutions", _WCS + f", spoilt AS (SELECT star_id, {', '.join(f'{e} AS {c}' for c, e in _SPOILT.items())}, b, c, d, e FROM w) SELECT star_id FROM spoilt WHERE NOT isnan(ra) AND NOT isnan(dec) AND " + " AND ".join(f"isfinite({c})" for c in "abcdef"))
 def flt_14(spark, sf_dir):
+    """Solutions of which some have lost a constant or a coordinate."""
     from ..plans.solve import is_valid
 
-    return plates(spark, sf_dir).filter(is_valid()).agg(F.count(F.lit(1)).alias("n_valid"))
+    found = plates(spark, sf_dir)
+    return found.withColumns({c: F.expr(e) for c, e in _SPOILT.items()}).filter(is_valid()).select("star_id")
 
 
 @A("flt_15_plausible_radius", _WCS + " SELECT star_id FROM w WHERE 1e3/pixels_per_degree <= 2*(2.5e0 + (star_id % 10)/1e1)")
