@@ -33,9 +33,8 @@ def drop_marked(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFr
     """``docs`` without the rows whose doc_id and text are in ``gone``; of the rows that share a
     doc_id and text in ``repeated`` one stays. Both tables: doc_id and digest (of the text).
 
-    The keys are a written table, whose size Spark knows: beyond its own bound for broadcasts
-    (``spark.sql.autoBroadcastJoinThreshold``) the rows are shuffled once by doc_id and digest. No
-    other choice is made here, so that what a run on little data costs is what a large one does.
+    The rows are shuffled once by doc_id and digest, however few the keys are: what a run on little
+    data costs is what a large one does.
     """
     gone, repeated = stash(gone.distinct(), "gone"), stash(repeated, "repeated")
     rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
@@ -43,6 +42,7 @@ def drop_marked(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFr
     def same(keys: DataFrame):
         return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["digest"] == keys["digest"])
 
+    gone, repeated = gone.hint("merge"), repeated.hint("merge")
     out = rows.join(gone, same(gone), "left_anti")
     if not repeated.isEmpty():
         rows = out

@@ -5,7 +5,7 @@ counted exactly (verified), and the verified winners, at most ``counters`` rows,
 that rows of large groups are decided on the map side and never shuffled. All other digests use
 an ordinary aggregate and join; no group among them holds more than about ``2 / counters`` of the
 rows. All decisions are taken on digests. ``drop_exact_duplicates`` returns whole rows, which
-are shuffled once by their keys unless Spark finds those of the rows that go small enough to broadcast.
+are shuffled once, by their keys.
 
 Rules: a null text counts as empty. Of equal texts, the row with the largest doc_id stays; a null
 doc_id is smaller than any other. Rows that repeat both doc_id and text are one group like any

@@ -182,13 +182,13 @@ def _possible(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def similar(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets have a similarity of 0.8 or more. Parities, which
-    are small, leave hardly more than those; then only the texts of what is left are taken, by a join
-    with their keys, which is Spark's to choose by their size, as in ``drop_marked``."""
+    are small, leave hardly more than those; then only the texts of what is left are taken, by a shuffle
+    of the rows with their keys, as in ``drop_marked``."""
     pairs = stash(_possible(texts, pairs).select("a", "b"), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = stash(texts.select("node", "doc_id", "digest").join(nodes, "node"), "nodes")
     same = rows["doc_id"].eqNullSafe(nodes["doc_id"]) & (rows["digest"] == nodes["digest"])
-    sets = rows.join(nodes, same).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = rows.join(nodes.hint("merge"), same).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
     sets = stash(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")  # rows may repeat
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
