@@ -87,9 +87,17 @@ def gen_07(spark, sf_dir):
     return runs.variations_of(asked, [1, 2, 4, 6, 8, 12, 16], [(0.5, 16), (8, 0.5), (0.5, 4)], [(0, 0), (0, 1)])
 
 
-@REGISTRY.add("join_16_run_sectors", with_sql("search_centers") + " SELECT run_id, CAST(greatest(0, ceil(ra/60e0) - 1) AS BIGINT) AS sector FROM search_centers")
+@REGISTRY.add("join_16_run_sectors", with_sql("search_centers") + f""", {_BLIND_CTES},
+    sectors AS (SELECT run_id, ra, dec, radius, CAST(greatest(0, ceil(ra/60e0) - 1) AS BIGINT) AS sector FROM blind),
+    places AS (SELECT run_id AS place_id, ra AS at_ra, dec AS at_dec, CAST(greatest(0, ceil(ra/60e0) - 1) AS BIGINT) AS place_sector FROM search_centers),
+    held AS (SELECT s.run_id, s.sector, p.place_id, p.place_sector FROM sectors s LEFT JOIN places p ON {dist('s.ra', 's.dec', 'p.at_ra', 'p.at_dec')} < s.radius)
+    SELECT run_id, sector, place_id, place_sector FROM held
+    UNION ALL SELECT NULL, NULL, place_id, place_sector FROM places p WHERE NOT EXISTS (SELECT 1 FROM sectors s WHERE {dist('s.ra', 's.dec', 'p.at_ra', 'p.at_dec')} < s.radius)""")
 def join_16(spark, sf_dir):
-    return fixture(spark, sf_dir, "search_centers").select("run_id", runs.sector("ra", 6).alias("sector"))
+    """Every run of the blind queue with its slice, and every search center with its own: beside the runs
+    that hold it, or alone if none does."""
+    places = fixture(spark, sf_dir, "search_centers").select(F.col("run_id").alias("place_id"), "ra", "dec")
+    return runs.sectors_at(runs.blind_runs(spark, _BLIND), places, 6)
 
 
 @REGISTRY.add("win_07_row_stagger", _AROUND + " SELECT image_id, CAST(n AS INTEGER) AS n, round(min(ra), 4) AS first_ra, count(*) AS n_circles FROM around GROUP BY image_id, n")
