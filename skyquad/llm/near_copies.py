@@ -16,8 +16,9 @@ two sets can share; every pair that they leave is compared exactly.
    ``n // 5 + 1`` shingles. The order puts frequent shingles last, those that are repeated in a sixteenth
    of the rows; it is a bitmap of bounded size, and whatever it says changes no result, only the work.
    A shingle of more than ``CROWD`` rows is a crowd. Crowds aren't compared pair by pair: in a few rounds
-   each row meets one pivot row of each of its crowds, and joins the closest one that is similar. At last
-   rows of different components are compared, in crowds behind a test of their parities inside the join.
+   each row meets pivot rows of each of its crowds, more of them from round to round, and joins the closest
+   ones that are similar. At last rows of different components are compared, in crowds behind a test of
+   their parities inside the join, which hands on a pair at its first shared shingle only.
 
 A node is a distinct text, so equal texts are never compared. Rows are told apart by doc_id and
 text, not by doc_id alone: of rows that repeat a doc_id each is decided for itself.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -48,7 +49,9 @@ SAMPLED = 1 / 16  # of the rows, from which frequent shingles are learned
 REPEATED = (4, 40)  # occurrences there, from which on a shingle is put last, and behind those
 MOST_BITS = 1 << 28  # of a bitmap of frequent shingles
 CROWD = 32
-PIVOT_ROUNDS = 2
+PIVOTS = (2, 8, 64)  # of a crowd, in each round
+CLOSEST = 3  # pivots that a row is compared with in a round
+FIRSTS = 64  # keys by which a pair tells that it has been met
 SKETCH = 512  # classes of the parities that are tested inside a join
 _HELD = 200_000  # shingles that a task holds before it passes them on
 _NODES = "node long, doc_id long, digest binary, fp long, size int, keys array<long>, bits array<long>, sketch array<long>"
@@ -209,16 +212,6 @@ def _close_prints(texts: DataFrame) -> DataFrame:
     return same.unionByName(across)
 
 
-def _pivots(texts: DataFrame, crowds: DataFrame, turn: int) -> DataFrame:
-    """Each row of a crowd with the closest of the pivots of its crowds, if any can be similar. A crowd's
-    pivot is the row of the least hash, another one in each crowd."""
-    pivot = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "root")).alias("v")
-    right = crowds.groupBy("key").agg(pivot).select("key", F.col("v.node").alias("b"), F.col("v.root").alias("q"))
-    met = crowds.select("key", F.col("node").alias("a"), F.col("root").alias("p")).join(right, "key").filter("p <> q").select("a", "b").distinct()
-    near = _possible(texts, met)
-    return near.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
-
-
 def _side(members: DataFrame, node: str, size: str, place: str, root: str, more: tuple[str, ...] = ()) -> DataFrame:
     return members.select("key", F.col("node").alias(node), F.col("size").alias(size), F.col("place").alias(place), F.col("root").alias(root), *more)
 
@@ -232,17 +225,36 @@ def _few(members: DataFrame) -> DataFrame:
     return pairs.filter("9 * (c + least(m - i, n - j)) >= 4 * (m + n)").select("a", "b")
 
 
-def _crowded(texts: DataFrame, crowds: DataFrame) -> DataFrame:
-    """All pairs of different components in a crowd that can be similar by their parities."""
-    known = crowds.join(texts.select("node", "bits", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]), "node")
+def _met(texts: DataFrame, crowds: DataFrame, pivots: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs (a, b) of different components in a crowd that can be similar by their parities, with
+    ``apart``, the share of bits that differ: those of all rows, each pair at its first shared key, or
+    with ``pivots`` = (number, turn) those of each row with some that many pivot rows of each of its crowds."""
+    held = crowds.groupBy("node", "size", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("every"))
+    sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
+    firsts = F.slice(F.col("every.key"), 1, FIRSTS).alias("firsts")
+    known = held.join(texts.select("node", "bits", *sketch), "node")
+    known = known.select("node", "size", "root", "bits", *[f"s{k}" for k in range(SKETCH // 64)], *([] if pivots else [firsts]), F.explode("every").alias("at"))
     sides = []
-    for names in (("a", "m", "i", "p", "x", "u"), ("b", "n", "j", "q", "y", "v")):
-        sketch = [F.col(f"s{k}").alias(f"{names[5]}{k}") for k in range(SKETCH // 64)]
-        sides.append(_side(known, *names[:4], more=(F.col("bits").alias(names[4]), *sketch)))
+    for names in (("a", "m", "p", "x", "u", "f"), ("b", "n", "q", "y", "v", "g")):
+        side = known
+        if pivots and names[0] == "b":
+            side = known.filter(F.pmod(F.xxhash64("node", "at.key", F.lit(pivots[1])), F.col("at.rows")) < pivots[0])
+        plain = [F.col(c).alias(n) for c, n in zip(("node", "size", "root", "bits"), names, strict=False)]
+        sides.append(side.select(F.col("at.key").alias("key"), *plain, *[F.col(f"s{k}").alias(f"{names[4]}{k}") for k in range(SKETCH // 64)], *([] if pivots else [F.col("firsts").alias(names[5])])))
     rough = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(SKETCH // 64)), F.lit(0))
-    total = F.col("m") + F.col("n")
-    test = F.expr("p <> q and a < b") & F.expr(_SIZES) & (9 * rough <= total) & (9 * _differing("x", "y") <= total)
-    return sides[0].join(sides[1], "key").filter(test).select("a", "b").distinct()
+    total, differing = F.col("m") + F.col("n"), _differing("x", "y")
+    test = F.expr("p <> q" if pivots else "p <> q and a < b") & F.expr(_SIZES) & (9 * rough <= total) & (9 * differing <= total)
+    if not pivots:  # no shared key that both hold among their first ones comes before this one
+        test &= F.coalesce(F.array_min(F.array_intersect("f", "g")) >= F.col("key"), F.lit(True))
+    return sides[0].join(sides[1], "key").filter(test).select("a", "b", (differing / total).alias("apart"))
+
+
+def _pivots(texts: DataFrame, crowds: DataFrame, number: int, turn: int) -> DataFrame:
+    """Each row of a crowd with the closest ones of the pivots of its crowds, if any can be similar. A
+    crowd's pivots are chosen by hash, other ones in each crowd and turn, ``number`` on average."""
+    closest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    met = _met(texts, crowds, (number, turn)).distinct()  # two crowds may have a pivot in common
+    return met.withColumn("place", closest).filter(F.col("place") <= CLOSEST).select("a", "b")
 
 
 def _first(doc_id: str = "doc_id", *more: str) -> Column:
@@ -272,7 +284,7 @@ def near_components(docs: DataFrame, busy: int = 4) -> DataFrame:
     keyed = texts.select("node", "doc_id", "digest", "size", "bits", "sketch")
     pairs = _close_prints(texts.select("node", "fp"))
     edges = roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    for turn in range(len(PIVOTS) + 1):
         members = entries.withColumn("root", F.col("node"))
         if roots is not None:
             members = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -281,12 +293,12 @@ def near_components(docs: DataFrame, busy: int = 4) -> DataFrame:
         members = stash(members.join(info, "key"), "members")
         crowds = members.filter(F.col("rows") > CROWD)
         open_pairs, n = crowds.agg(F.sum(F.col("pairs") / F.col("rows")), F.count(F.lit(1))).first()
-        last = turn == PIVOT_ROUNDS or not n or open_pairs <= busy * n
+        last = turn == len(PIVOTS) or not n or open_pairs <= busy * n
         if last:
             pairs = pairs.unionByName(_few(members.filter(F.col("rows") <= CROWD)))
-            pairs = pairs.unionByName(_crowded(keyed, crowds)) if n else pairs
+            pairs = pairs.unionByName(_met(keyed, crowds).select("a", "b")) if n else pairs
         else:
-            pairs = pairs.unionByName(_pivots(keyed, crowds, turn))
+            pairs = pairs.unionByName(_pivots(keyed, crowds, PIVOTS[turn], turn))
         found = similar(rows, keyed, pairs.distinct())
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
