@@ -16,9 +16,9 @@ two sets can share; every pair that they leave is compared exactly.
    ``n // 5 + 1`` shingles. The order puts frequent shingles last, those that are repeated in a sixteenth
    of the rows; it is a bitmap of bounded size, and whatever it says changes no result, only the work.
    A shingle of more than ``CROWD`` rows is a crowd. Crowds aren't compared pair by pair: in a few rounds
-   each row meets pivot rows of each of its crowds, more of them from round to round, and joins the closest
-   ones that are similar. At last rows of different components are compared, in crowds behind a test of
-   their parities inside the join, which hands on a pair at its first shared shingle only.
+   each row meets the pivot rows of one of its crowds, another crowd and more pivots from round to round, and
+   joins the closest ones that are similar. At last rows of different components are compared. In crowds a
+   test of parities inside the join hands on few of the pairs, and each at its first shared shingle only.
 
 A node is a distinct text, so equal texts are never compared. Rows are told apart by doc_id and
 text, not by doc_id alone: of rows that repeat a doc_id each is decided for itself.
@@ -49,7 +49,7 @@ SAMPLED = 1 / 16  # of the rows, from which frequent shingles are learned
 REPEATED = (4, 40)  # occurrences there, from which on a shingle is put last, and behind those
 MOST_BITS = 1 << 28  # of a bitmap of frequent shingles
 CROWD = 32
-PIVOTS = (2, 8, 64)  # of a crowd, in each round
+PIVOTS = (4, 16, 64)  # of a crowd, in each round
 CLOSEST = 3  # pivots that a row is compared with in a round
 FIRSTS = 64  # keys by which a pair tells that it has been met
 SKETCH = 512  # classes of the parities that are tested inside a join
@@ -225,35 +225,39 @@ def _few(members: DataFrame) -> DataFrame:
     return pairs.filter("9 * (c + least(m - i, n - j)) >= 4 * (m + n)").select("a", "b")
 
 
-def _met(texts: DataFrame, crowds: DataFrame, pivots: tuple[int, int] | None = None) -> DataFrame:
+def _met(texts: DataFrame, crowds: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of different components in a crowd that can be similar by their parities, with
     ``apart``, the share of bits that differ: those of all rows, each pair at its first shared key, or
-    with ``pivots`` = (number, turn) those of each row with some that many pivot rows of each of its crowds."""
-    held = crowds.groupBy("node", "size", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("every"))
+    those of each row with the rows that ``pivots`` (key, node) names for its crowds."""
+    held = crowds.groupBy("node", "size", "root").agg(F.sort_array(F.collect_list("key")).alias("every"))
     sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
-    firsts = F.slice(F.col("every.key"), 1, FIRSTS).alias("firsts")
+    firsts = [] if pivots is not None else [F.slice("every", 1, FIRSTS).alias("firsts")]
     known = held.join(texts.select("node", "bits", *sketch), "node")
-    known = known.select("node", "size", "root", "bits", *[f"s{k}" for k in range(SKETCH // 64)], *([] if pivots else [firsts]), F.explode("every").alias("at"))
+    known = known.select("node", "size", "root", "bits", *[f"s{k}" for k in range(SKETCH // 64)], *firsts, F.explode("every").alias("key"))
     sides = []
     for names in (("a", "m", "p", "x", "u", "f"), ("b", "n", "q", "y", "v", "g")):
-        side = known
-        if pivots and names[0] == "b":
-            side = known.filter(F.pmod(F.xxhash64("node", "at.key", F.lit(pivots[1])), F.col("at.rows")) < pivots[0])
+        side = known.join(pivots, ["key", "node"], "left_semi") if pivots is not None and names[0] == "b" else known
         plain = [F.col(c).alias(n) for c, n in zip(("node", "size", "root", "bits"), names, strict=False)]
-        sides.append(side.select(F.col("at.key").alias("key"), *plain, *[F.col(f"s{k}").alias(f"{names[4]}{k}") for k in range(SKETCH // 64)], *([] if pivots else [F.col("firsts").alias(names[5])])))
+        sides.append(side.select("key", *plain, *[F.col(f"s{k}").alias(f"{names[4]}{k}") for k in range(SKETCH // 64)], *([F.col("firsts").alias(names[5])] if firsts else [])))
     rough = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(SKETCH // 64)), F.lit(0))
     total, differing = F.col("m") + F.col("n"), _differing("x", "y")
-    test = F.expr("p <> q" if pivots else "p <> q and a < b") & F.expr(_SIZES) & (9 * rough <= total) & (9 * differing <= total)
-    if not pivots:  # no shared key that both hold among their first ones comes before this one
+    test = F.expr("p <> q and a < b" if firsts else "p <> q") & F.expr(_SIZES) & (9 * rough <= total) & (9 * differing <= total)
+    if firsts:  # no shared key that both hold among their first ones comes before this one
         test &= F.coalesce(F.array_min(F.array_intersect("f", "g")) >= F.col("key"), F.lit(True))
     return sides[0].join(sides[1], "key").filter(test).select("a", "b", (differing / total).alias("apart"))
 
 
 def _pivots(texts: DataFrame, crowds: DataFrame, number: int, turn: int) -> DataFrame:
-    """Each row of a crowd with the closest ones of the pivots of its crowds, if any can be similar. A
-    crowd's pivots are chosen by hash, other ones in each crowd and turn, ``number`` on average."""
+    """Each row of the crowds with the closest ones of the pivots that it meets, if any can be similar.
+    It meets those of one of its crowds, that of the least hash, which similar rows mostly have in common,
+    and another one in each turn: so a pair is met once, however many shingles it shares. A crowd's pivots
+    are the ``number`` rows of the least hashes among those that meet there."""
+    at = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key"))
+    meeting = crowds.groupBy("node", "size", "root").agg(at.alias("at")).select("node", "size", "root", F.col("at.key").alias("key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+    pivots = stash(meeting.select("key", "node").withColumn("place", place).filter(F.col("place") <= number).select("key", "node"), "pivots")
     closest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
-    met = _met(texts, crowds, (number, turn)).distinct()  # two crowds may have a pivot in common
+    met = _met(texts, meeting, pivots)
     return met.withColumn("place", closest).filter(F.col("place") <= CLOSEST).select("a", "b")
 
 

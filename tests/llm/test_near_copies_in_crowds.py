@@ -51,3 +51,18 @@ def test_joined_rows_grow_with_a_group_and_not_with_its_square(spark):
         marks, made[size] = joined_rows(spark, lambda docs=docs: near_copies.near_components(docs).collect())
         assert {r.doc_id for r in marks if r.stays} == brute_kept(texts)
     assert 0 < made[800] < 6 * made[200], made
+
+
+def test_a_row_meets_a_pivot_once_however_many_shingles_they_share(spark):
+    """All texts are similar to each other and share most of their 120 first shingles."""
+    rng = random.Random(7)
+    texts = {}
+    for i in range(150):
+        words = [f"w{k}" for k in range(600)]
+        for n, at in enumerate(rng.sample(range(600), 3)):
+            words[at] = f"own{i}x{n}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    marks, made = joined_rows(spark, lambda: near_copies.near_components(docs).collect())
+    assert {r.doc_id for r in marks if r.stays} == brute_kept(texts)
+    assert made <= sum(near_copies.PIVOTS) * len(texts), made
