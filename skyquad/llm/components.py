@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is an aggregate, a join and a distinct over edges; the table between two rounds is
-written to the shared folder. The number of rounds is logarithmic in the size of a component, and
+Every step is an aggregate and a join over edges, and every round ends with a distinct; the table
+between two rounds is written to the shared folder. The number of rounds is logarithmic in the size of a component, and
 no component is ever gathered in one task or on the driver.
 """
 
@@ -14,15 +14,16 @@ from .common import stash
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """One row per edge; repeats among them go in the small-star step."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    ends = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+    return ends.filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -183,11 +183,13 @@ def _possible(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.filter("9 * differing <= m + n").select("a", "b", "differing")
 
 
-def similar(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def similar(rows: DataFrame, texts: DataFrame, pairs: DataFrame | None, tested: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets have a similarity of 0.8 or more. Parities, which
-    are small, leave hardly more than those; then only the texts of what is left are taken, by a shuffle
-    of the rows with their keys, as in ``drop_marked``."""
-    pairs = stash(_possible(texts, pairs).select("a", "b"), "candidates")
+    are small, leave hardly more than those (``tested`` pairs have passed that already); then only the
+    texts of what is left are taken, by a shuffle of the rows with their keys, as in ``drop_marked``."""
+    left = [] if pairs is None else [_possible(texts, pairs).select("a", "b")]
+    left += [] if tested is None else [tested]
+    pairs = stash((left[0] if len(left) == 1 else left[0].unionByName(left[1])).distinct(), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = stash(texts.select("node", "doc_id", "digest").join(nodes, "node"), "nodes")
     same = rows["doc_id"].eqNullSafe(nodes["doc_id"]) & (rows["digest"] == nodes["digest"])
@@ -225,40 +227,47 @@ def _few(members: DataFrame) -> DataFrame:
     return pairs.filter("9 * (c + least(m - i, n - j)) >= 4 * (m + n)").select("a", "b")
 
 
-def _met(texts: DataFrame, crowds: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of different components in a crowd that can be similar by their parities, with
-    ``apart``, the share of bits that differ: those of all rows, each pair at its first shared key, or
-    those of each row with the rows that ``pivots`` (key, node) names for its crowds."""
-    held = crowds.groupBy("node", "size", "root").agg(F.sort_array(F.collect_list("key")).alias("every"))
-    sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
-    firsts = [] if pivots is not None else [F.slice("every", 1, FIRSTS).alias("firsts")]
-    known = held.join(texts.select("node", "bits", *sketch), "node")
-    known = known.select("node", "size", "root", "bits", *[f"s{k}" for k in range(SKETCH // 64)], *firsts, F.explode("every").alias("key"))
+def _with_parities(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows with the parities of their nodes; the sketch has a column for each word."""
+    return rows.join(texts.select("node", "bits", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]), "node")
+
+
+def _met(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, a of ``first`` and b of ``second``, that share a key and can be
+    similar by their parities, with ``apart``, the share of bits that differ. With a column ``firsts`` the two
+    tables hold the same rows, and each pair is listed one way and at its first shared key."""
+    once = "firsts" in first.columns
     sides = []
-    for names in (("a", "m", "p", "x", "u", "f"), ("b", "n", "q", "y", "v", "g")):
-        side = known.join(pivots, ["key", "node"], "left_semi") if pivots is not None and names[0] == "b" else known
+    for rows, names in ((first, ("a", "m", "p", "x", "u", "f")), (second, ("b", "n", "q", "y", "v", "g"))):
         plain = [F.col(c).alias(n) for c, n in zip(("node", "size", "root", "bits"), names, strict=False)]
-        sides.append(side.select("key", *plain, *[F.col(f"s{k}").alias(f"{names[4]}{k}") for k in range(SKETCH // 64)], *([F.col("firsts").alias(names[5])] if firsts else [])))
+        sides.append(rows.select("key", *plain, *[F.col(f"s{k}").alias(f"{names[4]}{k}") for k in range(SKETCH // 64)], *([F.col("firsts").alias(names[5])] if once else [])))
     rough = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(SKETCH // 64)), F.lit(0))
     total, differing = F.col("m") + F.col("n"), _differing("x", "y")
-    test = F.expr("p <> q and a < b" if firsts else "p <> q") & F.expr(_SIZES) & (9 * rough <= total) & (9 * differing <= total)
-    if firsts:  # no shared key that both hold among their first ones comes before this one
+    test = F.expr("p <> q and a < b" if once else "p <> q") & F.expr(_SIZES) & (9 * rough <= total) & (9 * differing <= total)
+    if once:  # no shared key that both hold among their first ones comes before this one
         test &= F.coalesce(F.array_min(F.array_intersect("f", "g")) >= F.col("key"), F.lit(True))
     return sides[0].join(sides[1], "key").filter(test).select("a", "b", (differing / total).alias("apart"))
 
 
+def _crowded(texts: DataFrame, crowds: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components in a crowd that can be similar by their parities."""
+    held = crowds.groupBy("node").agg(F.min("size").alias("size"), F.min("root").alias("root"), F.sort_array(F.collect_list("key")).alias("every"))
+    known = _with_parities(texts, held).withColumn("firsts", F.slice("every", 1, FIRSTS)).withColumn("key", F.explode("every"))
+    return _met(known, known).select("a", "b")
+
+
 def _pivots(texts: DataFrame, crowds: DataFrame, number: int, turn: int) -> DataFrame:
     """Each row of the crowds with the closest ones of the pivots that it meets, if any can be similar.
     It meets those of one of its crowds, that of the least hash, which similar rows mostly have in common,
     and another one in each turn: so a pair is met once, however many shingles it shares. A crowd's pivots
     are the ``number`` rows of the least hashes among those that meet there."""
     at = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key"))
-    meeting = crowds.groupBy("node", "size", "root").agg(at.alias("at")).select("node", "size", "root", F.col("at.key").alias("key"))
+    meeting = crowds.groupBy("node").agg(F.min("size").alias("size"), F.min("root").alias("root"), at.alias("at"))
+    meeting = stash(_with_parities(texts, meeting.select("node", "size", "root", F.col("at.key").alias("key"))), "meeting")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-    pivots = stash(meeting.select("key", "node").withColumn("place", place).filter(F.col("place") <= number).select("key", "node"), "pivots")
+    pivots = stash(meeting.withColumn("place", place).filter(F.col("place") <= number).drop("place"), "pivots")
     closest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
-    met = _met(texts, meeting, pivots)
-    return met.withColumn("place", closest).filter(F.col("place") <= CLOSEST).select("a", "b")
+    return _met(meeting, pivots).withColumn("place", closest).filter(F.col("place") <= CLOSEST).select("a", "b")
 
 
 def _first(doc_id: str = "doc_id", *more: str) -> Column:
@@ -287,7 +296,7 @@ def near_components(docs: DataFrame, busy: int = 4) -> DataFrame:
     entries = stash(entries.join(shared.filter(many).select("key"), "key"), "shared")
     keyed = texts.select("node", "doc_id", "digest", "size", "bits", "sketch")
     pairs = _close_prints(texts.select("node", "fp"))
-    edges = roots = None
+    roots = None
     for turn in range(len(PIVOTS) + 1):
         members = entries.withColumn("root", F.col("node"))
         if roots is not None:
@@ -299,16 +308,17 @@ def near_components(docs: DataFrame, busy: int = 4) -> DataFrame:
         open_pairs, n = crowds.agg(F.sum(F.col("pairs") / F.col("rows")), F.count(F.lit(1))).first()
         last = turn == len(PIVOTS) or not n or open_pairs <= busy * n
         if last:
-            pairs = pairs.unionByName(_few(members.filter(F.col("rows") <= CROWD)))
-            pairs = pairs.unionByName(_met(keyed, crowds).select("a", "b")) if n else pairs
+            few = _few(members.filter(F.col("rows") <= CROWD))
+            pairs = few if pairs is None else pairs.unionByName(few)
+            tested = _crowded(keyed, crowds) if n else None
         else:
-            pairs = pairs.unionByName(_pivots(keyed, crowds, PIVOTS[turn], turn))
-        found = similar(rows, keyed, pairs.distinct())
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
+            tested = _pivots(keyed, crowds, PIVOTS[turn], turn)
+        found = similar(rows, keyed, pairs, tested)
+        # What is joined so far stands for the pairs behind it.
+        roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if last:
             break
-        pairs = spark.createDataFrame([], "a long, b long")
+        pairs = None
     by_text = texts.select("digest", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = described.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n_rows")).join(by_text, "digest")
     first = named.groupBy("root").agg(F.min(_first("doc_id", "digest")).alias("first"))
