@@ -146,6 +146,13 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is not to be broadcast. All of these tables grow with the vocabulary, and Spark
+    takes them for smaller than they are: keys for as many as the words they come from, some ten times too
+    few, and words for as large as their compressed files."""
+    return side.hint("merge")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ids of words at distance one. ``words``: id and word, each word once."""
     keys = words.select("id", "word").mapInArrow(_keyed, _KEYS).repartition("k1", "k2")
@@ -155,8 +162,8 @@ def near_words(words: DataFrame) -> DataFrame:
     # run of equal ones that the other one's covers: else they differ at more places than one.
     one = F.expr("a < b and m = n and ((i < 0) <> (j < 0) or (i >= 0 and j >= 0 and least(x, y) >= greatest(i, j)))")
     cuts = [F.when(F.expr("i < 0 or j < 0"), F.col(c)).otherwise(F.greatest("i", "j")).alias(c) for c in ("i", "j")]
-    pairs = stash(left.join(right, ["k1", "k2"]).filter(one).select("a", "b", *cuts).distinct(), "pairs")
-    named = pairs.join(words.select(F.col("id").alias("a"), F.col("word").alias("u")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("v")), "b")
+    pairs = stash(left.join(_shuffled(right), ["k1", "k2"]).filter(one).select("a", "b", *cuts).distinct(), "pairs")
+    named = pairs.join(_shuffled(words.select(F.col("id").alias("a"), F.col("word").alias("u"))), "a").join(_shuffled(words.select(F.col("id").alias("b"), F.col("word").alias("v"))), "b")
     # Exactly: without the characters at these places both are the same, in time linear in the words.
     return named.filter(_without("u", "i") == _without("v", "j")).select("a", "b").distinct()
 
@@ -171,9 +178,9 @@ def _roots(forms: DataFrame) -> DataFrame:
     state = stash(forms.select("id", F.col("form").alias("root")), "roots")
     while True:
         up = state.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        if state.join(up, "root", "left_semi").isEmpty():
+        if state.join(_shuffled(up), "root", "left_semi").isEmpty():
             return state
-        state = stash(state.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "roots")
+        state = stash(state.join(_shuffled(up), "root", "left").select("id", F.coalesce("up", "root").alias("root")), "roots")
 
 
 def spelling_variants(
@@ -183,15 +190,15 @@ def spelling_variants(
     words = stash(vocabulary(docs, least_chars, least_count, one_in).withColumn("id", F.monotonically_increasing_id()), "words")
     pairs = stash(near_words(words), "near")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    met = both.join(words.select(F.col("id").alias("b"), F.col("word").alias("other"), F.col("n").alias("other_n")), "b")
+    met = both.join(_shuffled(words.select(F.col("id").alias("b"), F.col("word").alias("other"), F.col("n").alias("other_n"))), "b")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other", "b")).alias("best")
     near = met.groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), best).withColumnRenamed("a", "id")
-    found = words.join(near, "id", "left")
+    found = words.join(_shuffled(near), "id", "left")
     enough = F.coalesce(-F.col("best.less") >= factor * F.col("n"), F.lit(False))
     found = stash(
         found.select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(enough, F.col("best.b")).alias("form_id"), F.when(enough, F.col("best.other")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")),
         "forms",
     )
     roots = _roots(found.filter("form_id is not null").select("id", F.col("form_id").alias("form")))
-    named = roots.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return found.join(named, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+    named = roots.join(_shuffled(words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))), "root").select("id", "root_word")
+    return found.join(_shuffled(named), "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
